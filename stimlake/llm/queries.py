@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stimlake.llm.clusters import describe, located_clusters
 from stimlake.llm.knn import most_similar
 from stimlake.llm.nearest_time import match_nearest
 from stimlake.tables import table
@@ -12,6 +13,22 @@ from stimlake.tables import table
 RF_DIM = 96
 
 
+def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of the clusters of neurons by receptive field and position."""
+    where = table(spark, sf_dir, "neurons").filter("neuron IS NOT NULL AND py IS NOT NULL AND px IS NOT NULL").select(F.col("neuron").alias("id"), F.col("py").alias("y"), F.col("px").alias("x"))
+    fields = table(spark, sf_dir, "rf").select(F.col("neuron").alias("id"), F.col("rfs").alias("vec"))
+    return located_clusters(where, fields, dim=RF_DIM)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_members(spark, sf_dir).select(F.col("id").alias("neuron"), F.col("cluster").alias("cluster_key"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cluster by its size and its most typical neurons."""
+    return describe(p2_members(spark, sf_dir))
+
+
 def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest tick and nearest encoder sample of every flip, with the time between them."""
     side = lambda df, key: df.select(F.col("expt").cast("long").alias("entity"), F.col(key).alias("id"), "t")
@@ -51,5 +68,5 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.least("id", "other").alias("neuron_a"), F.greatest("id", "other").alias("neuron_b")).distinct()
 
 
-QUERIES = {"p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
 SQL = {"p3_found": P3_SQL}
