@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stimlake.llm.clusters import describe, located_clusters
 from stimlake.llm.knn import most_similar
+from stimlake.llm.leaks import find_leaks
 from stimlake.llm.nearest_time import match_nearest
 from stimlake.tables import table
 
@@ -68,5 +69,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.least("id", "other").alias("neuron_a"), F.greatest("id", "other").alias("neuron_b")).distinct()
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours}
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items they contain and the longest passage of each."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_found": p7_found, "p7_leaks": p7_leaks}
 SQL = {"p3_found": P3_SQL}
