@@ -9,6 +9,7 @@ from stimlake.llm.clusters import describe, located_clusters
 from stimlake.llm.knn import most_similar
 from stimlake.llm.leaks import find_leaks
 from stimlake.llm.nearest_time import match_nearest
+from stimlake.llm.personal import find_personal, redact_personal
 from stimlake.tables import table
 
 RF_DIM = 96
@@ -78,5 +79,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_found": p7_found, "p7_leaks": p7_leaks}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with placeholders; the key here is an example, a user passes a secret one."""
+    return redact_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"), b"example key").drop("details")
+
+
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL = {"p3_found": P3_SQL}
