@@ -51,35 +51,75 @@ def _vectors(x: pd.Series, dim: int) -> np.ndarray:
     return np.array(x.tolist(), dtype=np.float32).reshape(-1, dim)
 
 
+SUMS = "{key} long, n long, y double, x double, least long, s array<float>"
+
+
+def _sum_rows(key: np.ndarray, n: np.ndarray, y: np.ndarray, x: np.ndarray, least: pd.Series, v: np.ndarray, name: str) -> pd.DataFrame:
+    """Sums of weights, positions and vectors of each key."""
+    k, at = np.unique(key, return_inverse=True)
+    per = np.bincount(at, minlength=len(k))
+    order = np.argsort(at, kind="stable")
+    sums = np.add.reduceat(v[order], np.cumsum(per) - per, axis=0) if len(k) else v
+    return pd.DataFrame({name: k, "n": np.bincount(at, n, len(k)).astype(np.int64), "y": np.bincount(at, y, len(k)), "x": np.bincount(at, x, len(k)), "least": least.groupby(at).min().to_numpy(), "s": list(sums)})
+
+
 def _partial_sums(df: DataFrame, key: str, dim: int) -> DataFrame:
     """Sums of the vectors and positions of each key, one row for each key and input batch."""
 
     def run(batches):
         for pdf in batches:
-            if not len(pdf):
-                continue
-            k, at = np.unique(pdf[key].to_numpy(), return_inverse=True)
-            n = np.bincount(at)
-            order = np.argsort(at, kind="stable")
-            sums = np.add.reduceat(unpack(pdf["b"], dim)[order], np.cumsum(n) - n, axis=0)
-            yield pd.DataFrame({key: k, "n": n, "y": np.bincount(at, pdf["y"]), "x": np.bincount(at, pdf["x"]), "least": pdf["id"].groupby(at).min().to_numpy(), "s": list(sums)})
+            if len(pdf):
+                yield _sum_rows(pdf[key].to_numpy(), np.ones(len(pdf)), pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["id"], unpack(pdf["b"], dim), key)
 
-    return df.select(key, "id", "y", "x", "b").mapInPandas(run, f"{key} long, n long, y double, x double, least long, s array<float>")
+    return df.select(key, "id", "y", "x", "b").mapInPandas(run, SUMS.format(key=key))
+
+
+def _group_sums(df: DataFrame, key: str, dim: int, rows: int) -> DataFrame:
+    """Sums of each key and salt; df has ``salt`` and ``salts``, so that no group is larger than its share."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _sum_rows(pdf[key].to_numpy(), np.ones(len(pdf)), pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["id"], unpack(pdf["b"], dim), key)
+        return got.merge(pdf[[key, "salts"]].drop_duplicates(key), on=key)
+
+    return df.select(key, "salt", "salts", "id", "y", "x", "b").groupBy(bucket(parts(rows, 20_000, 4), key, "salt").alias("g")).applyInPandas(run, SUMS.format(key=key) + ", salts int")
+
+
+def _fold(sums: DataFrame, key: str, dim: int) -> DataFrame:
+    """Sums of sums, one row for each key and input batch."""
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield _sum_rows(pdf[key].to_numpy(), pdf["n"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["least"], _vectors(pdf["s"], dim), key)
+
+    return sums.select(key, "n", "y", "x", "least", "s").mapInPandas(run, SUMS.format(key=key))
+
+
+MEANS = "{key} long, n long, cy double, cx double, least long, length double, m array<float>"
+
+
+def _to_means(sums: pd.DataFrame, key: str, dim: int) -> pd.DataFrame:
+    s, n = _vectors(sums["s"], dim).astype(np.float64), sums["n"].to_numpy()
+    return pd.DataFrame({key: sums[key], "n": n, "cy": sums["y"] / n, "cx": sums["x"] / n, "least": sums["least"], "length": np.linalg.norm(s, axis=1) / n, "m": list(_unit(s).astype(np.float32))})
 
 
 def _means(sums: DataFrame, key: str, dim: int, rows: int) -> DataFrame:
     """Means of each key from partial sums: size, centre, unit mean direction and its length."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        k, at = np.unique(pdf[key].to_numpy(), return_inverse=True)
-        order = np.argsort(at, kind="stable")
-        per = np.bincount(at)
-        s = np.add.reduceat(_vectors(pdf["s"], dim)[order].astype(np.float64), np.cumsum(per) - per, axis=0)
-        n = np.bincount(at, pdf["n"])
-        long = np.linalg.norm(s, axis=1) / n
-        return pd.DataFrame({key: k, "n": n.astype(np.int64), "cy": np.bincount(at, pdf["y"]) / n, "cx": np.bincount(at, pdf["x"]) / n, "least": pdf["least"].groupby(at).min().to_numpy(), "length": long, "m": list(_unit(s).astype(np.float32))})
+        return _to_means(_sum_rows(pdf[key].to_numpy(), pdf["n"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["least"], _vectors(pdf["s"], dim), key), key, dim)
+
+    return sums.select(key, "n", "y", "x", "least", "s").groupBy(bucket(parts(rows, 20_000, 4), key).alias("g")).applyInPandas(run, MEANS.format(key=key))
+
+
+def _own_means(sums: DataFrame, key: str, dim: int) -> DataFrame:
+    """Means of keys that have one row of sums each."""
+
+    def run(batches):
+        for pdf in batches:
+            yield _to_means(pdf, key, dim)
 
-    return sums.groupBy(bucket(parts(rows, 20_000, 4), key).alias("g")).applyInPandas(run, f"{key} long, n long, cy double, cx double, least long, length double, m array<float>")
+    return sums.select(key, "n", "y", "x", "least", "s").mapInPandas(run, MEANS.format(key=key))
 
 
 def propagate(edges: DataFrame) -> DataFrame:
@@ -101,7 +141,7 @@ def propagate(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius: float = 100.0, least_cosine: float = 0.85, least_size: int = 8, grids: int = 5, crowd: float = 0.1, seed: int = 11) -> DataFrame:
+def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius: float = 100.0, least_cosine: float = 0.85, least_size: int = 8, grids: int = 5, crowd: float = 0.02, seed: int = 11) -> DataFrame:
     """Clusters of points that lie near each other and whose vectors point the same way.
 
     places: ``id`` BIGINT, ``y, x`` DOUBLE; vectors: ``id`` and ``vec`` ARRAY of ``dim`` numbers. A cluster has
@@ -143,12 +183,16 @@ def _cluster_packed(packed: DataFrame, dim: int, radius: float, least_cosine: fl
                 gx = np.floor(pdf["x"].to_numpy() / side + (2 * g % grids) / grids).astype(np.int64)
                 yield pd.DataFrame({"id": pdf["id"], "g": np.int32(g), "gy": gy, "gx": gx, "code": code})
 
-    placed = base.mapInPandas(cells, "id long, g int, gy long, gx long, code long").select("id", F.xxhash64("g", "gy", "gx", "code").alias("cell"))
-    placed = cut(placed, "cells")
-    dense = placed.groupBy("cell").count().filter("count > 1").select("cell")
-    members = placed.join(dense, "cell", "left_semi").join(base, "id")
+    placed = cut(base.mapInPandas(cells, "id long, g int, gy long, gx long, code long").select("id", F.xxhash64("g", "gy", "gx", "code").alias("cell")), "cells")
+    dense = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
+    # a point goes with the densest of its cells: the densest cell of each neighbourhood keeps all its points
+    fullest = F.max(F.struct("n", "cell")).alias("c")
+    chosen = placed.join(dense, "cell").groupBy("id").agg(fullest).select("id", F.col("c.cell").alias("cell"), F.ceil(F.col("c.n") / GROUP_ROWS).cast("int").alias("salts"))
+    members = chosen.join(base, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
+    sums = cut(_group_sums(members, "cell", dim, n), "sums")
+    whole = _own_means(sums.filter("salts = 1 AND n > 1"), "cell", dim).unionByName(_means(_fold(sums.filter("salts > 1"), "cell", dim), "cell", dim, 1))
     concordant = (F.col("n") * F.col("length") ** 2 - 1) / (F.col("n") - 1) >= least_cosine**2
-    seeds = cut(_means(_partial_sums(members, "cell", dim), "cell", dim, n).filter(concordant), "dense")
+    seeds = cut(whole.filter("n > 1").filter(concordant), "dense")
 
     def around(df: DataFrame, cy: Column, cx: Column, w: float) -> DataFrame:
         """Each row in its own square of width w and the eight around it."""
