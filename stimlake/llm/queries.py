@@ -9,8 +9,9 @@ from stimlake.llm.clusters import describe, located_clusters
 from stimlake.llm.knn import most_similar
 from stimlake.llm.leaks import find_leaks
 from stimlake.llm.nearest_time import match_nearest
+from stimlake.llm.packing import count_tokens, pack_texts
 from stimlake.llm.personal import find_personal, redact_personal
-from stimlake.tables import table
+from stimlake.tables import cut, table
 
 RF_DIM = 96
 
@@ -70,6 +71,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.least("id", "other").alias("neuron_a"), F.greatest("id", "other").alias("neuron_b")).distinct()
 
 
+CAPACITY = 8192
+
+
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text, or piece of one longer than a container, with its container of 8192 tokens."""
+    sizes = cut(count_tokens(table(spark, sf_dir, "documents")), "sizes")
+    return pack_texts(sizes, capacity=CAPACITY)
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill of each container and the share of each source in it."""
+    return p6_packed(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("tokens"), (F.lit(CAPACITY) - F.sum("tokens")).alias("unused"), F.count("*").alias("pieces"), F.count_distinct("source").alias("sources"))
+
+
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with the items they contain and the longest passage of each."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
@@ -88,5 +103,5 @@ def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"), b"example key").drop("details")
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
 SQL = {"p3_found": P3_SQL}
