@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stimlake.plans import recordings
+from stimlake.plans import alignment, recordings
 
-_MODULES = (recordings,)
+_MODULES = (recordings, alignment)
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
