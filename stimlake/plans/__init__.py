@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stimlake.plans import alignment, recordings
+from stimlake.plans import alignment, recordings, responses
 
-_MODULES = (recordings, alignment)
+_MODULES = (recordings, alignment, responses)
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
