@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stimlake.plans import alignment, recordings, responses
+from stimlake.plans import alignment, fields, recordings, responses
 
-_MODULES = (recordings, alignment, responses)
+_MODULES = (recordings, alignment, responses, fields)
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def core_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recordings.p4_found(spark, sf_dir)
+    return fields.rf_peak(spark, sf_dir)

@@ -38,7 +38,7 @@ def q_trial_zscore_shift(s, d):
 
 def q_zscore_undo(s, d):
     z = R.undo_zscore(R.zscore(spikes(s, d), ["neuron"], keep_stats=True))
-    return z.groupBy("neuron").agg(F.round(F.min("z"), 6).alias("min_z"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("z"), 6).alias("max_z"))
+    return z.groupBy("neuron").agg(F.round(F.min("z"), 6).alias("min_z"), F.round(F.max("value"), 7).alias("most"), F.round(F.max("z"), 6).alias("max_z"))
 
 
 def q_stats(col: str, f):
@@ -87,7 +87,7 @@ QUERIES = {
 }
 SQL = {
     "trial_zscore_shift": _S + ", z AS (SELECT *, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-5) AS z FROM s WINDOW w AS (PARTITION BY neuron, trial)) SELECT neuron, trial, frame, round(z - min(z) OVER (PARTITION BY neuron, trial), 6) AS shifted FROM z",
-    "zscore_undo": _S + ", z AS (SELECT *, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-5) AS z FROM s WINDOW w AS (PARTITION BY neuron)) SELECT neuron, round(min(z), 6) AS min_z, round(avg(value), 6) AS mean, round(max(z), 6) AS max_z FROM z GROUP BY neuron",
+    "zscore_undo": _S + ", z AS (SELECT *, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-5) AS z FROM s WINDOW w AS (PARTITION BY neuron)) SELECT neuron, round(min(z), 6) AS min_z, round(max(value), 7) AS most, round(max(z), 6) AS max_z FROM z GROUP BY neuron",
     "standardize": _S + "SELECT neuron, trial, frame, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) ELSE 0 END, 6) AS scaled FROM s WINDOW w AS (PARTITION BY neuron)",
     "rescale_pm_a": _S + "SELECT neuron, trial, frame, round(CASE WHEN max(value) OVER w > min(value) OVER w THEN 4 * (value - min(value) OVER w) / (max(value) OVER w - min(value) OVER w) - 2 ELSE 0 END, 6) AS scaled FROM s WINDOW w AS (PARTITION BY neuron)",
     "scale_std": _S + "SELECT neuron, trial, frame, round(value / (stddev_pop(value) OVER (PARTITION BY neuron) + 1e-6), 6) AS z FROM s",
