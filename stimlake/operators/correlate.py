@@ -35,7 +35,7 @@ def cross_correlation(features: DataFrame, responses: DataFrame, *, n_features:
     def product(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
         both = xs.merge(ys, on="frame", suffixes=("_x", "_y"))
         if not len(both):
-            return pd.DataFrame({"fb": [], "nb": [], "n": [], "sums": []})
+            return pd.DataFrame({"fb": [], "nb": [], "n": [], "sums": pd.Series([], dtype=object)})
         a = np.nan_to_num(np.array(both["v_x"].tolist(), np.float64))
         b = np.nan_to_num(np.array(both["v_y"].tolist(), np.float64))
         sums = np.concatenate([a.sum(0), (a * a).sum(0), b.sum(0), (b * b).sum(0), (a.T @ b).ravel()])
