@@ -202,7 +202,7 @@ def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape:
     like[:, OUT] = 1e-12
     like[keep, NORMAL] = np.exp(-np.minimum(r * zz, 600)) * np.where(f & flat, 0.05, 1.0)
     like[keep, SPIKE] = 1 / top * np.where(f & flat, 0.3, 1.0)
-    like[keep, STUCK] = np.where(f & flat, 1.0, 1e-9)
+    like[keep, STUCK] = np.exp(-np.minimum(r * zz, 600)) * np.where(f & flat, 1.0, 1e-9)  # two equal spikes are no frozen stretch
     like[out] = [1e-12, 1e-12, 1e-12, 1.0]
     like /= like.max(1, keepdims=True)
     a, b, c, d = p.p_spike, p.p_stuck, p.p_spike_end, p.p_stuck_end

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stimlake.plans import alignment, curves, fields, recordings, responses
+from stimlake.plans import alignment, curves, fields, models, recordings, responses
 
-_MODULES = (recordings, alignment, responses, fields, curves)
+_MODULES = (recordings, alignment, responses, fields, curves, models)
 
 
 def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
