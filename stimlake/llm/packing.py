@@ -78,10 +78,27 @@ class Queue:
         self.left -= 1
         return i
 
-    def give(self, n: int, i: int) -> None:
-        self.at[n].append(i)
-        self.down[n] = n
-        self.left += 1
+
+
+def closest_pair(queues: list[Queue], room: int, tries: int = 48) -> tuple[int, int] | None:
+    """Source and length of the first of two texts that fill the room better than the longest one alone.
+
+    Of each source the ``tries`` longest lengths that fit are tried with the longest text that then still fits.
+    """
+    best, found = max(q.longest(room) for q in queues), None
+    for s, q in enumerate(queues):
+        n = q.longest(room)
+        for _ in range(tries):
+            if n < 1 or best == room:
+                break
+            seconds = [r.longest(room - n) for r in queues]
+            if seconds[s] == n and len(q.at[n]) == 1:  # the first is no second
+                seconds[s] = q.longest(n - 1)
+            second = max(seconds)
+            if n + second > best and second > 0:
+                best, found = n + second, (s, n)
+            n = q.longest(n - 1)
+    return found
 
 
 def pack(lengths: np.ndarray, source: np.ndarray, shares: np.ndarray, deficit: np.ndarray, capacity: int, carry: int, slack: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,14 +130,15 @@ def pack(lengths: np.ndarray, source: np.ndarray, shares: np.ndarray, deficit: n
                 if n < 1:
                     break
                 best = (-s, n)
+            rest = room - best[1]
+            if rest and all(q.longest(rest) < 1 for q in queues):  # this text would leave a gap: do two leave less?
+                best = closest_pair(queues, room) or best
             s, n = best
             taken.append((s, n, queues[s].take(n)))
             deficit[s] -= n
             room -= n
         if room > slack and left <= carry:
-            for s, n, i in taken:
-                queues[s].give(n, i)
-            return window, before
+            return window, before  # the texts of this window are carried on with the rest
         for _, _, i in taken:
             window[i] = w
         left -= len(taken)
