@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stimlake.operators.tuning import bin_of
+from stimlake.tables import spread
 
 BINS = 256
 
@@ -33,7 +34,7 @@ FAMILIES: dict[str, tuple[Callable, Callable[[np.ndarray], list[tuple[float, flo
 }
 
 
-def evolve(loss: Callable[[np.ndarray], np.ndarray], bounds: list[tuple[float, float]], seed: int = 2, generations: int = 80, size: int = 15) -> np.ndarray:
+def evolve(loss: Callable[[np.ndarray], np.ndarray], bounds: list[tuple[float, float]], seed: int = 2, generations: int = 40, size: int = 12) -> np.ndarray:
     """The best point of differential evolution; loss takes many points at once."""
     rng = np.random.default_rng(seed)
     lo, hi = np.array(bounds, float).T
@@ -47,6 +48,8 @@ def evolve(loss: Callable[[np.ndarray], np.ndarray], bounds: list[tuple[float, f
         g = loss(trial)
         better = g < f
         x[better], f[better] = trial[better], g[better]
+        if np.ptp(f) <= 1e-9 * abs(f.min()):
+            break
     return x[f.argmin()]
 
 
@@ -57,10 +60,13 @@ def refine(residual: Callable[[np.ndarray], np.ndarray], p: np.ndarray, steps: i
         h = 1e-6 * np.maximum(np.abs(p), 1e-3)
         j = np.stack([(residual(p + e) - r) / e[i] for i, e in enumerate(np.diag(h))], axis=1)
         a = j.T @ j
-        step = np.linalg.lstsq(a + damp * np.diag(np.maximum(np.diag(a), 1e-12)), -j.T @ r, rcond=None)[0]
+        step = np.linalg.solve(a + np.diag(damp * np.diag(a) + 1e-12), -j.T @ r)
         new = residual(p + step)
-        if new @ new < r @ r:
+        gain = r @ r - new @ new
+        if gain > 0:
             p, r, damp = p + step, new, max(damp / 5, 1e-9)
+            if gain <= 1e-12 * (new @ new):
+                break
         else:
             damp = min(damp * 5, 1e9)
     return p
@@ -92,7 +98,7 @@ def fit_nonlinearity(df: DataFrame, key: str, x: str, y: str, family: str = "rel
                 out.append((k, [float(v) for v in p], float(np.sqrt(sse / total)), 1 - sse / total / var if var > 1e-300 else None, int(total)))
             yield pd.DataFrame(out, columns=[key, "params", "rmse", "r2", "n"])
 
-    return rows.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, params array<double>, rmse double, r2 double, n long")
+    return spread(rows, key).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, params array<double>, rmse double, r2 double, n long")
 
 
 def gaussians(y: np.ndarray, steps: int = 40) -> np.ndarray:

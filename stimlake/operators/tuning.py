@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stimlake.tables import spread
+
 
 def polar(c: Column, s: Column) -> tuple[Column, Column]:
     """Radius, and angle in [0, 2 pi)."""
@@ -123,7 +125,7 @@ def rank_one(volumes: DataFrame, key: str, shape: tuple[int, int, int], iteratio
             yield pd.DataFrame(rows, columns=[key, "f0", "f1", "f2", "error"])
 
     kind = dict(volumes.dtypes)[key]
-    return volumes.select(key, "cells").mapInPandas(run, f"{key} {kind}, f0 array<double>, f1 array<double>, f2 array<double>, error double")
+    return spread(volumes.select(key, "cells"), key).mapInPandas(run, f"{key} {kind}, f0 array<double>, f1 array<double>, f2 array<double>, error double")
 
 
 def fill_nearest(v: np.ndarray) -> np.ndarray:

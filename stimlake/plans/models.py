@@ -9,14 +9,16 @@ from stimlake.operators import models as M
 from stimlake.plans.alignment import channel
 from stimlake.plans.curves import _rf, pairs
 from stimlake.plans.responses import prediction, spikes
+from stimlake.tables import cut
 
 
 def model_fit(s: SparkSession, d: str) -> DataFrame:
     """For each neuron a rectifier from the mean of its even trials to its odd trials."""
-    sp = spikes(s, d)
+    sp = cut(spikes(s, d), "spikes")
     both = sp.filter("trial IN (1, 3)").join(prediction(sp), ["neuron", "frame"])
     mean = both.groupBy("neuron").agg(F.avg("pred").alias("m"), F.stddev_pop("pred").alias("sd"))
-    return M.fit_nonlinearity(both.join(mean, "neuron").withColumn("pred", (F.col("pred") - F.col("m")) / (F.col("sd") + 1e-5)).withColumn("value", (F.col("value") - F.col("m")) / (F.col("sd") + 1e-5)), "neuron", "pred", "value")
+    scaled = both.join(mean, "neuron").select("neuron", *[((F.col(c) - F.col("m")) / (F.col("sd") + 1e-5)).alias(c) for c in ("pred", "value")])
+    return M.fit_nonlinearity(cut(scaled, "scaled"), "neuron", "pred", "value")
 
 
 def sigmoid_fit(s: SparkSession, d: str) -> DataFrame:

@@ -76,3 +76,8 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 def usable(c: str) -> Column:
     """Neither null nor NaN."""
     return F.col(c).isNotNull() & ~F.isnan(c)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Few rows with much work each, over all shuffle partitions: adaptive execution would merge them into one."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
