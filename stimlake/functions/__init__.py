@@ -59,6 +59,11 @@ def angle_unsigned(a: Column, b: Column) -> Column:
     return F.degrees(F.acos(F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0))))
 
 
+def neuropil_corrected(f: Column, surround: Column, share: float = 0.7) -> Column:
+    """Fluorescence of a cell less a share of that of its surround."""
+    return f - share * surround
+
+
 def finite_top(x: Column, fallback: float = 1.0) -> Column:
     """Aggregate: the greatest |x| that is a finite number, the fallback where it is 0 or there is none."""
     top = F.max(F.when(~F.isnan(x) & (F.abs(x) < float("inf")), F.abs(x)))

@@ -274,4 +274,6 @@ def flag_readings(readings: DataFrame, limits: dict[str, tuple[float, float]], p
         return pd.DataFrame({"src": src[hit], "channel": names[channel[hit]], "row_id": rid[hit], "t": t[hit], "v": v[hit], "flag": FLAGS[flag[hit]], "p_spike": post[hit, SPIKE], "p_stuck": post[hit, STUCK]})
 
     n = parts(total, p.rows_per_task)
-    return whole.groupBy(bucket(n, "channel", "src", "chunk").alias("bucket")).applyInPandas(run, "src long, channel string, row_id long, t double, v double, flag string, p_spike double, p_stuck double")
+    # as many partitions as buckets: the tasks stay this size whatever spark.sql.shuffle.partitions says
+    whole = whole.withColumn("bucket", bucket(n, "channel", "src", "chunk")).repartition(n, "bucket")
+    return whole.groupBy("bucket").applyInPandas(run, "src long, channel string, row_id long, t double, v double, flag string, p_spike double, p_stuck double")

@@ -116,6 +116,7 @@ def regrid(readings: DataFrame, grids: DataFrame, *, reach: float = 2.0, least_s
         keep = (place >= first[which]) & (place < last[which])
         return pd.DataFrame({"src": src[which], "slot": place, "t": start + width[which] / 2, "value": value, "support": support, "n_readings": count.astype(np.int32), "missing": count == 0})[keep]
 
-    both = bucket(n, "src", "block").alias("bucket")
-    done = r.groupBy(both).cogroup(g.groupBy(both)).applyInPandas(run, SCHEMA)
+    # as many partitions as buckets: the tasks stay this size whatever spark.sql.shuffle.partitions says
+    r, g = (x.withColumn("bucket", bucket(n, "src", "block")).repartition(n, "bucket") for x in (r, g))
+    done = r.groupBy("bucket").cogroup(g.groupBy("bucket")).applyInPandas(run, SCHEMA)
     return done.withColumn("value", F.when(~F.isnan("value"), F.col("value")))

@@ -149,3 +149,9 @@ def bin_trials(df: DataFrame, n: int) -> DataFrame:
     """Mean of each n consecutive trials; trials of an incomplete last bin are dropped."""
     g = df.groupBy("neuron", F.floor(F.col("trial") / n).alias("bin"), "frame").agg(F.avg("value").alias("value"), F.count("*").alias("k"))
     return g.filter(F.col("k") == n).drop("k")
+
+
+def missed(df: DataFrame, prediction: DataFrame, most_predicted: float, least_response: float) -> DataFrame:
+    """Frames in which a neuron responds although little was predicted."""
+    return df.join(prediction, ["neuron", "frame"]).filter((F.col("pred") < most_predicted) & (F.col("value") >= least_response))
+

@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,3 +128,38 @@ def unwrapped_step(angle: Column, before: Column) -> Column:
     """The step from one angle to the next by the shorter way round."""
     d = angle - before
     return d - 2 * math.pi * F.round(d / (2 * math.pi))
+
+
+def lowess(df: DataFrame, key: str, x: str, y: str, share: float = 1 / 3, points: int = 101) -> DataFrame:
+    """Local straight-line regression with tricube weights at equally spaced points of each key's span.
+
+    The weights reach over ``share`` of the span. Rows add their moments to the points they weigh on, batch by
+    batch, and the sums are aggregated: no row ever meets another one. Result: key, ``point`` (from 0), ``x``,
+    ``smooth`` (the weighted mean where the line is not determined) and ``weight``. Null and NaN take no part.
+    """
+    ok = df.filter(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y)).select(key, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = ok.join(ok.groupBy(key).agg(F.min("x").alias("lo"), F.max("x").alias("hi")), key).filter("hi > lo")
+
+    def moments(batches):
+        grid = np.arange(points) / (points - 1)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k, at = np.unique(pdf[key].to_numpy(), return_inverse=True)
+            u = (pdf["x"].to_numpy() - pdf["lo"].to_numpy()) / (pdf["hi"].to_numpy() - pdf["lo"].to_numpy())
+            v = pdf["y"].to_numpy()
+            sums = np.zeros((len(k), points, 5))
+            for i in range(0, len(u), 2048):
+                d = (u[i : i + 2048, None] - grid) / share
+                w = np.where(np.abs(d) < 1, (1 - np.abs(d) ** 3) ** 3, 0)
+                part = np.stack([w, w * d, w * d * d, w * v[i : i + 2048, None], w * d * v[i : i + 2048, None]], axis=2)
+                np.add.at(sums, at[i : i + 2048], part)
+            r, p = np.nonzero(sums[:, :, 0])
+            yield pd.DataFrame({key: k[r], "point": p.astype(np.int32), **{f"m{j}": sums[r, p, j] for j in range(5)}})
+
+    kind = dict(df.dtypes)[key]
+    m = rows.mapInPandas(moments, f"{key} {kind}, point int, m0 double, m1 double, m2 double, m3 double, m4 double").groupBy(key, "point").agg(*[F.sum(f"m{j}").alias(f"m{j}") for j in range(5)])
+    m = m.join(rows.groupBy(key).agg(F.first("lo").alias("lo"), F.first("hi").alias("hi")), key)
+    det = F.col("m0") * F.col("m2") - F.col("m1") * F.col("m1")
+    line = F.when(det > 1e-9 * F.col("m0") * F.col("m0"), (F.col("m2") * F.col("m3") - F.col("m1") * F.col("m4")) / det).otherwise(F.col("m3") / F.col("m0"))
+    return m.select(key, "point", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("point") / (points - 1)).alias("x"), line.alias("smooth"), F.col("m0").alias("weight"))

@@ -112,16 +112,8 @@ def rank_one(volumes: DataFrame, key: str, shape: tuple[int, int, int], iteratio
             rows = []
             for k, c in zip(pdf[key], pdf["cells"]):
                 v = fill_nearest(np.array([np.nan if x is None else x for x in c], float).reshape(shape))
-                a, b, g = np.maximum(v.sum((1, 2)), 0), np.maximum(v.sum((0, 2)), 0), np.maximum(v.sum((0, 1)), 0)
-                for _ in range(iterations):
-                    a = np.maximum(np.einsum("ijk,j,k->i", v, b, g), 0) / max((b @ b) * (g @ g), 1e-300)
-                    b = np.maximum(np.einsum("ijk,i,k->j", v, a, g), 0) / max((a @ a) * (g @ g), 1e-300)
-                    b /= max(np.linalg.norm(b), 1e-300)
-                    g = np.maximum(np.einsum("ijk,i,j->k", v, a, b), 0) / max((a @ a) * (b @ b), 1e-300)
-                    g /= max(np.linalg.norm(g), 1e-300)
-                a = np.maximum(np.einsum("ijk,j,k->i", v, b, g), 0) / max((b @ b) * (g @ g), 1e-300)
-                left = ((v - np.einsum("i,j,k->ijk", a, b, g)) ** 2).sum() / max((v**2).sum(), 1e-300)
-                rows.append((k, a, b, g, float(left)))
+                a, b, g, left = factors(v, iterations)
+                rows.append((k, a, b, g, left))
             yield pd.DataFrame(rows, columns=[key, "f0", "f1", "f2", "error"])
 
     kind = dict(volumes.dtypes)[key]
@@ -158,3 +150,76 @@ def rank_two_marginals(fields: DataFrame, vec: str, nx: int, ny: int, rest: int)
             yield pd.DataFrame({"neuron": pdf["neuron"], "su": list(u0 * sign), "sv": list(v0 * sign), "values": list(s)})
 
     return fields.filter(F.size(vec) == nx * ny * rest).select("neuron", vec).mapInPandas(run, "neuron long, su array<double>, sv array<double>, values array<double>")
+
+
+def hann_volume(v: np.ndarray, n: int, circular: int | None = 1) -> np.ndarray:
+    """A batch of volumes smoothed by a normalised Hann window of n bins along each axis; 0 beyond the ends, or going
+    round along the circular axis."""
+    w = np.hanning(n + 2)[1:-1] if n < 3 else np.hanning(n)
+    w = w / w.sum()
+    for axis in (1, 2, 3):
+        pad = [(0, 0)] * 4
+        pad[axis] = (n // 2, n // 2)
+        p = np.pad(v, pad, mode="wrap" if circular is not None and axis == circular + 1 else "constant")
+        v = sum(w[i] * np.take(p, range(i, i + v.shape[axis]), axis=axis) for i in range(n))
+    return v
+
+
+def tuning_curves(volume: DataFrame, key: str, bins: int, limit: float, smooth: int = 5) -> DataFrame:
+    """What the tuning volume of each key says: the curves over radius, angle and step, and their indices.
+
+    volume: the result of tuning_volume. Numerator and denominator are smoothed apart, the angle going round;
+    cells without data take the nearest value; a rank-one factorisation gives ``f_rho, f_phi, f_dphi``. With
+    ``drift`` (the step at the curve's top), ``half_rho`` (the first radius bin, as a share of the greatest radius,
+    at which the curve has half its top) and ``complexity`` (1 less the circular variance over the angle).
+    """
+    n = bins**3
+    at = F.col("b_rho") * bins * bins + F.col("b_phi") * bins + F.col("b_dphi")
+    rows = volume.groupBy(key).agg(F.collect_list(F.struct(at.alias("i"), "weighted", "count")).alias("cells"))
+
+    def run(batches):
+        for pdf in batches:
+            num, den = np.zeros((2, len(pdf), n))
+            for r, cells in enumerate(pdf["cells"]):
+                i = [c["i"] for c in cells]
+                num[r, i], den[r, i] = [c["weighted"] for c in cells], [c["count"] for c in cells]
+            num, den = (hann_volume(x.reshape(-1, bins, bins, bins), smooth) for x in (num, den))
+            with np.errstate(all="ignore"):
+                ratio = np.where(den > 1e-12, num / den, np.nan)
+            out = []
+            for k, v in zip(pdf[key], ratio):
+                a, b, g, _ = factors(fill_nearest(v))
+                angle = np.exp(2j * np.pi * (np.arange(bins) + 0.5) / bins)
+                top = a.max()
+                out.append((k, a, b, g, float((g.argmax() + 0.5) / bins * 2 * limit - limit), float((np.argmax(a >= top / 2) + 0.5) / bins), float(abs((b * angle).sum()) / max(b.sum(), 1e-300))))
+            yield pd.DataFrame(out, columns=[key, "f_rho", "f_phi", "f_dphi", "drift", "half_rho", "complexity"])
+
+    kind = dict(volume.dtypes)[key]
+    return spread(rows, key).mapInPandas(run, f"{key} {kind}, f_rho array<double>, f_phi array<double>, f_dphi array<double>, drift double, half_rho double, complexity double")
+
+
+def factors(v: np.ndarray, iterations: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Rank-one non-negative factors of a volume (the last two of length 1) and the share of the squares left."""
+    a, b, g = (np.maximum(v.sum(x), 0) for x in ((1, 2), (0, 2), (0, 1)))
+    for _ in range(iterations):
+        b = np.maximum(np.einsum("ijk,i,k->j", v, a, g), 0)
+        b /= max(np.linalg.norm(b), 1e-300)
+        g = np.maximum(np.einsum("ijk,i,j->k", v, a, b), 0)
+        g /= max(np.linalg.norm(g), 1e-300)
+        a = np.maximum(np.einsum("ijk,j,k->i", v, b, g), 0)
+    left = ((v - np.einsum("i,j,k->ijk", a, b, g)) ** 2).sum() / max((v**2).sum(), 1e-300)
+    return a, b, g, float(left)
+
+
+def predict_from_curves(df: DataFrame, curves: DataFrame, tops: DataFrame, keys: Sequence[str], bins: int, limit: float) -> DataFrame:
+    """``pred`` of each row with ``rho, phi, dphi``: the product of its key's curves at the row's bins.
+
+    tops: the keys with the greatest radius and angle (``rho_hi, phi_hi``) the bins go up to; rows beyond a bin's
+    span take the nearest bin.
+    """
+    j = df.join(tops, list(keys)).join(curves.select(*keys, "f_rho", "f_phi", "f_dphi"), list(keys))
+    place = lambda v, lo, hi: F.least(F.greatest(F.coalesce(F.floor(F.try_divide((v - lo) * bins, hi - lo)), F.lit(0)), F.lit(0)), F.lit(bins - 1)).cast("int")
+    cell = lambda f, v, lo, hi: F.get(f, place(F.col(v), lo, hi))
+    z = F.lit(0.0)
+    pred = cell("f_rho", "rho", z, F.col("rho_hi")) * cell("f_phi", "phi", z, F.col("phi_hi")) * cell("f_dphi", "dphi", F.lit(-limit), F.lit(limit))
+    return j.withColumn("pred", pred).drop("rho_hi", "phi_hi", "f_rho", "f_phi", "f_dphi")

@@ -166,3 +166,24 @@ def test_cut_and_register(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() >= 0
+
+
+def test_tuning_curves_find_a_separable_cell(spark):
+    rng = np.random.default_rng(8)
+    rho, phi, d = rng.uniform(0, 2, 6000), rng.uniform(0, 2 * math.pi, 6000), rng.uniform(-1, 1, 6000)
+    w = (rho > 1) * (1 + np.cos(phi - 2)) * (d > 0)
+    df = spark.createDataFrame([(1, i % 2, float(a), float(b), float(c), float(x)) for i, (a, b, c, x) in enumerate(zip(rho, phi, d, w))], "k long, trial int, rho double, phi double, dphi double, w double")
+    v = tuning.tuning_volume(df, ["k"], "trial", 1.0, 8)
+    assert math.isclose(sum(r["count"] for r in v.collect()), 3000) and math.isclose(sum(r.weighted for r in v.collect()), w.sum() / 2)
+    c = tuning.tuning_curves(v, "k", 8, 1.0, smooth=3).first()
+    assert c.drift > 0 and 0.3 < c.half_rho < 0.7 and abs(int(np.argmax(c.f_phi)) - 2) <= 1
+    p = tuning.predict_from_curves(df, tuning.tuning_curves(v, "k", 8, 1.0, 3), df.selectExpr("k", "rho AS rho_hi", "phi AS phi_hi").groupBy("k").max("rho_hi", "phi_hi").toDF("k", "rho_hi", "phi_hi"), ["k"], 8, 1.0)
+    got = np.array([(r.pred, r.w) for r in p.collect()])
+    assert np.corrcoef(got.T)[0, 1] > 0.9
+
+
+def test_hann_goes_round():
+    v = np.zeros((1, 5, 6, 4))
+    v[0, 2, 0, 1] = 1.0
+    s = tuning.hann_volume(v, 3)
+    assert math.isclose(s.sum(), 1.0) and math.isclose(s[0, 2, 5, 1], s[0, 2, 1, 1])
