@@ -108,6 +108,8 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
         ok = qi[i] != xi[j]
         return pd.DataFrame({"id": qi[i][ok], "other": xi[j][ok], "cosine": cos[ok].astype(float)})
 
+    # as many partitions as pairs of blocks: tasks stay this size whatever spark.sql.shuffle.partitions says
+    x_side, q_side = (side.repartition(n_blocks * q_blocks, "xb", "qb") for side in (x_side, q_side))
     near = x_side.groupBy("xb", "qb").cogroup(q_side.groupBy("xb", "qb")).applyInPandas(run, "id long, other long, cosine double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
     return near.withColumn("place", place).filter(F.col("place") <= k)
