@@ -23,15 +23,12 @@ MAX_BANK_CELLS = 64_000_000
 def filters(spark: SparkSession, nx: int, ny: int, n_theta: int, sigmas: list[float], phases: list[float], frequencies: list[float] | None = None) -> DataFrame:
     """The parameters of every filter: x, y, o, s, f, phase, theta, sigma, frequency, offset."""
 
-    def axis(name: str, value: str, values: list[float]) -> DataFrame:
-        return spark.createDataFrame(list(enumerate(map(float, values))), f"{name} int, {value} double")
-
     grid = spark.range(nx * ny).select(F.floor(F.col("id") / ny).cast("int").alias("x"), F.pmod("id", F.lit(ny)).cast("int").alias("y"))
-    axes = [axis("o", "theta", [i * math.pi / n_theta for i in range(n_theta)]), axis("s", "sigma", sigmas), axis("phase", "offset", phases)]
+    axes = {"o": ("theta", [i * math.pi / n_theta for i in range(n_theta)]), "s": ("sigma", sigmas), "phase": ("offset", phases)}
     if frequencies:
-        axes.append(axis("f", "frequency", frequencies))
-    for a in axes:  # axes of a parameter grid: a few values each
-        grid = grid.join(F.broadcast(a))
+        axes["f"] = ("frequency", frequencies)
+    for name, (value, values) in axes.items():
+        grid = grid.select("*", F.posexplode(F.array(*[F.lit(float(v)) for v in values])).alias(name, value))
     if not frequencies:
         grid = grid.withColumn("f", F.lit(0)).withColumn("frequency", TIED_SLOPE * F.col("sigma") + TIED_OFFSET)
     return grid

@@ -114,8 +114,8 @@ def match_distribution(source: DataFrame, template: DataFrame, width: float) ->
 
     def shares(df: DataFrame) -> DataFrame:
         c = df.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
-        total = c.agg(F.sum("n").alias("total"))
-        return running_sum(c, ["g"], ["value"], F.col("n"), width, "upto").crossJoin(F.broadcast(total)).withColumn("t", F.col("upto") / F.col("total"))
+        total = c.agg(F.sum("n")).first()[0] or 1
+        return running_sum(c, ["g"], ["value"], F.col("n"), width, "upto").withColumn("t", F.col("upto") / total)
 
     s, t = shares(source), shares(template).select("g", "t", F.col("t").alias("q"), F.col("value").alias("v"))
     b = asof(s.select("g", "t", "value", "n"), t, ["g"], "t", ["q", "v"], 0.01).withColumnsRenamed({"q": "q0", "v": "v0"})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -99,8 +101,7 @@ def sign_map(grid: DataFrame) -> DataFrame:
 
 def unwrap_strips(cells: DataFrame, resolution: float) -> DataFrame:
     """Three strips that lie one above the other put side by side, in micrometres: id, ``uy, ux``."""
-    m = cells.agg(F.ceil(F.max("y") / 3).alias("ly"), F.ceil(F.max("x")).alias("lx"))
-    c = cells.join(F.broadcast(m))  # one row
-    mid = (F.col("y") > F.col("ly")) & (F.col("y") <= 2 * F.col("ly"))
-    k = F.when(mid, 1).when(F.col("y") > 2 * F.col("ly"), 2).otherwise(0)
-    return c.select("id", ((F.col("y") - k * F.col("ly")) * resolution).alias("uy"), ((F.col("x") + k * F.col("lx")) * resolution).alias("ux"))
+    y, x = cells.agg(F.max("y"), F.max("x")).first()
+    ly, lx = math.ceil((y or 0) / 3), math.ceil(x or 0)
+    k = F.when((F.col("y") > ly) & (F.col("y") <= 2 * ly), 1).when(F.col("y") > 2 * ly, 2).otherwise(0)
+    return cells.select("id", ((F.col("y") - k * ly) * resolution).alias("uy"), ((F.col("x") + k * lx) * resolution).alias("ux"))

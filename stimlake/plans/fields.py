@@ -84,9 +84,10 @@ def rf_table_peaks(s: SparkSession, d: str) -> DataFrame:
 
 
 def gabor_bank(s: SparkSession, d: str) -> DataFrame:
-    """The bank laid over the movie's first and last frame numbers: weights of every filter."""
-    n = frames(s, d).agg(F.count("*").alias("n_frames"))
-    return bank(s).join(F.broadcast(n)).select("x", "y", "o", "s", "phase", "pixel", F.round("w", 8).alias("w"), "n_frames")
+    """The weights of every filter beside the movie's mean pixel there."""
+    mean = frames(s, d).select(F.posexplode("pixels").alias("pixel", "v")).groupBy("pixel").agg(F.round(F.avg("v"), 6).alias("mean"))
+    # one row for each of the 64 pixels of a frame
+    return bank(s).join(F.broadcast(mean), "pixel").select("x", "y", "o", "s", "phase", "pixel", F.round("w", 8).alias("w"), "mean")
 
 
 def field_images(s: SparkSession, d: str) -> DataFrame:
@@ -145,7 +146,7 @@ _V = "(SELECT DISTINCT ON (neuron) neuron, rfs FROM rf WHERE rfs IS NOT NULL)"
 _E = f"(SELECT neuron, i - 1 AS i, CASE WHEN rfs[i] IS NULL OR isnan(rfs[i]) THEN 0 ELSE CAST(rfs[i] AS DOUBLE) END AS r FROM (SELECT neuron, rfs, unnest(range(1, 97)) AS i FROM {_V}))"
 _AX6 = "(SELECT CAST(unnest(range(6)) AS INTEGER) AS x), (SELECT CAST(unnest(range(2)) AS INTEGER) AS y), (SELECT o, o * pi() / 8 AS theta FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS o)), (VALUES (0, 1.0::DOUBLE)) g(s, sigma), (VALUES (0, 0.0::DOUBLE)) q(phase, off)"
 SQL = {
-    "gabor_bank": f"SELECT x, y, o, s, phase, pixel, round(w, 8) AS w, (SELECT count(*) FROM embeddings) AS n_frames FROM {_BANK}",
+    "gabor_bank": f"SELECT x, y, o, s, phase, pixel, round(w, 8) AS w, mean FROM {_BANK} JOIN (SELECT CAST(i - 1 AS INTEGER) AS pixel, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i) USING (pixel)",
     "wavelet_projection": f"SELECT frame, phase, s, x, y, o, round(coef, 5) AS coef FROM {_COEF}",
     "wavelet_power": f"SELECT CAST(feature AS INTEGER) AS feature, round(avg(p), 5) AS mean_power, round(max(p), 5) AS max_power FROM {_POW} GROUP BY feature",
     "normalised_magnitude": f"SELECT frame, CAST(feature AS INTEGER) AS feature, round(m / (1 + sum(m) OVER (PARTITION BY frame)), 6) AS magnitude FROM (SELECT frame, {_FEAT} AS feature, sum(abs(coef)) AS m FROM {_COEF} GROUP BY ALL)",
