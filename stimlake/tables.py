@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import atexit
 import math
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a folder of our own serves a
+    session within one process; on a cluster that would be an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
