@@ -8,11 +8,13 @@ cosine.
 How it is spread: vectors are shuffled once into blocks of about ``block_rows`` (hash of the id), queries into
 blocks of about ``query_rows``; every pair of blocks is one group, whose inverted files, candidates and exact
 cosines never leave it. Only ``k`` rows for each query and block are shuffled further. Pivots are a bounded
-sample (``pivots`` vectors: those with the smallest hash of their id); every vector is indexed.
+sample (at most ``pivots`` vectors, drawn by the hash of their id); every vector is indexed.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -87,10 +89,13 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
     """
     v = vectors.select(F.col("id").cast("long"), F.col("vec").cast("array<float>")).filter(F.col("id").isNotNull() & (F.size("vec") == dim) & F.exists("vec", lambda e: (e != 0) & ~F.isnan(e)))
     q = queries.select(F.col("id").cast("long")).filter(F.col("id").isNotNull()).distinct()
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toPandas()  # bounded: the pivots
+    n = v.count()
+    n_blocks = parts(n, block_rows)
+    # a threshold on the hash leaves about twice the pivots, so that no task sends more than its share of them
+    few = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < math.ceil((1 << 40) * min(1.0, 2 * pivots / max(n, 1)))
+    sample = v.filter(few).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(pivots).select("vec").toPandas()  # bounded: the pivots
     base = np.unique(unit_rows(sample["vec"], dim), axis=0)
     length = max(1, min(length, len(base)))
-    n_blocks = parts(v.count(), block_rows)
     # block and query vectors meet in the groups; queries take their vectors from the same table
     asked = cut(v.join(q, "id").dropDuplicates(["id"]), "asked")
     q_blocks = parts(asked.count(), query_rows)
