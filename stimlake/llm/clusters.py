@@ -1,18 +1,21 @@
 """Similarity clusters of located vectors by grid density.
 
-Features are quantised: the position into square cells as wide as a cluster, the direction of the vector into
-the signs of ``bits`` fixed projections. Several grids are laid, shifted in place and with other projections,
-so that what one grid cuts apart another holds together. SQL counts the cells; cells with at least two
-members whose mean direction is concordant are dense. Adjacent dense cells (near in place and direction) are
-joined, each to the densest of its neighbourhood, and minimum labels are propagated along these joins to
-convergence. The labelled cells give the clusters' prototypes; every point, also of a sparse cell, then joins
-the most similar prototype in reach, and the clusters' own means decide on their members. Clusters are
-reported by size and by the members of their densest part, those nearest to the mean direction.
-
-How it is spread: counts and sums are aggregated before they are shuffled. Groups of points are salted by
-their counted size, so a crowded place is many tasks; groups of cells are bounded by the number of cells a
-grid can have in a place, not by the rows in it. Vectors travel as one byte an element (cosines are exact to
-about 0.003); the number of bits follows from the mean occupancy of the places.
+Features are quantised: the position into squares as wide as two clusters, the direction of the vector into the
+sides of projections. Two grids are laid, shifted by half a square, so that one of them holds what the other cuts
+apart. A square is split by direction only as far as it is too full to be compared whole: into groups of at most
+about ``ROOM`` points for a task, inside a task into leaves of at most ``LEAF`` points. So the number of splits
+follows from the counted occupancy of each square, and where there are splits there are as many different ones
+(``tables``) as keep the chance that a smallest cluster is cut apart in all of them under ``MISS``. In a leaf
+the density around each point is counted exactly; the means of concordant neighbourhoods are dense places.
+Adjacent dense places (near in place and direction) are joined, each to the densest of its neighbourhood, and
+minimum labels are propagated along these joins to convergence. The labels give the clusters' prototypes; every
+point, also of a sparse place, then joins the most similar prototype in reach, and the clusters' own means
+decide on their members. Clusters are reported by size and by the members of their densest part, those nearest
+to the mean direction.
+
+How it is spread: points go to their squares and groups once for each grid and table; all that follows from
+them is computed there. Groups that points join prototypes in are salted by their counted size, so a crowded
+place is many tasks. Vectors travel as one byte an element (cosines are exact to about 0.003).
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from stimlake.tables import bucket, cut, maybe_broadcast, parts
 
 #: Members that one task compares with prototypes at a time.
 GROUP_ROWS = 40_000
+#: Points of a square that one task searches for dense places, and those compared pairwise at a time.
+ROOM, LEAF = 32_768, 1024
+#: Accepted chance that no table keeps two members of a smallest cluster together.
+MISS = 0.005
 
 
 def pack(u: np.ndarray) -> list[bytes]:
@@ -74,27 +81,6 @@ def _partial_sums(df: DataFrame, key: str, dim: int) -> DataFrame:
     return df.select(key, "id", "y", "x", "b").mapInPandas(run, SUMS.format(key=key))
 
 
-def _group_sums(df: DataFrame, key: str, dim: int, rows: int) -> DataFrame:
-    """Sums of each key and salt; df has ``salt`` and ``salts``, so that no group is larger than its share."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = _sum_rows(pdf[key].to_numpy(), np.ones(len(pdf)), pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["id"], unpack(pdf["b"], dim), key)
-        return got.merge(pdf[[key, "salts"]].drop_duplicates(key), on=key)
-
-    return df.select(key, "salt", "salts", "id", "y", "x", "b").groupBy(bucket(parts(rows, 20_000, 4), key, "salt").alias("g")).applyInPandas(run, SUMS.format(key=key) + ", salts int")
-
-
-def _fold(sums: DataFrame, key: str, dim: int) -> DataFrame:
-    """Sums of sums, one row for each key and input batch."""
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield _sum_rows(pdf[key].to_numpy(), pdf["n"].to_numpy(), pdf["y"].to_numpy(), pdf["x"].to_numpy(), pdf["least"], _vectors(pdf["s"], dim), key)
-
-    return sums.select(key, "n", "y", "x", "least", "s").mapInPandas(run, SUMS.format(key=key))
-
-
 MEANS = "{key} long, n long, cy double, cx double, least long, length double, m array<float>"
 
 
@@ -112,14 +98,84 @@ def _means(sums: DataFrame, key: str, dim: int, rows: int) -> DataFrame:
     return sums.select(key, "n", "y", "x", "least", "s").groupBy(bucket(parts(rows, 20_000, 4), key).alias("g")).applyInPandas(run, MEANS.format(key=key))
 
 
-def _own_means(sums: DataFrame, key: str, dim: int) -> DataFrame:
-    """Means of keys that have one row of sums each."""
+def tables(splits: int, least_cosine: float, least_size: int) -> int:
+    """How many different splits into ``2 ** splits`` parts keep the chance of missing a smallest cluster under MISS.
+
+    A member is on the same side as the mean direction with probability 1 - angle / pi.
+    """
+    q = (1 - math.acos(max(-1.0, min(1.0, least_cosine))) / math.pi) ** splits
+    missed = (1 - q) ** least_size + least_size * q * (1 - q) ** (least_size - 1)
+    return 1 if missed <= MISS else math.ceil(math.log(MISS) / math.log(missed))
+
+
+def _distinct(n: np.ndarray, yx: np.ndarray, m: np.ndarray, radius: float, least_cosine: float) -> np.ndarray:
+    """The densest of each neighbourhood of dense places, densest first."""
+    left, kept = np.argsort(-n, kind="stable"), []
+    while len(left):
+        i = left[0]
+        kept.append(i)
+        near = (m[left] @ m[i] >= least_cosine) & (((yx[left] - yx[i]) ** 2).sum(1) <= radius**2)
+        near[0] = True
+        left = left[~near]
+    return np.array(kept, int)
 
-    def run(batches):
-        for pdf in batches:
-            yield _to_means(pdf, key, dim)
 
-    return sums.select(key, "n", "y", "x", "least", "s").mapInPandas(run, MEANS.format(key=key))
+def _leaf(u: np.ndarray, yx: np.ndarray, radius: float, least_cosine: float, bound: float) -> tuple[np.ndarray, ...]:
+    """Dense places among a few points: sizes, centres, unit mean directions and their lengths.
+
+    Each point's neighbourhood is moved twice to the mean of what is near it; ``bound`` is the least mean cosine
+    between the members of a concordant one.
+    """
+
+    def near(m: np.ndarray, at: np.ndarray, cosine: float, reach: float) -> np.ndarray:
+        far = (at[:, :1] - yx[:, 0]) ** 2
+        far += (at[:, 1:] - yx[:, 1]) ** 2
+        return (m @ u.T >= cosine) & (far <= reach**2)
+
+    full = np.hstack([u, yx])
+    d = u.shape[1]
+    ok = near(u, yx, bound - 0.03, radius)
+    ok = ok[ok.sum(1) > 1]
+    for cosine in (least_cosine - 0.05, least_cosine):
+        s = ok.astype(np.float32) @ full
+        n = ok.sum(1)
+        ok = near(_unit(s[:, :d]), s[:, d:] / np.maximum(n, 1)[:, None], cosine, radius)
+        ok = ok[ok.sum(1) > 1]
+    s, n = ok.astype(np.float32) @ full, ok.sum(1)
+    length = np.linalg.norm(s[:, :d], axis=1) / np.maximum(n, 1)
+    good = (n > 1) & ((n * length**2 - 1) / np.maximum(n - 1, 1) >= bound)
+    n, s, length = n[good], s[good], length[good]
+    m, at = _unit(s[:, :d]), s[:, d:] / np.maximum(n, 1)[:, None]
+    k = _distinct(n, at, m, radius, least_cosine)
+    return n[k], at[k], m[k], length[k]
+
+
+def _leaves(u: np.ndarray, rng: np.random.Generator, splits: int):
+    """Rows of the parts that halving at medians of random projections gives."""
+    todo = [(np.arange(len(u)), splits)]
+    while todo:
+        rows, k = todo.pop()
+        if not k:
+            yield rows
+            continue
+        side = np.argsort(u[rows] @ rng.standard_normal(u.shape[1]).astype(np.float32), kind="stable")
+        todo += [(rows[side[: len(rows) // 2]], k - 1), (rows[side[len(rows) // 2 :]], k - 1)]
+
+
+def dense_places(u: np.ndarray, y: np.ndarray, x: np.ndarray, radius: float, least_cosine: float, least_size: int, seed: int) -> tuple[np.ndarray, ...]:
+    """Dense places of the points of a square: sizes, centres, unit mean directions and their lengths."""
+    # members at the bound of the cosine to their mean have this mean cosine to each other
+    bound = (least_size * least_cosine**2 - 1) / (least_size - 1)
+    origin = np.array([y.min(), x.min()]) if len(u) else np.zeros(2)
+    yx = (np.column_stack([y, x]) - origin).astype(np.float32)
+    splits = max(0, math.ceil(math.log2(max(len(u), 1) / LEAF)))
+    rng, got = np.random.default_rng(seed), []
+    # a median may lie nearer to a cluster than a fixed plane does: one table more
+    for _ in range(tables(splits, least_cosine, least_size) + (splits > 0)):
+        got += [_leaf(u[rows], yx[rows], radius, least_cosine, bound) for rows in _leaves(u, rng, splits)]
+    n, at, m, length = (np.concatenate(z) for z in zip(*got))
+    k = _distinct(n, at, m, radius, least_cosine) if len(got) > 1 else np.arange(len(n))
+    return n[k], at[k] + origin, m[k], length[k]
 
 
 def propagate(edges: DataFrame) -> DataFrame:
@@ -141,13 +197,12 @@ def propagate(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius: float = 100.0, least_cosine: float = 0.85, least_size: int = 8, grids: int = 5, crowd: float = 0.02, seed: int = 11) -> DataFrame:
+def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius: float = 100.0, least_cosine: float = 0.85, least_size: int = 8, seed: int = 11) -> DataFrame:
     """Clusters of points that lie near each other and whose vectors point the same way.
 
     places: ``id`` BIGINT, ``y, x`` DOUBLE; vectors: ``id`` and ``vec`` ARRAY of ``dim`` numbers. A cluster has
     at least ``least_size`` points; all lie within ``radius`` of its centre and have a cosine of at least
-    ``least_cosine`` to its mean direction. ``crowd`` is the number of unrelated points a cell may hold on
-    average, from which the fineness of the grids follows.
+    ``least_cosine`` to its mean direction.
 
     Result, one row for each member: ``id, cluster`` (the smallest id in it), ``size, cosine`` (to the mean
     direction), ``distance`` (from the centre). Points in no cluster have no row.
@@ -163,36 +218,51 @@ def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius:
             yield pd.DataFrame({"id": pdf["id"], "b": pack(unit_rows(pdf["vec"], dim))})
 
     packed = v.mapInPandas(to_bytes, "id long, b binary").dropDuplicates(["id"])
-    return _cluster_packed(at.join(packed, "id"), dim, radius, least_cosine, least_size, grids, crowd, seed)
+    return _cluster_packed(at.join(packed, "id"), dim, radius, least_cosine, least_size, seed)
 
 
-def _cluster_packed(packed: DataFrame, dim: int, radius: float, least_cosine: float, least_size: int, grids: int, crowd: float, seed: int) -> DataFrame:
-    side = 2 * radius
+def _cluster_packed(packed: DataFrame, dim: int, radius: float, least_cosine: float, least_size: int, seed: int) -> DataFrame:
+    wide = 4 * radius
     base = cut(packed, "points")
+    n = base.count()
     place = lambda c, w: F.floor(F.col(c) / w)
-    n, places = base.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(place("y", side), place("x", side)))).first()
-    bits = min(30, max(6, math.ceil(math.log2(max(n, 1) / max(places, 1) / crowd + 1))))
-    planes = np.random.default_rng(seed).standard_normal((grids, dim, bits)).astype(np.float32)
-
-    def cells(batches):
-        for pdf in batches:
-            u = unpack(pdf["b"], dim)
-            for g in range(grids):
-                code = ((u @ planes[g]) > 0) @ (1 << np.arange(bits, dtype=np.int64))
-                gy = np.floor(pdf["y"].to_numpy() / side + g / grids).astype(np.int64)
-                gx = np.floor(pdf["x"].to_numpy() / side + (2 * g % grids) / grids).astype(np.int64)
-                yield pd.DataFrame({"id": pdf["id"], "g": np.int32(g), "gy": gy, "gx": gx, "code": code})
-
-    placed = cut(base.mapInPandas(cells, "id long, g int, gy long, gx long, code long").select("id", F.xxhash64("g", "gy", "gx", "code").alias("cell")), "cells")
-    dense = placed.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    # a point goes with the densest of its cells: the densest cell of each neighbourhood keeps all its points
-    fullest = F.max(F.struct("n", "cell")).alias("c")
-    chosen = placed.join(dense, "cell").groupBy("id").agg(fullest).select("id", F.col("c.cell").alias("cell"), F.ceil(F.col("c.n") / GROUP_ROWS).cast("int").alias("salts"))
-    members = chosen.join(base, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))
-    sums = cut(_group_sums(members, "cell", dim, n), "sums")
-    whole = _own_means(sums.filter("salts = 1 AND n > 1"), "cell", dim).unionByName(_means(_fold(sums.filter("salts > 1"), "cell", dim), "cell", dim, 1))
-    concordant = (F.col("n") * F.col("length") ** 2 - 1) / (F.col("n") - 1) >= least_cosine**2
-    seeds = cut(whole.filter("n > 1").filter(concordant), "dense")
+    shifted = lambda c: F.floor(F.col(c) / wide + F.col("g") / 2)
+    placed = base.withColumn("g", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("gy", shifted("y")).withColumn("gx", shifted("x"))
+    splits = F.ceil(F.log2(F.col("count") / ROOM)).cast("int")
+    full = cut(placed.groupBy("g", "gy", "gx").count().filter(F.col("count") > ROOM).select("g", "gy", "gx", splits.alias("splits")), "full")
+    deepest = full.agg(F.max("splits")).first()[0] or 0
+    code = F.lit(0)
+    if deepest:
+        copies = [tables(k, least_cosine, least_size) for k in range(deepest + 1)]
+        planes = np.random.default_rng(seed).standard_normal((max(copies), dim, deepest)).astype(np.float32)
+        some = base.filter(F.pmod(F.xxhash64("id"), F.lit(max(1, n // 4096))) == 0).select("b").limit(8192).toPandas()  # bounded: where the planes pass
+        middle = np.median(np.einsum("nd,tdk->ntk", unpack(some["b"], dim), planes), axis=0) if len(some) else np.zeros((max(copies), deepest))
+        rest = [c for c in placed.columns if c != "b"]
+
+        def sides(batches):
+            for pdf in batches:
+                u, t, k = unpack(pdf["b"], dim), pdf["table"].to_numpy(), pdf["splits"].to_numpy()
+                code = np.zeros(len(pdf), np.int64)
+                for i in np.unique(t[k > 0]):
+                    at = (t == i) & (k > 0)
+                    code[at] = ((u[at] @ planes[i] > middle[i]) @ (1 << np.arange(deepest, dtype=np.int64))) & ((1 << k[at].astype(np.int64)) - 1)
+                yield pdf[[*rest, "b", "table"]].assign(code=code)
+
+        placed = placed.join(maybe_broadcast(full), ["g", "gy", "gx"], "left").withColumn("splits", F.coalesce("splits", F.lit(0)))
+        placed = placed.withColumn("table", F.explode(F.sequence(F.lit(0), F.element_at(F.array(*map(F.lit, copies)), F.col("splits") + 1) - 1)))
+        placed = placed.select(*rest, "b", "table", "splits").mapInPandas(sides, "id long, y double, x double, g int, gy long, gx long, b binary, table int, code long")
+        code = F.struct("table", "code")
+    groups = placed.select(F.xxhash64("g", "gy", "gx", code).alias("key"), "y", "x", "b").repartition(parts(2 * n, 20_000, 8), "key")
+
+    def seek(pdf: pd.DataFrame) -> pd.DataFrame:
+        key = int(pdf["key"].iloc[0])
+        pdf = pdf.sort_values(["y", "x", "b"])
+        size, at, m, length = dense_places(unpack(pdf["b"], dim), pdf["y"].to_numpy(), pdf["x"].to_numpy(), radius, least_cosine, least_size, seed)
+        with np.errstate(over="ignore"):
+            cell = np.int64(key) + np.arange(len(size), dtype=np.int64)
+        return pd.DataFrame({"cell": cell, "n": size.astype(np.int64), "cy": at[:, 0], "cx": at[:, 1], "length": length.astype(float), "m": pd.Series(list(m.astype(np.float32)), dtype=object)})
+
+    seeds = cut(groups.groupBy("key").applyInPandas(seek, "cell long, n long, cy double, cx double, length double, m array<float>"), "dense")
 
     def around(df: DataFrame, cy: Column, cx: Column, w: float) -> DataFrame:
         """Each row in its own square of width w and the eight around it."""

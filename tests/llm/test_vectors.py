@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from stimlake.llm.clusters import describe, located_clusters, propagate
+from stimlake.llm.clusters import dense_places, describe, located_clusters, propagate, tables
 from stimlake.llm.knn import most_similar
 
 DIM = 24
@@ -45,7 +45,7 @@ def test_search_on_nothing(spark):
 def clusters(spark, points, **how):
     at = spark.createDataFrame([(i, y, x, "k") for i, y, x, _ in points], "id long, y double, x double, label string")
     v = spark.createDataFrame([(i, f, 1) for i, _, _, f in points], "id long, vec array<double>, n int")
-    return located_clusters(at, v, dim=DIM, **how)
+    return located_clusters(at, v, **{"dim": DIM} | how)
 
 
 def test_clusters_with_dirt(spark):
@@ -83,3 +83,41 @@ def test_labels_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (200, 200), (None, 3)], "a long, b long")
     got = {r.node: r.label for r in propagate(e).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 200: 200}
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=-1, keepdims=True)
+
+
+def around_mean(rng, m, n, cosine):
+    """n unit vectors of equal cosine to m, whose mean they have."""
+    e = rng.standard_normal((n, len(m)))
+    e -= np.outer(e @ m, m)
+    e = unit(e - e.mean(0))
+    return cosine * m + math.sqrt(1 - cosine**2) * e
+
+
+def test_small_clusters_in_a_crowded_place(spark):
+    rng = np.random.default_rng(8)
+    pts, want = [], {}
+    for c, m in enumerate(unit(rng.standard_normal((30, 96)))):
+        y, x = rng.uniform(60, 140, 2)
+        for j, f in enumerate(around_mean(rng, m, 8, 0.88)):
+            pts.append((100 * c + j, float(y + rng.uniform(-30, 30)), float(x + rng.uniform(-30, 30)), f.tolist()))
+            want[100 * c + j] = 100 * c
+    # most points lie in one place, those elsewhere keep the mean occupancy low
+    pts += [(10_000 + i, *rng.uniform(0, 200, 2).tolist(), f.tolist()) for i, f in enumerate(unit(rng.standard_normal((3000, 96))))]
+    pts += [(20_000 + i, 1000.0 + 500 * (i // 20), 500.0 * (i % 20), f.tolist()) for i, f in enumerate(unit(rng.standard_normal((400, 96))))]
+    got = {r.id: r.cluster for r in clusters(spark, pts, dim=96).collect()}
+    assert {i: got.get(i) for i in want} == want
+
+
+def test_recall_of_dense_places_over_splits():
+    rng = np.random.default_rng(3)
+    for unrelated in (500, 20_000):
+        mean, centre = unit(rng.standard_normal((50, 96))), rng.uniform(60, 340, (50, 2))
+        u = np.concatenate([*(around_mean(rng, m, 8, 0.86) for m in mean), unit(rng.standard_normal((unrelated, 96)))]).astype(np.float32)
+        yx = np.concatenate([np.repeat(centre, 8, 0) + rng.uniform(-40, 40, (400, 2)), rng.uniform(0, 400, (unrelated, 2))])
+        _, at, m, _ = dense_places(u, yx[:, 0], yx[:, 1], 100.0, 0.85, 8, 1)
+        assert sum(((m @ a >= 0.8) & (np.hypot(*(at - c).T) <= 100)).any() for a, c in zip(mean, centre)) >= 49
+    assert tables(0, 0.85, 8) == 1 and all(a <= b for a, b in zip(*(map(lambda k: tables(k, 0.85, 8), r) for r in (range(12), range(1, 13)))))
