@@ -5,7 +5,7 @@ import pytest
 
 from stimlake.llm.leaks import find_leaks, words
 from stimlake.llm.packing import count_tokens, pack_texts
-from stimlake.llm.personal import Names, find, find_personal, permute_date, permute_digits, permute_number, placeholder, redact, redact_personal
+from stimlake.llm.personal import AT, ID_NUMBER, Names, ats, emails, find, find_personal, permute_date, permute_digits, permute_number, placeholder, redact, redact_personal
 
 DOC = "doc_id long, text string, source string, item_id long, kind string"
 
@@ -167,3 +167,16 @@ def test_token_counts(spark):
     d = docs(spark, [(1, "hello hello world", "a"), (2, None, None), (3, "", "a"), (4, "x" * 50_000, "a")])
     got = {r.doc_id: (r.source, r.tokens) for r in count_tokens(d).collect()}
     assert got[1][1] == 3 and got[2] == ("", 0) and got[3][1] == 0 and got[4][1] > 1000
+
+
+def test_cues_and_plain_scans_agree():
+    labels = ["TIN:", "tin=", "TAX_NO:", "tax_number", "tax_record", "ni_number", "ni  number", "id_card", "travel_document", "travel\ndocument", "soc_sec", "soc. sec.", "social\nsecurity", "SSN", "national_id", "tax\tid", "personal_no", "identity\tcard", "\u017fsn:", "taxpayer_id", "Nino"]
+    for label in labels:
+        text = f"x = 1\n{label} 123-45-6789\n"
+        assert [m.span(1) for m in ID_NUMBER.finditer(text)] == [(a, b) for a, b, k in find(text, NAMES) if k == "id_number"] != [], label
+    rng = random.Random(4)
+    words = ["a", "ab.c", "at", "AT", "dot", "DOT", "[at]", "( AT )", "{\tat\n}", "(@)", "@", "%40", "&#64;", "&#x40;", "&commat;", "\\u0040", "(dot)", "org", "x-y", ".", "["]
+    for _ in range(5000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", "\t", "\n", "  "]) for _ in range(rng.randrange(1, 14)))
+        assert [m.span() for m in ats(text)] == [m.span() for m in AT.finditer(text)], text
+    assert [text[a:b] for text in ("arda\tat\tmail\tdot\torg", "arda at\nmail dot org") for a, b in emails(text)] == ["arda\tat\tmail\tdot\torg", "arda at\nmail dot org"]

@@ -121,3 +121,13 @@ def test_recall_of_dense_places_over_splits():
         _, at, m, _ = dense_places(u, yx[:, 0], yx[:, 1], 100.0, 0.85, 8, 1)
         assert sum(((m @ a >= 0.8) & (np.hypot(*(at - c).T) <= 100)).any() for a, c in zip(mean, centre)) >= 49
     assert tables(0, 0.85, 8) == 1 and all(a <= b for a, b in zip(*(map(lambda k: tables(k, 0.85, 8), r) for r in (range(12), range(1, 13)))))
+
+
+def test_mixed_neighbourhood_does_not_cost_a_cluster_its_place():
+    rng = np.random.default_rng(12)
+    m = np.eye(96)[0]
+    # around eight members a crowd too far from their mean direction to belong, on the same side of most planes
+    u = np.concatenate([around_mean(rng, m, 8, 0.9), around_mean(rng, m, 900, 0.72)]).astype(np.float32)
+    yx = np.concatenate([np.column_stack([100.0 + np.arange(8), np.full(8, 100.0)]), rng.uniform(60, 140, (900, 2))])
+    _, at, found, _ = dense_places(u, yx[:, 0], yx[:, 1], 100.0, 0.85, 8, 1)
+    assert ((found @ m >= 0.9) & (np.hypot(*(at - 100).T) <= 50)).any()
