@@ -294,48 +294,54 @@ def _cluster_packed(packed: DataFrame, dim: int, radius: float, least_cosine: fl
     summed = seeds.join(labels, seeds.cell == labels.node).select("label", "n", "cy", "cx", "length", "m").mapInPandas(label_sums, "label long, n long, y double, x double, least long, s array<float>")
     prototypes = cut(_means(summed, "label", dim, max(n // 50, 1)).select("label", "cy", "cx", "m"), "prototypes")
 
-    # points meet the prototypes around them; crowded squares are salted
-    squared = base.select("id", "y", "x", "b", place("y", radius).alias("gy"), place("x", radius).alias("gx"))
-    crowded = base.groupBy(place("y", radius).alias("gy"), place("x", radius).alias("gx")).count().filter(F.col("count") > GROUP_ROWS).select("gy", "gx", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("salts"))
-    crowded = maybe_broadcast(cut(crowded, "crowded"))
-    salts = F.coalesce(F.col("salts"), F.lit(1))
-    salted = squared.join(crowded, ["gy", "gx"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("salts")
-    reach = around(prototypes, F.col("cy"), F.col("cx"), radius).drop("own").join(crowded, ["gy", "gx"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-    loose = 2 * least_cosine - 1
-
-    def assign(pts: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
-        if not len(pts) or not len(protos):
-            return pd.DataFrame({"id": [], "label": [], "y": [], "x": [], "b": []})
-        protos = protos.sort_values("label")
-        u, m = unpack(pts["b"], dim), _vectors(protos["m"], dim)
-        y, x, cy, cx = pts["y"].to_numpy(), pts["x"].to_numpy(), protos["cy"].to_numpy(), protos["cx"].to_numpy()
-        best, cos = np.zeros(len(u), int), np.full(len(u), -2.0)
-        for i in range(0, len(u), 4096):
-            c = u[i : i + 4096] @ m.T
-            c[np.hypot(y[i : i + 4096, None] - cy, x[i : i + 4096, None] - cx) > 1.5 * radius] = -2
-            best[i : i + 4096], cos[i : i + 4096] = c.argmax(1), c.max(1)
-        ok = cos >= loose
-        return pd.DataFrame({"id": pts["id"].to_numpy()[ok], "label": protos["label"].to_numpy()[best[ok]], "y": y[ok], "x": x[ok], "b": pts["b"].to_numpy()[ok]})
-
-    keys = ["gy", "gx", "salt"]
-    joined = cut(salted.groupBy(*keys).cogroup(reach.groupBy(*keys)).applyInPandas(assign, "id long, label long, y double, x double, b binary"), "joined")
-
-    def fit(rows: DataFrame, means: DataFrame) -> DataFrame:
-        """Members with their cosine and distance to the mean of their cluster, those within bounds."""
-
-        def run(batches):
-            for pdf in batches:
-                cos = (unpack(pdf["b"], dim) * _vectors(pdf["m"], dim)).sum(1)
-                far = np.hypot(pdf["y"] - pdf["cy"], pdf["x"] - pdf["cx"])
-                ok = (cos >= least_cosine) & (far <= radius)
-                yield pdf[["id", "label", "y", "x", "b"]].assign(cosine=cos.astype(float), distance=far)[ok]
-
-        return rows.select("id", "label", "y", "x", "b").join(means.filter(F.col("n") >= least_size).select("label", "cy", "cx", "m"), "label").mapInPandas(run, "id long, label long, y double, x double, b binary, cosine double, distance double")
-
-    first = cut(_means(_partial_sums(joined, "label", dim), "label", dim, max(n // 50, 1)), "means")
-    kept = fit(joined, first)
-    second = cut(_means(_partial_sums(kept, "label", dim), "label", dim, max(n // 50, 1)), "means")
-    final = cut(fit(joined, second).select("id", "label", "cosine", "distance"), "members")
+    loose, keys = 2 * least_cosine - 1, ["gy", "gx", "salt"]
+
+    def assign(points: DataFrame, means: DataFrame, strict: bool) -> DataFrame:
+        """Each point with the most similar of the clusters it can belong to by cosine and distance, and whether it can;
+        unless ``strict``, one that can belong to none goes with the most similar in a wider reach."""
+        reach = radius if strict else 1.5 * radius
+        # points meet the means around them; crowded squares are salted
+        squared = points.select("id", "y", "x", "b", place("y", reach).alias("gy"), place("x", reach).alias("gx"))
+        crowded = squared.groupBy("gy", "gx").count().filter(F.col("count") > GROUP_ROWS).select("gy", "gx", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("salts"))
+        crowded = maybe_broadcast(cut(crowded, "crowded"))
+        salts = F.coalesce(F.col("salts"), F.lit(1))
+        salted = squared.join(crowded, ["gy", "gx"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("salts")
+        about = around(means.select("label", "cy", "cx", "m"), F.col("cy"), F.col("cx"), reach).drop("own").join(crowded, ["gy", "gx"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+
+        def run(pts: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
+            if not len(pts) or not len(protos):
+                return pd.DataFrame({c: [] for c in ("id", "label", "y", "x", "b", "cosine", "distance")})
+            protos = protos.sort_values("label")
+            u, m = unpack(pts["b"], dim), _vectors(protos["m"], dim)
+            y, x, cy, cx, label = pts["y"].to_numpy(), pts["x"].to_numpy(), protos["cy"].to_numpy(), protos["cx"].to_numpy(), protos["label"].to_numpy()
+            best, cos, far = np.zeros(len(u), np.int64), np.full(len(u), -4.0), np.zeros(len(u))
+            there = protos.groupby(keys).indices
+            for square, rows in pts.groupby(keys).indices.items():
+                if square not in there:
+                    continue
+                k = there[square]
+                for r in np.split(rows, range(4096, len(rows), 4096)):
+                    c, d = u[r] @ m[k].T, np.hypot(y[r, None] - cy[k], x[r, None] - cx[k])
+                    # those that fit come before all others
+                    rank = np.where((c >= least_cosine) & (d <= radius), c + 2, -4 if strict else np.where((c >= loose) & (d <= reach), c, -4))
+                    j = rank.argmax(1)[:, None]
+                    best[r], far[r] = label[k[j[:, 0]]], np.take_along_axis(d, j, 1)[:, 0]
+                    cos[r] = np.where(np.take_along_axis(rank, j, 1) > -4, np.take_along_axis(c, j, 1), -4)[:, 0]
+            ok = cos > -4
+            return pd.DataFrame({"id": pts["id"].to_numpy()[ok], "label": best[ok], "y": y[ok], "x": x[ok], "b": pts["b"].to_numpy()[ok], "cosine": cos[ok], "distance": far[ok]})
+
+        group = bucket(parts(n, 10_000, 8), *keys).alias("bucket")
+        return salted.groupBy(group).cogroup(about.groupBy(group)).applyInPandas(run, "id long, label long, y double, x double, b binary, cosine double, distance double")
+
+    def refit(rows: DataFrame, least: int) -> DataFrame:
+        return cut(_means(_partial_sums(rows, "label", dim), "label", dim, max(n // 50, 1)).filter(F.col("n") >= least), "means")
+
+    # all points near some prototype are offered to every mean around them after each refit; a cluster goes only
+    # when it is too small with all that could be its members
+    joined = cut(assign(base, prototypes, False), "joined")
+    first = refit(joined, least_size // 2)
+    second = refit(assign(joined, first, True), least_size)
+    final = cut(assign(joined, second, True).select("id", "label", "cosine", "distance"), "members")
     named = final.groupBy("label").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).filter(F.col("size") >= least_size)
     return final.join(named, "label").select("id", "cluster", "size", "cosine", "distance")
 

@@ -131,3 +131,20 @@ def test_mixed_neighbourhood_does_not_cost_a_cluster_its_place():
     yx = np.concatenate([np.column_stack([100.0 + np.arange(8), np.full(8, 100.0)]), rng.uniform(60, 140, (900, 2))])
     _, at, found, _ = dense_places(u, yx[:, 0], yx[:, 1], 100.0, 0.85, 8, 1)
     assert ((found @ m >= 0.9) & (np.hypot(*(at - 100).T) <= 50)).any()
+
+
+def test_second_choice_where_the_most_similar_cluster_is_too_far(spark):
+    rng = np.random.default_rng(6)
+    a, d = np.eye(DIM)[0], np.eye(DIM)[1]
+    pts = []
+
+    def add(i, x, f):
+        pts.append((i, 500.0 + i % 7, 500.0 + x + i % 3, (f + 0.02 * rng.standard_normal(DIM)).tolist()))
+
+    for j in range(5):  # those of the second half lean to the direction of a cluster about 140 um away
+        add(j, -200.0, a - 0.25 * d)
+        add(10 + j, -130.0, a + 0.25 * d)
+    for j in range(30):
+        add(100 + j, 5.0 * (j % 2), a + 0.3 * d)
+    got = {r.id: r.cluster for r in clusters(spark, pts).collect()}
+    assert got == {i: 0 for j in range(5) for i in (j, 10 + j)} | {100 + j: 100 for j in range(30)}
