@@ -43,7 +43,9 @@ PHONE = re.compile(
 )
 OF_A_THING = re.compile(r"(?:part|ticket|build|order|serial|item|invoice|case|batch|model|sku|isbn|issue|version|revision|release|offset|job|lot|catalogue)s?[\s_.:#=-]*(?:no|nr|number|id)?[\s.:#=-]*$", re.I)
 
-ID_HINTS = ("ssn", "soc. sec", "soc sec", "social", "national", "nino", "ni number", "personal", "identity", "id card", "passport", "travel doc", "taxpayer", "tax id", "tax_id", "tax n", "tax rec", "tin ")
+# one of these begins every label that ID_LABEL accepts
+ID_CUES = re.compile(r"ssn|soc|national|nino|ni[\s_]+number|personal|identity|id[\s_]card|passport|travel[\s_]doc|tax|tin(?![a-z])")
+FOLDED = str.maketrans({"\u0130": "i", "\u0131": "i", "\u017f": "s", "\u212a": "k"})  # what re.I takes for these letters
 ID_LABEL = (
     r"(?<![A-Za-z])(?:ssn|soc(?:ial|\.)?[\s_]+sec(?:urity|\.)?|social[\s_]+insurance|national[\s_]+insurance|nino|ni[\s_]+number|national[\s_]id(?:entity)?|personal[\s_](?:id|identity)"
     r"|personal[\s_]no\.?|identity[\s_](?:card|document|no\.?)|id[\s_]card|passport|travel[\s_]document|taxpayer(?:[\s_](?:id|identification))?|tax[\s_](?:id|no\.?|number|record)|tin)"
@@ -62,7 +64,9 @@ BORN = re.compile(r"(?:born|dob|date of birth|birth[ _]?date)[\"']?\s*(?:[:=]+|o
 
 
 # What a line must hold for a pattern to be tried on it: these scans are much faster than the patterns.
-AT_CUES = tuple(re.compile(x) for x in ("@", "%40", "&#", "&commat;", r"\\u0040", r" ?[\[({] ?(?:at|AT)", r" AT ", r" at (?=[\w-]+(?:\.| ?[\[({]?(?:dot|DOT)))"))
+_WORDED = r"(?:(?<=[\[({{]{0})|(?<=[\[({{]\s{0})|(?<=\s{0})\s{1})"
+# where AT may match, its beginning at most three characters before
+AT_CUES = tuple(re.compile(x) for x in ("@", "%40", "&#", "&commat;", r"\\u0040", "AT" + _WORDED.format("AT", ""), "at" + _WORDED.format("at", r"(?=[\w-]+(?:\.|\s[\[({]?(?:dot|DOT)))")))
 PHONE_CUES = tuple(re.compile(x) for x in (r"\+\d", r"00[1-9]\d{8}", r"\d\d\d[-. ]\d\d", r"\(\d\d\d\)"))
 STREET_CUES = (re.compile(r"\d[A-Z]?,? (?:[A-ZÄÖÅ]|rue|ave|bou)"), *(re.compile(f"{x} \\d") for x in ("gatan", "vägen", "strasse", "straße", "weg", "allee", "platz", "GATAN", "STRASSE")), re.compile("Via "), re.compile("VIA "))
 
@@ -124,8 +128,19 @@ class Names:
                     a = m.start() + len(m[1] or m[4])
 
 
+def ats(text: str):
+    """What AT.finditer finds, tried only where a cue stands."""
+    done = 0
+    for at in sorted({m.start() for cue in AT_CUES for m in cue.finditer(text)}):
+        for a in range(max(done, at - 3), at + 1):
+            if m := AT.match(text, a):
+                done = m.end()
+                yield m
+                break
+
+
 def emails(text: str):
-    for m in (m for span in lines_with(text, AT_CUES) for m in AT.finditer(text, *span)):
+    for m in ats(text):
         a = LOCAL.search(text[max(0, m.start() - WIDEST_LOCAL) : m.start()])
         b = DOMAIN.match(text, m.end())
         if not a or not b:
@@ -149,8 +164,8 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     telephone number.
     """
     got: list[tuple[int, int, str]] = []
-    low = text.lower()
-    if any(h in low for h in ID_HINTS):
+    low = text.lower() if text.isascii() else text.translate(FOLDED).lower()
+    if ID_CUES.search(low):
         got += [(*m.span(1), "id_number") for m in ID_NUMBER.finditer(text) if sum(c.isdigit() for c in m[1]) <= 13]
     got += [(a, b, "email") for a, b in emails(text)]
     got += [(a, b, "phone") for a, b in phones(text)]
