@@ -3,7 +3,7 @@
 Each vector is represented by the ordered list of its nearest pivots. Lists are posted in inverted files,
 one for each pivot and block of vectors; for a query the postings of its own pivots are gathered, candidates
 are ranked by the footrule distance between the pivot orders, and the best ones are reranked by their exact
-cosine.
+cosine. Copies of a vector are one candidate, all of whose ids are ranked.
 
 How it is spread: vectors are shuffled once into blocks of about ``block_rows`` (hash of the id), queries into
 blocks of about ``query_rows``; every pair of blocks is one group, whose inverted files, candidates and exact
@@ -43,8 +43,21 @@ def nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
 
 
-def search_block(x: np.ndarray, perm: np.ndarray, q: np.ndarray, q_perm: np.ndarray, n_pivots: int, candidates: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Top k of a block of vectors for each query: query row, vector row, cosine."""
+def copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows ordered so that copies follow each other, and where each group of them begins and how many it has.
+
+    Vectors are copies if their elements agree to about 0.0002, so that those of another gain do in spite of rounding.
+    """
+    _, of = np.unique(np.round(x * 4096).astype(np.int16), axis=0, return_inverse=True)
+    of = of.ravel()
+    n = np.bincount(of)
+    return np.argsort(of, kind="stable"), np.cumsum(n) - n, n
+
+
+def search_block(x: np.ndarray, perm: np.ndarray, q: np.ndarray, q_perm: np.ndarray, n_pivots: int, candidates: int, k: int, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Top k of a block of vectors for each query: query row, vector row, cosine; equal cosines by rising id."""
+    rows, begin, count = copies(x)
+    perm = perm[rows[begin]]
     n, length = perm.shape
     flat = perm.ravel()
     order = np.argsort(flat, kind="stable")  # the postings of all pivots, one after the other
@@ -61,11 +74,16 @@ def search_block(x: np.ndarray, perm: np.ndarray, q: np.ndarray, q_perm: np.ndar
         score = np.bincount(hit, saved, n)
         some = np.flatnonzero(score)
         if len(some) > candidates:
-            some = some[np.argpartition(-score[some], candidates - 1)[:candidates]]
-        cos = x[some] @ q[i]
-        if len(some) > k:
-            top = np.argpartition(-cos, k - 1)[:k]
-            some, cos = some[top], cos[top]
+            # with all that are tied with the last
+            some = some[score[some] >= np.partition(score[some], -candidates)[-candidates]]
+        m = count[some]
+        some = rows[np.repeat(begin[some] - (np.cumsum(m) - m), m) + np.arange(m.sum())]
+        cos = (x[some] * q[i]).sum(1, dtype=np.float64)
+        # copies that differ by rounding only have the cosine of the first of them
+        like = np.repeat(cos[np.cumsum(m) - m], m)
+        cos = np.where(np.abs(cos - like) < 1e-6, like, cos)
+        top = np.lexsort((ids[some], -np.round(cos, 6)))[:k]
+        some, cos = some[top], cos[top]
         qs.append(np.full(len(some), i))
         xs.append(some)
         cs.append(cos)
@@ -81,7 +99,8 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
     ``candidates`` is the number of vectors reranked for each query and block of vectors: more of them raise
     recall, which tests measure against brute force.
 
-    Result: ``id, other, cosine, place`` with place 1..k by falling cosine, equal cosines by rising id. A query
+    Result: ``id, other, cosine, place`` with place 1..k by falling cosine, equal cosines (to six decimals) by
+    rising id. A query
     has fewer rows only if fewer vectors share a pivot with it.
 
     Null and NaN elements count as 0; null vectors, vectors of another length than ``dim`` and all-zero ones
@@ -109,12 +128,12 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
             return pd.DataFrame({"id": [], "other": [], "cosine": []})
         xv, qv = unit_rows(x["vec"], dim), unit_rows(q["vec"], dim)
         xi, qi = x["id"].to_numpy(), q["id"].to_numpy()
-        i, j, cos = search_block(xv, nearest_pivots(xv, base, length), qv, nearest_pivots(qv, base, length), len(base), candidates, k + 1)
+        i, j, cos = search_block(xv, nearest_pivots(xv, base, length), qv, nearest_pivots(qv, base, length), len(base), candidates, k + 1, xi)
         ok = qi[i] != xi[j]
         return pd.DataFrame({"id": qi[i][ok], "other": xi[j][ok], "cosine": cos[ok].astype(float)})
 
     # as many partitions as pairs of blocks: tasks stay this size whatever spark.sql.shuffle.partitions says
     x_side, q_side = (side.repartition(n_blocks * q_blocks, "xb", "qb") for side in (x_side, q_side))
     near = x_side.groupBy("xb", "qb").cogroup(q_side.groupBy("xb", "qb")).applyInPandas(run, "id long, other long, cosine double")
-    place = F.row_number().over(Window.partitionBy("id").orderBy(F.col("cosine").desc(), "other"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.round("cosine", 6).desc(), "other"))
     return near.withColumn("place", place).filter(F.col("place") <= k)

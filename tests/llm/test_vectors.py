@@ -148,3 +148,27 @@ def test_second_choice_where_the_most_similar_cluster_is_too_far(spark):
         add(100 + j, 5.0 * (j % 2), a + 0.3 * d)
     got = {r.id: r.cluster for r in clusters(spark, pts).collect()}
     assert got == {i: 0 for j in range(5) for i in (j, 10 + j)} | {100 + j: 100 for j in range(30)}
+
+
+def test_search_among_many_copies(spark):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((60, DIM))
+    x = np.vstack([np.repeat(x[:1], 500, 0) * rng.uniform(0.2, 5, (500, 1)), x[0] + 0.05 * rng.standard_normal((6, DIM)), np.repeat(x, 16, 0) + 0.4 * rng.standard_normal((960, DIM))])
+    order = rng.permutation(len(x))
+    x = x[order]
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, vec array<double>")
+    asked = [int(np.flatnonzero(order == j)[0]) for j in (3, *range(500, 506), *range(510, 1400, 40))]
+    got = {}
+    for r in most_similar(v, spark.createDataFrame([(i,) for i in asked], "id long"), dim=DIM, k=5, pivots=64, length=8, candidates=256, block_rows=2000).collect():
+        got.setdefault(r.id, {})[r.place] = r.other
+    hit = 0
+    for i in asked:
+        s = np.round(u @ u[i], 6)
+        s[i] = -2
+        best = np.lexsort((np.arange(len(u)), -s))[:5].tolist()
+        mine = [got[i][p] for p in range(1, 6)]
+        hit += len(set(best) & set(mine))
+        if order[i] < 506:
+            assert mine == best
+    assert hit >= 0.97 * 5 * len(asked)
