@@ -7,8 +7,9 @@ frozen stretch), assign the flags.
 
 How it is spread: readings are shuffled once, into buckets of whole sources; inside a bucket the model runs
 over all its sources at once as NumPy arrays. A source above ``max_rows`` readings is cut into chunks of
-exactly ``chunk_rows`` readings plus a halo of ``halo`` readings on both sides, numbered through counts per
-time block, so no task ever sorts or holds a whole hot source.
+about ``chunk_rows`` readings, all of like size, plus a halo of ``halo`` readings on both sides, numbered through
+counts per time block, so no task ever sorts or holds a whole hot source. What such a source is judged by (the size
+of its usual steps) is counted over all its chunks first, in narrow bins, and goes to each of them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stimlake.tables import bucket, maybe_broadcast, parts, usable
+from stimlake.tables import bucket, cut, maybe_broadcast, parts, usable
 
 NORMAL, SPIKE, STUCK, OUT = range(4)
 FLAGS = np.array(["normal", "spike", "stuck", "out_of_range"], dtype=object)
@@ -158,21 +159,44 @@ def _per_series(x: np.ndarray, sid: np.ndarray, n: int, how: str) -> np.ndarray:
     return getattr(pd.Series(x).groupby(sid), how)().reindex(range(n)).to_numpy()
 
 
-def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: np.ndarray, freeze: np.ndarray, spike_at: np.ndarray, p: Params) -> tuple[np.ndarray, np.ndarray]:
+#: Bins of the size of steps for each doubling of it.
+FINE = 512
+
+
+def _moved(s: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Steps between successive readings, whether they are of one series, and whether they are any."""
+    step = np.abs(np.diff(x))
+    inner = s[1:] == s[:-1]
+    return step, inner, inner & (step > 1e-9 * np.maximum(1.0, np.abs(x[1:])))
+
+
+def _quantile(size: np.ndarray, n: np.ndarray, q: float) -> float:
+    """Quantile of sizes that occur n times each, between neighbours as np.quantile has it."""
+    if not len(size):
+        return np.nan
+    at = q * (n.sum() - 1)
+    ends = np.cumsum(n)
+    low, high = size[np.searchsorted(ends, [np.floor(at), np.ceil(at)], side="right")]
+    return low + (at - np.floor(at)) * (high - low)
+
+
+def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: np.ndarray, freeze: np.ndarray, spike_at: np.ndarray, p: Params, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Flags and state probabilities of readings sorted by series and time.
 
-    sid numbers the series 0..S-1; lo, hi, shape, freeze and spike_at have one entry for each series.
+    sid numbers the series 0..S-1; lo, hi, shape, freeze and spike_at have one entry for each series. known: for
+    each series its grain and the median and lower quartile of its coarse steps, NaN to take them from the readings.
     """
     n, series = len(v), len(lo)
     out = (v < lo[sid]) | (v > hi[sid])
     keep = np.flatnonzero(~out)
     s, x = sid[keep], v[keep]
-    step = np.abs(np.diff(x))
-    inner = s[1:] == s[:-1]
-    moved = inner & (step > 1e-9 * np.maximum(1.0, np.abs(x[1:])))
+    step, inner, moved = _moved(s, x)
+    known = np.full((series, 3), np.nan) if known is None else known
+    given = ~np.isnan(known[:, 0])
     grain = np.nan_to_num(_per_series(step[moved], s[1:][moved], series, "min"), nan=0.0)
+    grain = np.where(given, known[:, 0], grain)
     coarse = moved & (step > 2.5 * grain[s[1:]])
-    usual = _per_series(step[coarse], s[1:][coarse], series, "median") * 1.4826 / np.sqrt(2)
+    usual = np.where(given, known[:, 1], _per_series(step[coarse], s[1:][coarse], series, "median")) * 1.4826 / np.sqrt(2)
     scatter = np.fmax(np.nan_to_num(usual, nan=0.0), grain)
     scatter[scatter == 0] = 1.0
     z = excursions(x, s, p.longest_spike)
@@ -180,8 +204,9 @@ def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape:
         at = slice(*np.searchsorted(s, [k, k + 1]))
         d = np.abs(np.diff(x[at]))
         d = d[d > 2.5 * grain[k]]
-        if len(d):
-            scatter[k] = max(np.quantile(d, 0.25) / 0.45, grain[k])
+        quarter = known[k, 2] if given[k] else np.quantile(d, 0.25) if len(d) else np.nan
+        if not np.isnan(quarter):
+            scatter[k] = max(quarter / 0.45, grain[k])
         z[at] = away_from_levels(x[at])
     rest = np.isin(shape, ["counter"])
     scatter[rest] = 1.0
@@ -243,19 +268,49 @@ def flag_readings(readings: DataFrame, limits: dict[str, tuple[float, float]], p
     rows = rows.filter(usable("t") & usable("v") & F.col("src").isNotNull() & F.col("channel").isNotNull() & F.col("row_id").isNotNull())
     per = rows.groupBy("src", "channel").agg(F.count("*").alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
     total, hot = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > p.max_rows, 1))).first()
-    whole = rows.withColumn("chunk", F.lit(0)).withColumn("core", F.lit(True))
+    none = [F.lit(None).cast("double").alias(k) for k in ("grain", "middle", "quarter")]
+    whole = rows.select("*", F.lit(0).alias("chunk"), F.lit(True).alias("core"), *none)
     if hot:
         big = maybe_broadcast(per.filter(F.col("n") > p.max_rows).withColumn("width", F.greatest((F.col("t_max") - F.col("t_min")) / F.ceil(F.col("n") / p.chunk_rows * 4), F.lit(1e-9))))
         whole = whole.join(big.select("src", "channel"), ["src", "channel"], "left_anti")
         cut_up = rows.join(big.select("src", "channel", "t_min", "width"), ["src", "channel"]).withColumn("block", F.floor((F.col("t") - F.col("t_min")) / F.col("width"))).drop("t_min", "width")
-        before = Window.partitionBy("src", "channel").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        counts = cut_up.groupBy("src", "channel", "block").agg(F.count("*").alias("n")).select("src", "channel", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+        cut_up = cut_up.dropDuplicates(["src", "channel", "row_id"])
+        own = Window.partitionBy("src", "channel")
+        before = own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+        counts = cut_up.groupBy("src", "channel", "block").agg(F.count("*").alias("n")).select("src", "channel", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(own).alias("all"))
         place = F.row_number().over(Window.partitionBy("src", "channel", "block").orderBy("t", "row_id")) - 1
         numbered = cut_up.withColumn("place", place).join(counts, ["src", "channel", "block"]).withColumn("place", F.col("place") + F.col("skip"))
-        c, at = F.floor(F.col("place") / p.chunk_rows).cast("int"), F.pmod(F.col("place"), F.lit(p.chunk_rows))
-        copies = F.array_compact(F.array(F.struct(c.alias("chunk"), F.lit(True).alias("core")), F.when(at < p.halo, F.struct((c - 1).alias("chunk"), F.lit(False).alias("core"))), F.when(at >= p.chunk_rows - p.halo, F.struct((c + 1).alias("chunk"), F.lit(False).alias("core")))))
-        numbered = numbered.select("src", "channel", "row_id", "t", "v", F.inline(copies))
-        whole = whole.unionByName(numbered)
+        # chunks of like size: the last one is no small rest
+        numbered = numbered.withColumn("size", F.ceil(F.col("all") / F.ceil(F.col("all") / p.chunk_rows)))
+        c, at = F.floor(F.col("place") / F.col("size")).cast("int"), F.pmod(F.col("place"), F.col("size"))
+        copies = F.array_compact(F.array(F.struct(c.alias("chunk"), F.lit(True).alias("core")), F.when(at < p.halo, F.struct((c - 1).alias("chunk"), F.lit(False).alias("core"))), F.when(at >= F.col("size") - p.halo, F.struct((c + 1).alias("chunk"), F.lit(False).alias("core")))))
+        numbered = cut(numbered.select("src", "channel", "row_id", "t", "v", F.inline(copies)), "chunks")
+
+        def count(pdf: pd.DataFrame) -> pd.DataFrame:
+            """How many steps of each size the chunk has."""
+            pdf = pdf.sort_values(["t", "row_id"])
+            lo, hi = limits.get(pdf["channel"].iloc[0], (-np.inf, np.inf))
+            pdf = pdf[pdf["v"].between(lo, hi)]
+            step, _, moved = _moved(np.zeros(len(pdf), int), pdf["v"].to_numpy())
+            step = step[moved & pdf["core"].to_numpy()[1:] & np.isfinite(step)]
+            by = pd.Series(step).groupby(np.floor(np.log2(step) * FINE).astype(np.int64)).agg(["size", "sum", "min"])
+            return pd.DataFrame({"bin": by.index.to_numpy(), "n": by["size"].to_numpy(), "total": by["sum"].to_numpy(), "least": by["min"].to_numpy()})
+
+        counted = numbered.groupBy("src", "channel", "chunk").applyInPandas(lambda key, pdf: count(pdf).assign(src=key[0], channel=key[1])[["src", "channel", "bin", "n", "total", "least"]], "src long, channel string, bin long, n long, total double, least double")
+        counted = counted.groupBy("src", "channel", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"))
+
+        def usual(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("bin")
+            grain = pdf["least"].min()
+            size = (pdf["total"] / pdf["n"]).to_numpy()
+            coarse = size > 2.5 * grain
+            size, n = size[coarse], pdf["n"].to_numpy()[coarse]
+            return pd.DataFrame({"src": [key[0]], "channel": [key[1]], "grain": [grain], "middle": [_quantile(size, n, 0.5)], "quarter": [_quantile(size, n, 0.25)]})
+
+        # a source's sizes of steps are a bounded number of bins
+        usuals = cut(counted.groupBy("src", "channel").applyInPandas(usual, "src long, channel string, grain double, middle double, quarter double"), "usual")
+        still = [F.coalesce(F.col("grain"), F.lit(0.0)).alias("grain"), "middle", "quarter"]  # a source without any step has no row
+        whole = whole.unionByName(numbered.join(maybe_broadcast(usuals), ["src", "channel"], "left").select("src", "channel", "row_id", "t", "v", "chunk", "core", *still))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, channel = np.unique(pdf["channel"].to_numpy(dtype=object), return_inverse=True)
@@ -268,8 +323,9 @@ def flag_readings(readings: DataFrame, limits: dict[str, tuple[float, float]], p
         src, channel, t, rid, v, core, new = (x[once] for x in (src, channel, t, rid, v, core, new))
         sid = np.cumsum(new) - 1
         kind = [profiles.get(names[c], Profile()) for c in channel[new]]
+        known = pdf[["grain", "middle", "quarter"]].to_numpy(float)[order][once][new]
         span = np.array([limits.get(names[c], (-np.inf, np.inf)) for c in channel[new]], float)
-        flag, post = judge(sid, v, span[:, 0], span[:, 1], np.array([k.shape for k in kind]), np.array([k.may_freeze for k in kind]), np.array([k.spike_at for k in kind]), p)
+        flag, post = judge(sid, v, span[:, 0], span[:, 1], np.array([k.shape for k in kind]), np.array([k.may_freeze for k in kind]), np.array([k.spike_at for k in kind]), p, known)
         hit = (flag > 0) & core
         return pd.DataFrame({"src": src[hit], "channel": names[channel[hit]], "row_id": rid[hit], "t": t[hit], "v": v[hit], "flag": FLAGS[flag[hit]], "p_spike": post[hit, SPIKE], "p_stuck": post[hit, STUCK]})
 

@@ -89,3 +89,17 @@ def test_levels():
     v = np.array([0.0, 1.0] * 50 + [0.5])
     d = away_from_levels(v, reach=20, k=6)
     assert d[:100].max() == 0 and d[100] == 0.5
+
+
+def test_chunks_are_judged_by_the_whole_source(spark):
+    rng = np.random.default_rng(7)
+    rows = series(1001, seed=3)
+    for i in range(300):  # a quiet part, where the whole source's scatter counts
+        rows[i][4] = round(0.4 + float(rng.normal(0, 0.0015)), 4)
+    for i in (60, 150, 240):
+        rows[i][4] = 0.46
+    for i in range(940, 1000):  # a burst before the end, and a spike in the small rest
+        rows[i][4] = round(0.4 + float(rng.normal(0, 0.5)), 4)
+    rows[700][4] = 4.0
+    rows += [list(rows[i]) for i in (499, 500, 700)]
+    assert flags(spark, rows, max_rows=500, chunk_rows=250, halo=64) == flags(spark, rows)
