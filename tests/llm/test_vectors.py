@@ -3,7 +3,7 @@ import math
 import numpy as np
 
 from stimlake.llm.clusters import dense_places, describe, located_clusters, propagate, tables
-from stimlake.llm.knn import most_similar
+from stimlake.llm.knn import Layout, most_similar, thin_copies
 
 DIM = 24
 
@@ -20,7 +20,7 @@ def test_search_recall_dirt_and_blocks(spark):
     u = x / np.linalg.norm(x, axis=1)[:, None]
     v = spark.createDataFrame(rows, "id long, vec array<double>, other string")
     q = spark.createDataFrame([(i,) for i in (*range(0, 800, 20), 802, 5, 5)], "id long")
-    got = most_similar(v, q, dim=DIM, k=5, pivots=64, length=8, block_rows=150, query_rows=9).collect()
+    got = most_similar(v, q, dim=DIM, k=5, block_rows=150, query_rows=9).collect()
     asked = [*range(0, 800, 20), 5]
     assert {r.id for r in got} == set(asked) and all(1 <= r.place <= 5 for r in got)
     hit = 0
@@ -35,6 +35,35 @@ def test_search_recall_dirt_and_blocks(spark):
     assert hit >= 0.9 * 5 * len(asked)
 
 
+def test_search_in_full_is_exact(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((500, DIM))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, vec array<double>")
+    q = spark.createDataFrame([(i,) for i in range(0, 500, 20)], "id long")
+    got = {(r.id, r.place): r.other for r in most_similar(v, q, dim=DIM, k=5, length=None, visits=None, candidates=None, block_rows=60, query_rows=7).collect()}
+    for i in range(0, 500, 20):
+        s = u @ u[i]
+        s[i] = -2
+        assert [got[i, p] for p in range(1, 6)] == np.argsort(-s)[:5].tolist()
+
+
+def test_parts_of_the_index():
+    x = np.repeat(np.eye(4, dtype=np.float32), 3, 0)
+    assert thin_copies(x, np.array([9, 5, 5, 1, 2, 3, 4, 4, 4, 7, 6, 8]), 2).tolist() == [0, 1, 3, 4, 6, 9, 10]
+    held, asking = np.array([10, 250, 0, 30, 5]), np.array([1, 1000, 0, 2, 3])
+    plan = Layout.of(held, asking, 100, 300)
+    assert np.diff(plan.first).tolist() == [1, 3, 1, 1, 1] and plan.tasks == plan.task[-1] >= 4
+    part, ids = np.repeat(np.arange(5), held), np.arange(295)
+    row, task = plan.homes(part, ids)
+    # wherever a query goes, it meets each vector of a part it visits exactly once
+    q_row, q_task = plan.visited(np.array([[1, 3], [0, 4]] * 50), np.arange(100))
+    for q in range(4):
+        met = row[np.isin(task, q_task[q_row == q])]
+        wanted = np.flatnonzero(np.isin(part, [1, 3] if q % 2 == 0 else [0, 4]))
+        assert set(wanted) <= set(met.tolist()) and len(met) == len(set(met.tolist()))
+
+
 def test_search_on_nothing(spark):
     e = spark.createDataFrame([], "id long, vec array<double>")
     assert most_similar(e, e.select("id"), dim=3).count() == 0
@@ -160,7 +189,7 @@ def test_search_among_many_copies(spark):
     v = spark.createDataFrame([(i, f.tolist()) for i, f in enumerate(x)], "id long, vec array<double>")
     asked = [int(np.flatnonzero(order == j)[0]) for j in (3, *range(500, 506), *range(510, 1400, 40))]
     got = {}
-    for r in most_similar(v, spark.createDataFrame([(i,) for i in asked], "id long"), dim=DIM, k=5, pivots=64, length=8, candidates=256, block_rows=2000).collect():
+    for r in most_similar(v, spark.createDataFrame([(i,) for i in asked], "id long"), dim=DIM, k=5, candidates=256, block_rows=2000).collect():
         got.setdefault(r.id, {})[r.place] = r.other
     hit = 0
     for i in asked:
