@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stimlake.tables import parts
+from stimlake.tables import maybe_broadcast, parts
 
 
 def _blocks(df: DataFrame, vec: str, size: int, name: str) -> DataFrame:
@@ -21,34 +21,48 @@ def _blocks(df: DataFrame, vec: str, size: int, name: str) -> DataFrame:
     return df.filter(F.size(vec) > 0).select("frame", F.explode(F.transform(starts, lambda b: F.struct(b.alias(name), F.slice(F.col(vec), b * size + 1, size).alias("v")))).alias("z")).select(F.col("frame").cast("long").alias("frame_no"), f"z.{name}", "z.v").withColumnRenamed("frame_no", "frame")
 
 
-def cross_correlation(features: DataFrame, responses: DataFrame, *, n_features: int, n_neurons: int, feature_block: int = 512, neuron_block: int = 512, frame_block: int = 4096) -> DataFrame:
+def cross_correlation(features: DataFrame, responses: DataFrame, *, n_features: int, n_neurons: int, feature_block: int = 512, neuron_block: int = 512, frame_block: int = 1024, fold: int = 16) -> DataFrame:
     """Pearson r of all pairs: ``neuron, feature, r`` (both by their place in the vectors).
 
     features: ``frame, vec``; responses: ``frame, resp``; frames that both have count, each once. r is 0 where a
-    side is constant. NaN and null elements are taken as 0.
+    side is constant. NaN and null elements are taken as 0. The products of a pair of blocks are added up ``fold``
+    at a time until so many are left, so no task ever holds more of them, however long the movie is.
     """
     nf, nn = parts(n_features, feature_block), parts(n_neurons, neuron_block)
     x = _blocks(features.dropDuplicates(["frame"]), "vec", feature_block, "fb").withColumn("nb", F.explode(F.sequence(F.lit(0), F.lit(nn - 1))))
     y = _blocks(responses.dropDuplicates(["frame"]), "resp", neuron_block, "nb").withColumn("fb", F.explode(F.sequence(F.lit(0), F.lit(nf - 1))))
+    first, last = responses.agg(F.min("frame"), F.max("frame")).first()
+    spans = 0 if first is None else int(last // frame_block - first // frame_block + 1)
     tb = F.floor(F.col("frame") / frame_block).alias("tb")
+    schema = "fb int, nb int, tb long, n long, sums array<double>"
 
     def product(xs: pd.DataFrame, ys: pd.DataFrame) -> pd.DataFrame:
         both = xs.merge(ys, on="frame", suffixes=("_x", "_y"))
         if not len(both):
-            return pd.DataFrame({"fb": [], "nb": [], "n": [], "sums": pd.Series([], dtype=object)})
+            return pd.DataFrame({"fb": [], "nb": [], "tb": [], "n": [], "sums": pd.Series([], dtype=object)})
         a = np.nan_to_num(np.array(both["v_x"].tolist(), np.float64))
         b = np.nan_to_num(np.array(both["v_y"].tolist(), np.float64))
         sums = np.concatenate([a.sum(0), (a * a).sum(0), b.sum(0), (b * b).sum(0), (a.T @ b).ravel()])
-        return pd.DataFrame({"fb": [xs["fb"].iloc[0]], "nb": [xs["nb"].iloc[0]], "n": [len(both)], "sums": [sums]})
+        return pd.DataFrame({"fb": [xs["fb"].iloc[0]], "nb": [xs["nb"].iloc[0]], "tb": [both["frame"].iloc[0] // frame_block], "n": [len(both)], "sums": [sums]})
 
     keys = ["fb", "nb", tb]
-    partial = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(product, "fb int, nb int, n long, sums array<double>")
+    partial = x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInPandas(product, schema)
 
-    def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        fb, nb, n = pdf["fb"].iloc[0], pdf["nb"].iloc[0], pdf["n"].sum()
+    def add(pdf: pd.DataFrame) -> np.ndarray:
         s = np.zeros(len(pdf["sums"].iloc[0]))
         for v in pdf["sums"]:
             s += v
+        return s
+
+    def some(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"fb": [key[0]], "nb": [key[1]], "tb": [key[2]], "n": [pdf["n"].sum()], "sums": [add(pdf)]})
+
+    while spans > fold:
+        partial = partial.groupBy("fb", "nb", F.floor(F.col("tb") / fold).alias("tb")).applyInPandas(some, schema)
+        spans = spans // fold + 2
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        fb, nb, n, s = pdf["fb"].iloc[0], pdf["nb"].iloc[0], pdf["n"].sum(), add(pdf)
         f = min(feature_block, n_features - fb * feature_block)
         k = min(neuron_block, n_neurons - nb * neuron_block)
         sx, sxx, sy, syy = s[:f], s[f : 2 * f], s[2 * f : 2 * f + k], s[2 * f + k : 2 * f + 2 * k]
@@ -112,7 +126,19 @@ def to_degrees(peaks_df: DataFrame, nx: int, ny: int, coverage: tuple[float, flo
     })
 
 
-def nearest_feature_trace(field: DataFrame, top: int) -> DataFrame:
+def strongest(field: DataFrame, top: int) -> DataFrame:
     """The ``top`` strongest features of each neuron, by |r| and then by place."""
     w = Window.partitionBy("neuron").orderBy(F.abs("r").desc(), "feature")
     return field.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= top)
+
+
+def preferred_series(features: DataFrame, preferred: DataFrame) -> DataFrame:
+    """The course of each neuron's preferred feature: ``neuron, frame, value``.
+
+    features: ``frame, vec``; preferred: ``neuron, feature`` (its place in vec). Only the preferred features leave
+    their frames; a feature beyond the vectors has no course.
+    """
+    wanted = preferred.select("neuron", F.col("feature").cast("int").alias("feature")).filter("neuron IS NOT NULL AND feature >= 0")
+    e = features.filter("frame IS NOT NULL").dropDuplicates(["frame"]).select("frame", F.posexplode("vec").alias("feature", "value"))
+    e = e.join(maybe_broadcast(wanted.select("feature").distinct()), "feature", "left_semi")
+    return e.join(maybe_broadcast(wanted), "feature").select("neuron", "frame", "value")

@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stimlake import config
 from stimlake.operators import correlate as C
 from stimlake.operators import gabor as G
-from stimlake.tables import table
+from stimlake.tables import maybe_broadcast, table
 
 NX = NY = 8
-THETAS, SIGMAS, PHASES = 4, [1.0, 1.5], [0.0, math.pi / 2]
+RUN = config.settings({"N_thetas": "4", "Sigmas": "[1, 1.5]"}, {"NX": "8", "NY": "8", "Sigmas": "[1, 1.5]", "Analysis Coverage": "[-135, 45, 34, -34]"})
+THETAS, SIGMAS, PHASES, COVERAGE = RUN.bank.orientations, list(RUN.bank.sizes), config.offsets(RUN.bank), RUN.run.analysed
 N_FEATURES, N_LABELS = NX * NY * THETAS * len(SIGMAS), 10
-COVERAGE, SIGMAS_DEG = (-135.0, 45.0, 34.0, -34.0), [5.62, 8.43]
+#: The recorded fields: 6 by 2 places over the same coverage, 8 orientations, one size.
+FIELD_RUN = config.settings(None, {"NX": "6", "NY": "2", "Sigmas": "[1]", "Analysis Coverage": "[-135, 45, 34, -34]"}).run
 
 
 def frames(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").filter("vec_id IS NOT NULL").select(F.col("vec_id").alias("frame"), F.col("embedding").alias("pixels"))
 
 
-def bank(s: SparkSession) -> DataFrame:
-    return G.bank(G.filters(s, NX, NY, THETAS, SIGMAS, PHASES), NX, NY)
-
-
 def coefficients(s: SparkSession, d: str) -> DataFrame:
-    return G.project(G.sign_frames(frames(s, d)), bank(s), NX * NY)
+    return G.project(G.sign_frames(frames(s, d)), G.kernels(G.parameters(s, THETAS, SIGMAS, PHASES)), NX, NY)
 
 
 def responses(s: SparkSession, d: str) -> DataFrame:
@@ -35,19 +32,31 @@ def responses(s: SparkSession, d: str) -> DataFrame:
 
 
 def wavelet_projection(s: SparkSession, d: str) -> DataFrame:
-    return G.long_coefficients(coefficients(s, d), NX, NY, THETAS, len(SIGMAS)).withColumn("coef", F.round("coef", 5))
+    return G.long_coefficients(coefficients(s, d), NX, NY, THETAS).drop("f").withColumn("coef", F.round("coef", 5))
 
 
 def _power(s: SparkSession, d: str) -> DataFrame:
-    return G.power(coefficients(s, d)).withColumnRenamed("power", "vec")
+    return G.frame_vectors(G.power(coefficients(s, d)), "power")
+
+
+def _by_feature(rows: DataFrame, value: str) -> DataFrame:
+    """One row for each frame and feature, features being numbered by s, x, y, o."""
+    e = rows.select("frame", "s", F.posexplode(value).alias("i", value))
+    return e.select("frame", (F.col("s") * (NX * NY * THETAS) + F.col("i")).alias("feature"), value)
 
 
 def wavelet_power(s: SparkSession, d: str) -> DataFrame:
-    return _power(s, d).select("frame", F.posexplode("vec").alias("feature", "power")).groupBy("feature").agg(F.round(F.avg("power"), 5).alias("mean_power"), F.round(F.max("power"), 5).alias("max_power"))
+    return _by_feature(G.power(coefficients(s, d)), "power").groupBy("feature").agg(F.round(F.avg("power"), 5).alias("mean_power"), F.round(F.max("power"), 5).alias("max_power"))
 
 
 def normalised_magnitude(s: SparkSession, d: str) -> DataFrame:
-    return G.normalised_magnitude(coefficients(s, d)).select("frame", F.posexplode("magnitude").alias("feature", "magnitude")).withColumn("magnitude", F.round("magnitude", 6))
+    return _by_feature(G.normalised_magnitude(coefficients(s, d)), "magnitude").withColumn("magnitude", F.round("magnitude", 6))
+
+
+def coarse_power(s: SparkSession, d: str) -> DataFrame:
+    """Coefficients and power of every frame on 4 by 4 places: power is taken first, then made coarser."""
+    e = G.coarse(coefficients(s, d), (NX, NY), THETAS, (4, 4)).select("frame", "s", F.posexplode(F.arrays_zip("re", "im", "power")).alias("i", "z"))
+    return e.select("frame", "s", F.floor(F.col("i") / 16).cast("int").alias("x"), F.pmod(F.floor(F.col("i") / 4), F.lit(4)).cast("int").alias("y"), F.pmod("i", F.lit(4)).cast("int").alias("o"), *[F.round(f"z.{c}", 5).alias(c) for c in ("re", "im", "power")])
 
 
 def _field(s: SparkSession, d: str) -> DataFrame:
@@ -66,28 +75,38 @@ def rf_self_corr(s: SparkSession, d: str) -> DataFrame:
     return r.withColumn("r", F.round(C.corrected(F.round("r", 9)), 5))
 
 
+def _axis_order(field: DataFrame) -> DataFrame:
+    """Features renumbered from s, x, y, o to the C-order of x, y, o, s."""
+    per, i = NX * NY * THETAS, F.col("feature")
+    return field.withColumn("feature", F.pmod(i, F.lit(per)) * len(SIGMAS) + F.floor(i / per))
+
+
 def rf_peak(s: SparkSession, d: str) -> DataFrame:
-    """Peaks of the response fields; s, x, y, o is the order of the feature vector here."""
-    f = _field(s, d).withColumn("r", F.round("r", 7))
-    per = NX * NY * THETAS
-    i = F.col("feature")
-    f = f.withColumn("feature", F.pmod(i, F.lit(per)) * len(SIGMAS) + F.floor(i / per))  # to the C-order of x, y, o, s
-    p = C.to_degrees(C.peaks(f, NY, THETAS, len(SIGMAS)), NX, NY, COVERAGE, SIGMAS_DEG, THETAS)
+    """Peaks of the response fields."""
+    f = _axis_order(_field(s, d).withColumn("r", F.round("r", 7)))
+    p = C.to_degrees(C.peaks(f, NY, THETAS, len(SIGMAS)), NX, NY, COVERAGE, config.analysed_sizes(RUN.run), THETAS)
     return p.select("neuron", "x", "y", "o", "s", F.round("peak", 5).alias("peak"), *[F.round(c, 6).alias(c) for c in ("azimuth", "elevation", "orientation", "size")])
 
 
+def preferred_series(s: SparkSession, d: str) -> DataFrame:
+    """The course of the power of each neuron's preferred feature over the movie."""
+    best = _field(s, d).groupBy("neuron").agg(F.max_by("feature", F.struct(F.round(F.abs("r"), 7), -F.col("feature"))).alias("feature"))
+    return C.preferred_series(_power(s, d), best).withColumn("value", F.round("value", 5))
+
+
 def rf_table_peaks(s: SparkSession, d: str) -> DataFrame:
     """Peaks of the recorded fields of all neurons, in degrees."""
     rows = table(s, d, "rf").filter("rfs IS NOT NULL").dropDuplicates(["neuron"])
-    p = C.to_degrees(C.array_peak(rows, "rfs", 2, 8, 1), 6, 2, COVERAGE, SIGMAS_DEG[:1])
+    p = C.to_degrees(C.array_peak(rows, "rfs", 2, 8, 1), 6, 2, COVERAGE, config.analysed_sizes(FIELD_RUN))
     return p.select("neuron", "x", "y", "o", "s", F.round("peak", 6).alias("peak"), *[F.round(c, 6).alias(c) for c in ("azimuth", "elevation", "orientation", "size")])
 
 
 def gabor_bank(s: SparkSession, d: str) -> DataFrame:
-    """The weights of every filter beside the movie's mean pixel there."""
-    mean = frames(s, d).select(F.posexplode("pixels").alias("pixel", "v")).groupBy("pixel").agg(F.round(F.avg("v"), 6).alias("mean"))
-    # one row for each of the 64 pixels of a frame
-    return bank(s).join(F.broadcast(mean), "pixel").select("x", "y", "o", "s", "phase", "pixel", F.round("w", 8).alias("w"), "mean")
+    """Every filter by its pixels and energy, and its response to the movie's mean frame."""
+    mean = frames(s, d).select(F.posexplode("pixels").alias("pixel", "v")).groupBy("pixel").agg(F.avg("v").alias("mean"))
+    bank = G.bank(G.filters(s, NX, NY, THETAS, SIGMAS, PHASES), NX, NY)
+    e = bank.join(maybe_broadcast(mean), "pixel").groupBy("x", "y", "o", "s", "phase")
+    return e.agg(F.count("*").alias("pixels"), F.round(F.sum(F.col("w") * F.col("w")), 8).alias("energy"), F.round(F.sum(F.col("w") * F.col("mean")), 6).alias("response"))
 
 
 def field_images(s: SparkSession, d: str) -> DataFrame:
@@ -95,8 +114,7 @@ def field_images(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "rf").filter("rfs IS NOT NULL").dropDuplicates(["neuron"]).select("neuron", F.posexplode("rfs").alias("i", "r")).withColumn("r", F.coalesce(F.when(~F.isnan("r"), F.col("r").cast("double")), F.lit(0.0)))
     rows = rows.select("neuron", "r", *C.unravel(F.col("i"), 2, 8, 1))
     even = G.bank(G.filters(s, 6, 2, 8, [1.0], [0.0]), 6, 2)
-    # the bank has 96 filters of at most 12 pixels
-    img = G.field_image(rows, F.broadcast(even), ["x", "y", "o", "s"])
+    img = G.field_image(rows, maybe_broadcast(even), ["x", "y", "o", "s"])
     return img.groupBy("neuron").agg(F.round(F.sum(F.col("value") ** 2), 5).alias("energy"), F.round(F.max(F.abs("value")), 6).alias("top"))
 
 
@@ -122,7 +140,7 @@ def _bank_sql(axes: str, nx: int, ny: int) -> str:
 
 _BANK = _bank_sql(_AXES, 8, 8)
 _PIX = "(SELECT frame, CAST(i - 1 AS INTEGER) AS pixel, CASE WHEN pixels[i] > 0 THEN 1 ELSE -1 END AS v FROM (SELECT vec_id AS frame, embedding AS pixels, unnest(range(1, 65)) AS i FROM embeddings))"
-_COEF = f"(SELECT frame, phase, s, x, y, o, sum(CAST(w AS FLOAT)::DOUBLE * v) AS coef FROM {_PIX} JOIN {_BANK} USING (pixel) GROUP BY ALL)"
+_COEF = f"(SELECT frame, phase, s, x, y, o, sum(w * v) AS coef FROM {_PIX} JOIN {_BANK} USING (pixel) GROUP BY ALL)"
 _FEAT = "s * 256 + x * 32 + y * 4 + o"
 _POW = f"(SELECT frame, {_FEAT} AS feature, sum(coef * coef) AS p FROM {_COEF} GROUP BY ALL)"
 _PEARSON = "coalesce(covar_samp({0}, {1}) / nullif(stddev_samp({0}) * stddev_samp({1}), 0), 0)"
@@ -139,14 +157,19 @@ QUERIES = {
     "rf_peak": rf_peak,
     "rf_table_peaks": rf_table_peaks,
     "field_images": field_images,
+    "coarse_power": coarse_power,
+    "preferred_series": preferred_series,
     "coarse_frames": coarse_frames,
     "frame_downsample": frame_downsample,
 }
+#: Weights that smooth by a Gaussian of half a pixel (mirrored at the middle of the last pixel) and sample at half as many places.
+_HALVE = """(SELECT m, k, sum(w) AS w FROM (SELECT m, w, CASE WHEN j < 0 THEN -j WHEN j > {n} - 1 THEN 2 * {n} - 2 - j ELSE j END AS k FROM (
+  SELECT m, 2 * m + h + d AS j, 0.5 * exp(-2.0 * d * d) / sum(exp(-2.0 * d * d)) OVER (PARTITION BY m, h) AS w FROM (SELECT unnest(range({n} // 2)) AS m), (SELECT unnest([0, 1]) AS h), (SELECT unnest(range(-2, 3)) AS d))) GROUP BY m, k)"""
 _V = "(SELECT DISTINCT ON (neuron) neuron, rfs FROM rf WHERE rfs IS NOT NULL)"
 _E = f"(SELECT neuron, i - 1 AS i, CASE WHEN rfs[i] IS NULL OR isnan(rfs[i]) THEN 0 ELSE CAST(rfs[i] AS DOUBLE) END AS r FROM (SELECT neuron, rfs, unnest(range(1, 97)) AS i FROM {_V}))"
 _AX6 = "(SELECT CAST(unnest(range(6)) AS INTEGER) AS x), (SELECT CAST(unnest(range(2)) AS INTEGER) AS y), (SELECT o, o * pi() / 8 AS theta FROM (SELECT CAST(unnest(range(8)) AS INTEGER) AS o)), (VALUES (0, 1.0::DOUBLE)) g(s, sigma), (VALUES (0, 0.0::DOUBLE)) q(phase, off)"
 SQL = {
-    "gabor_bank": f"SELECT x, y, o, s, phase, pixel, round(w, 8) AS w, mean FROM {_BANK} JOIN (SELECT CAST(i - 1 AS INTEGER) AS pixel, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS mean FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i) USING (pixel)",
+    "gabor_bank": f"SELECT x, y, o, s, phase, count(*) AS pixels, round(sum(w * w), 8) AS energy, round(sum(w * mean), 6) AS response FROM {_BANK} JOIN (SELECT CAST(i - 1 AS INTEGER) AS pixel, avg(CAST(embedding[i] AS DOUBLE)) AS mean FROM (SELECT embedding, unnest(range(1, 65)) AS i FROM embeddings) GROUP BY i) USING (pixel) GROUP BY ALL",
     "wavelet_projection": f"SELECT frame, phase, s, x, y, o, round(coef, 5) AS coef FROM {_COEF}",
     "wavelet_power": f"SELECT CAST(feature AS INTEGER) AS feature, round(avg(p), 5) AS mean_power, round(max(p), 5) AS max_power FROM {_POW} GROUP BY feature",
     "normalised_magnitude": f"SELECT frame, CAST(feature AS INTEGER) AS feature, round(m / (1 + sum(m) OVER (PARTITION BY frame)), 6) AS magnitude FROM (SELECT frame, {_FEAT} AS feature, sum(abs(coef)) AS m FROM {_COEF} GROUP BY ALL)",
@@ -154,9 +177,14 @@ SQL = {
     "rf_self_corr": f"WITH p AS (SELECT frame, CAST(i - 1 AS BIGINT) AS k, CAST(pixels[i] AS DOUBLE) AS v FROM (SELECT vec_id AS frame, embedding AS pixels, unnest(range(1, 65)) AS i FROM embeddings)) SELECT neuron, feature, round(CASE WHEN r >= 0.99 THEN r - 1 ELSE r END, 5) AS r FROM (SELECT b.k AS neuron, a.k AS feature, round({_PEARSON.format('a.v', 'b.v')}, 9) AS r FROM p a JOIN p b USING (frame) GROUP BY ALL)",
     "rf_peak": f"""WITH f AS (SELECT neuron, CAST(feature % 256 // 32 AS INTEGER) AS x, CAST(feature % 32 // 4 AS INTEGER) AS y, CAST(feature % 4 AS INTEGER) AS o, CAST(feature // 256 AS INTEGER) AS s, round(r, 7) AS r FROM {_RF}),
         k AS (SELECT *, row_number() OVER (PARTITION BY neuron ORDER BY abs(r) DESC, x, y, o, s) AS n FROM f)
-        SELECT neuron, x, y, o, s, round(abs(r), 5) AS peak, {_DEG.format(nx=8, ny=8, size="CASE s WHEN 0 THEN 5.62::DOUBLE ELSE 8.43::DOUBLE END")} FROM (SELECT *, degrees(atan((68.0 / 8) / (180.0 / 8) * tan(radians(o * 45.0)))) AS a FROM k WHERE n = 1)""",
-    "rf_table_peaks": f"""SELECT neuron, x, y, o, 0 AS s, round(r, 6) AS peak, {_DEG.format(nx=6, ny=2, size="5.62::DOUBLE")} FROM (SELECT *, degrees(atan((68.0 / 2) / (180.0 / 6) * tan(radians(o * 22.5)))) AS a FROM (
+        SELECT neuron, x, y, o, s, round(abs(r), 5) AS peak, {_DEG.format(nx=8, ny=8, size="trunc(2 * (180.0 / 8) * (CASE s WHEN 0 THEN 1.0 ELSE 1.5 END) * 100)::DOUBLE / 100")} FROM (SELECT *, degrees(atan((68.0 / 8) / (180.0 / 8) * tan(radians(o * 45.0)))) AS a FROM k WHERE n = 1)""",
+    "rf_table_peaks": f"""SELECT neuron, x, y, o, 0 AS s, round(r, 6) AS peak, {_DEG.format(nx=6, ny=2, size="trunc(2 * (180.0 / 6) * 100)::DOUBLE / 100")} FROM (SELECT *, degrees(atan((68.0 / 2) / (180.0 / 6) * tan(radians(o * 22.5)))) AS a FROM (
         SELECT neuron, CAST(i // 16 AS INTEGER) AS x, CAST(i % 16 // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS o, abs(r) AS r, row_number() OVER (PARTITION BY neuron ORDER BY abs(r) DESC, i) AS n FROM {_E}) WHERE n = 1)""",
     "field_images": f"SELECT neuron, round(sum(v * v), 5) AS energy, round(max(abs(v)), 6) AS top FROM (SELECT neuron, pixel, sum(r * w) AS v FROM (SELECT neuron, r, CAST(i // 16 AS INTEGER) AS x, CAST(i % 16 // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS o FROM {_E}) JOIN {_bank_sql(_AX6, 6, 2)} USING (x, y, o) GROUP BY ALL) GROUP BY neuron",
+    "coarse_power": f"""WITH h AS {_HALVE.format(n=8)}, c AS (SELECT frame, s, x, y, o, sum(coef) FILTER (phase = 0) AS re, sum(coef) FILTER (phase = 1) AS im, sum(coef * coef) AS p FROM {_COEF} GROUP BY ALL)
+        SELECT frame, s, CAST(a.m AS INTEGER) AS x, CAST(b.m AS INTEGER) AS y, o, round(sum(a.w * b.w * re), 5) AS re, round(sum(a.w * b.w * im), 5) AS im, round(sum(a.w * b.w * p), 5) AS power FROM c JOIN h a ON a.k = c.x JOIN h b ON b.k = c.y GROUP BY frame, s, a.m, b.m, o""",
+    "preferred_series": f"WITH k AS (SELECT neuron, arg_max(feature, (round(abs(r), 7), -feature)) AS feature FROM {_RF} GROUP BY neuron) SELECT neuron, frame, round(p, 5) AS value FROM k JOIN {_POW} USING (feature)",
+    "frame_downsample": f"""WITH h AS {_HALVE.format(n=6)}, v AS (SELECT vec_id AS frame, i % 8 - 1 AS x, i // 8 - 1 AS y, CAST(embedding[i + 1] > 0 AS INTEGER) AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6),
+        z AS (SELECT frame, a.m AS my, b.m AS mx, CAST(round(sum(a.w * b.w * v), 9) >= 0.5 AS INTEGER) AS v FROM v JOIN h a ON a.k = v.y JOIN h b ON b.k = v.x GROUP BY ALL) SELECT frame, string_agg(v, '' ORDER BY my, mx) AS pixels FROM z GROUP BY frame""",
     "coarse_frames": "SELECT frame, CAST(p % 8 // 2 AS INTEGER) AS cx, CAST(p // 16 AS INTEGER) AS cy, round(avg(v), 6) AS v FROM (SELECT vec_id AS frame, i - 1 AS p, CAST(embedding[i] AS DOUBLE) AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings)) GROUP BY ALL",
 }

@@ -1,11 +1,12 @@
 import json
 import math
+import os
 
 import numpy as np
 import pytest
 
+from stimlake import config
 from stimlake import functions as X
-from stimlake.config import Config, literal
 from stimlake.operators import correlate, gabor, models, responses, smoothing, spatial, tuning
 from stimlake.sources import cached, load_array, resolve, text_log
 from stimlake.streaming import delivery_rates, once
@@ -28,6 +29,11 @@ def test_blocked_correlation_is_pearson(spark):
     assert {(q.neuron, q.x, q.o, q.s, q.peak) for q in p.collect()} == {(1, 0, 0, 0, 0.5), (2, 0, 1, 0, 0.1)}
 
 
+def weight(r, c, theta, sigma, frequency, offset):
+    across, along = c * math.cos(theta) + r * math.sin(theta), -c * math.sin(theta) + r * math.cos(theta)
+    return math.exp(-0.5 * (across**2 + along**2) / sigma**2) / (2 * math.pi * sigma**2) * math.cos(2 * math.pi * frequency * across + offset)
+
+
 def test_bank_and_projection(spark):
     b = gabor.bank(gabor.filters(spark, 6, 5, 3, [1.0], [0.0, math.pi / 2]), 6, 5)
     rows = b.collect()
@@ -37,15 +43,53 @@ def test_bank_and_projection(spark):
     rng = np.random.default_rng(0)
     v = rng.choice([-1, 1], (4, 30))
     f = spark.createDataFrame([(i, [int(k) for k in r]) for i, r in enumerate(v)] + [(9, [1]), (10, None)], "frame long, pixels array<int>")
-    c = gabor.long_coefficients(gabor.project(f, b, 30), 6, 5, 3, 1).collect()
+    k = gabor.kernels(gabor.parameters(spark, 3, [1.0], [0.0, math.pi / 2]))
+    c = gabor.long_coefficients(gabor.project(f, k, 6, 5), 6, 5, 3).collect()
     assert len(c) == 4 * 6 * 5 * 3 * 2
     for r in c[::37]:
         want = sum(k.w * v[r.frame, k.pixel] for k in rows if (k.x, k.y, k.o, k.s, k.phase) == (r.x, r.y, r.o, r.s, r.phase))
-        assert math.isclose(r.coef, want, abs_tol=1e-5)
+        assert math.isclose(r.coef, want, abs_tol=1e-9)
+    rough = {(r.o, r.phase, r.r, r.c): r.w for r in gabor.kernels(gabor.parameters(spark, 3, [1.0], [0.0, math.pi / 2]), sixteen_bit=True).collect()}
+    assert all(rough[r.o, r.phase, r.r, r.c] == float(np.float16(r.w)) for r in k.collect())
     one = gabor.resize_frames(spark.createDataFrame([(0, [1.0] * 36)], "frame long, pixels array<double>"), (6, 6), (2, 3), binarise=None).first()
     assert np.allclose(one.pixels, 1.0) and len(one.pixels) == 6
 
 
+def test_projection_and_coarse_power_at_the_default_size(spark):
+    c = config.settings()
+    nx, ny, n = c.bank.nx, c.bank.ny, c.bank.orientations
+    rng = np.random.default_rng(3)
+    v = rng.choice([-1, 1], (2, ny, nx))
+    f = spark.createDataFrame([(i, [int(k) for k in r.ravel()]) for i, r in enumerate(v)], "frame long, pixels array<int>")
+    coefs = gabor.project(f, gabor.kernels(gabor.parameters(spark, n, list(c.bank.sizes), config.offsets(c.bank))), nx, ny)
+    got = {(r.frame, r.s): np.array(r.coef).reshape(2, nx, ny, n) for r in coefs.collect()}
+    assert len(got) == 2 * len(c.bank.sizes)
+    for frame, s, phase, x, y, o in [(0, 0, 0, 3, 50, 2), (1, 5, 1, 134, 0, 7), (0, 3, 1, 70, 27, 0), (1, 4, 0, 20, 30, 5)]:
+        sigma, theta = c.bank.sizes[s], o * math.pi / n
+        h = math.ceil(max(3 * sigma * max(abs(math.cos(theta)), abs(math.sin(theta))), 1))
+        want = sum(weight(r, q, theta, sigma, -0.016 * sigma + 0.148, phase * math.pi / 2) * v[frame, y + q, x + r] for r in range(-h, h + 1) for q in range(-h, h + 1) if 0 <= x + r < nx and 0 <= y + q < ny)
+        assert math.isclose(got[frame, s][phase, x, y, o], want, abs_tol=1e-9)
+    small = {(r.frame, r.s): r for r in gabor.coarse(coefs, (nx, ny), n, (27, 11)).collect()}
+    assert all(len(r.power) == len(r.re) == 27 * 11 * n for r in small.values())
+    flat = (got[1, 2] ** 2).sum(0)
+    assert math.isclose(np.mean(small[1, 2].power), flat.mean(), rel_tol=0.05) and min(small[1, 2].power) >= 0
+
+
+def test_a_made_up_cell_is_its_own_peak(spark):
+    rng = np.random.default_rng(5)
+    v = rng.choice([-1, 1], (300, 64))
+    f = spark.createDataFrame([(i, [int(k) for k in r]) for i, r in enumerate(v)], "frame long, pixels array<int>")
+    power = gabor.frame_vectors(gabor.power(gabor.project(f, gabor.kernels(gabor.parameters(spark, 4, [1.0, 1.5], [0.0, math.pi / 2])), 8, 8)), "power")
+    wanted = {0: 1 * 256 + 3 * 32 + 4 * 4 + 2, 1: 0 * 256 + 6 * 32 + 1 * 4 + 1}  # s, x, y, o
+    cells = power.select("frame", *[(power["vec"][k] * 3 + 1).alias(f"n{n}") for n, k in wanted.items()]).collect()
+    noisy = [(r.frame, [r.n0 + 0.02 * float(rng.standard_normal()), r.n1 + 0.02 * float(rng.standard_normal())]) for r in cells]
+    field = correlate.cross_correlation(power, spark.createDataFrame(noisy, "frame long, resp array<double>"), n_features=512, n_neurons=2, feature_block=200, frame_block=7, fold=3)
+    best = {r.neuron: r.feature for r in correlate.strongest(field, 1).collect()}
+    assert best == wanted
+    again = correlate.preferred_series(power, spark.createDataFrame([(n, k) for n, k in wanted.items()] + [(7, wanted[0]), (8, 9999), (None, 1)], "neuron long, feature long"))
+    assert again.count() == 900 and {r.neuron for r in again.collect()} == {0, 1, 7}
+
+
 def test_lowpass_kernel_is_the_recursion():
     k = math.tan(math.pi * 2 / 30)
     b, a = k / (1 + k), (k - 1) / (k + 1)
@@ -113,15 +157,21 @@ def test_responses_with_gaps_and_constants(spark):
 
 
 def test_settings(tmp_path):
-    c = Config.of({"N_thetas": "4", "Phases": "[0, 90]"}, {"Experiment Info": "('s', '2024-01-02', 3)"})
-    assert len(c.bank.thetas()) == 4 and math.isclose(c.bank.offsets()[1], math.pi / 2) and c.bank.free_frequencies()
-    assert c.run.experiment == ("s", "2024-01-02", 3) and c.run.frames_per_minute() == 1800 and c.run.sigmas_deg()[0] == 5.33
-    assert literal("None", "x") is None and c.run.coverage_ratios() == (0.75, 1.0)
+    c = config.settings({"N_thetas": "4", "Phases": "[0, 90]", "Theme": "dark"}, {"Experiment Info": "('s', '2024-01-02', 3)"})
+    assert len(config.angles(c.bank)) == 4 and math.isclose(config.offsets(c.bank)[1], math.pi / 2) and config.offsets(c.bank, "raw") == [0, 90]
+    assert c.run.experiment == ("s", "2024-01-02", "3") and config.experiment_folder(c.run) == "./s/2024-01-02/3"
+    assert config.analysed_sizes(c.run) == [4, 6, 8, 10, 12, 16]  # in degrees of the analysed part: 135 degrees on 135 pixels
+    assert config.analysed_shares(c.run) == (0.75, 1.0) and config.analysed_pixels(c.run, 54, 180) == (0, 54, 0, 135)
+    assert c.run.spikes is None and c.run.folders == (".",) and config.settings(config.written("bank", c.bank)).bank == c.bank
     p = tmp_path / "c.json"
-    p.write_text(json.dumps({"gabor_param": {"Save Path": "{PROJECT_ROOT}/lib"}, "param_defaults": {"Hz": "60"}}))
-    assert Config.read(str(p), "/r").bank.save_path == "/r/lib" and Config.read(str(p)).run.hz == 60
+    p.write_text(json.dumps({"gabor_param": {"Save Path": "{PROJECT_ROOT}/lib"}, "param_defaults": {"Hz": "60", "Dirs": "['~', '$HOME/x']"}}))
+    got = config.settings_file(str(p), "/r")
+    assert got.bank.saved_at == "/r/lib" and got.run.rate == 60 and got.run.folders == (os.path.expanduser("~"), os.path.expandvars("$HOME/x"))
     with pytest.raises(ValueError, match="needs 4 values"):
-        Config.of(None, {"Visual Coverage": "[1, 2, 3]"})
+        config.settings(None, {"Visual Coverage": "[1, 2, 3]"})
+    for bad in ({"Hz": "2.5"}, {"Hz": "None"}, {"Sigmas": "[1, 'a']"}):
+        with pytest.raises(ValueError, match="cannot be read"):
+            config.settings(None, bad)
 
 
 def test_sources(spark, tmp_path):
