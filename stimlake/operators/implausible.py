@@ -5,11 +5,16 @@ explained by four hidden states: normal, spike, stuck, out of range. Forward-bac
 states, together with hard bounds (the span the hardware can produce, the longest spike, the shortest
 frozen stretch), assign the flags.
 
-How it is spread: readings are shuffled once, into buckets of whole sources; inside a bucket the model runs
-over all its sources at once as NumPy arrays. A source above ``max_rows`` readings is cut into chunks of
-about ``chunk_rows`` readings, all of like size, plus a halo of ``halo`` readings on both sides, numbered through
-counts per time block, so no task ever sorts or holds a whole hot source. What such a source is judged by (the size
-of its usual steps) is counted over all its chunks first, in narrow bins, and goes to each of them.
+A short excursion is measured by the scatter of the source: the usual step between its successive readings, over
+the whole source or around the reading, whichever is greater. So a source that grows noisy is not called
+implausible, nor is one that stirs after a long rest.
+
+How it is spread: a first pass counts the readings of each source. Those above ``max_rows`` are cut into blocks of
+equal time that a second pass counts, together with the sizes of their steps in narrow bins; whole blocks make
+chunks of about ``chunk_rows`` readings, with at least ``halo`` readings of their neighbours on both sides. A block
+that is too full is cut finer by a pass of its own. The last pass shuffles all readings once, into buckets of whole
+sources and chunks; inside a bucket the model runs over all of them at once as NumPy arrays. What a source is judged
+by is the same at every size, so no task ever sorts or holds a whole hot source.
 """
 
 from __future__ import annotations
@@ -54,6 +59,7 @@ class Params:
     max_rows: int = 65_536
     chunk_rows: int = 32_768
     halo: int = 128
+    around: int = 64
     rows_per_task: int = 60_000
 
 
@@ -154,11 +160,6 @@ def forward_backward(e: np.ndarray, first: np.ndarray, move: np.ndarray, start:
     return post / (post.sum(1, keepdims=True) + 1e-300)
 
 
-def _per_series(x: np.ndarray, sid: np.ndarray, n: int, how: str) -> np.ndarray:
-    """One statistic of x for each series; NaN for a series without values."""
-    return getattr(pd.Series(x).groupby(sid), how)().reindex(range(n)).to_numpy()
-
-
 #: Bins of the size of steps for each doubling of it.
 FINE = 512
 
@@ -180,6 +181,41 @@ def _quantile(size: np.ndarray, n: np.ndarray, q: float) -> float:
     return low + (at - np.floor(at)) * (high - low)
 
 
+def step_bins(step: np.ndarray, sid: np.ndarray) -> pd.DataFrame:
+    """Steps of each series counted in narrow bins: sid, bin, n, total, least."""
+    by = pd.DataFrame({"sid": sid, "bin": np.floor(np.log2(step) * FINE).astype(np.int64), "step": step}).groupby(["sid", "bin"])["step"]
+    return by.agg(["size", "sum", "min"]).reset_index().set_axis(["sid", "bin", "n", "total", "least"], axis=1)
+
+
+def usual_steps(bins: pd.DataFrame) -> tuple[float, float, float]:
+    """Grain (the least step) of a series, and the median and lower quartile of those steps that are clearly greater."""
+    if not len(bins):
+        return 0.0, np.nan, np.nan
+    bins = bins.sort_values("bin")
+    grain, size = float(bins["least"].min()), (bins["total"] / bins["n"]).to_numpy()
+    coarse = size > 2.5 * grain
+    return grain, _quantile(size[coarse], bins["n"].to_numpy()[coarse], 0.5), _quantile(size[coarse], bins["n"].to_numpy()[coarse], 0.25)
+
+
+#: Scatter of normal readings by the median of their steps.
+BY_STEP = 1.4826 / np.sqrt(2)
+
+
+def scatter_around(step: np.ndarray, counts: np.ndarray, s: np.ndarray, at: np.ndarray, reach: int, rows: int = 4096) -> np.ndarray:
+    """Scatter of the series by the steps that count among the ``reach`` before and after each place; 0 if few do."""
+    out = np.zeros(len(at))
+    for a in range(0, len(at), rows):
+        i = at[a : a + rows, None] + np.arange(-reach, reach)
+        ok = (i >= 0) & (i < len(step))
+        i = np.clip(i, 0, max(len(step) - 1, 0))
+        ok &= counts[i] & (s[i] == s[at[a : a + rows], None]) & (s[i + 1] == s[at[a : a + rows], None])
+        near = np.sort(np.where(ok, step[i], np.inf), axis=1)
+        n = ok.sum(1)
+        middle = near[np.arange(len(n)), np.minimum(n // 2, near.shape[1] - 1)]
+        out[a : a + rows] = np.where(n >= 16, middle * BY_STEP, 0.0)
+    return out
+
+
 def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape: np.ndarray, freeze: np.ndarray, spike_at: np.ndarray, p: Params, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Flags and state probabilities of readings sorted by series and time.
 
@@ -191,26 +227,27 @@ def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape:
     keep = np.flatnonzero(~out)
     s, x = sid[keep], v[keep]
     step, inner, moved = _moved(s, x)
-    known = np.full((series, 3), np.nan) if known is None else known
-    given = ~np.isnan(known[:, 0])
-    grain = np.nan_to_num(_per_series(step[moved], s[1:][moved], series, "min"), nan=0.0)
-    grain = np.where(given, known[:, 0], grain)
-    coarse = moved & (step > 2.5 * grain[s[1:]])
-    usual = np.where(given, known[:, 1], _per_series(step[coarse], s[1:][coarse], series, "median")) * 1.4826 / np.sqrt(2)
-    scatter = np.fmax(np.nan_to_num(usual, nan=0.0), grain)
+    known = np.full((series, 3), np.nan) if known is None else known.copy()
+    fresh = np.isnan(known[:, 0])
+    known[fresh, 0] = 0.0
+    own = moved & fresh[s[1:]] & np.isfinite(step)
+    for k, bins in step_bins(step[own], s[1:][own]).groupby("sid"):
+        known[k] = usual_steps(bins)
+    grain = known[:, 0]
+    scatter = np.fmax(np.nan_to_num(known[:, 1] * BY_STEP, nan=0.0), grain)
     scatter[scatter == 0] = 1.0
     z = excursions(x, s, p.longest_spike)
     for k in np.flatnonzero(shape == "levels"):
         at = slice(*np.searchsorted(s, [k, k + 1]))
-        d = np.abs(np.diff(x[at]))
-        d = d[d > 2.5 * grain[k]]
-        quarter = known[k, 2] if given[k] else np.quantile(d, 0.25) if len(d) else np.nan
-        if not np.isnan(quarter):
-            scatter[k] = max(quarter / 0.45, grain[k])
+        if not np.isnan(known[k, 2]):
+            scatter[k] = max(known[k, 2] / 0.45, grain[k])
         z[at] = away_from_levels(x[at])
-    rest = np.isin(shape, ["counter"])
-    scatter[rest] = 1.0
+    scatter[shape == "counter"] = 1.0
     z = z / scatter[s]
+    # where a reading stands out by the whole source's scatter, that around it counts too
+    out_there = np.flatnonzero((z > spike_at[s] / 2) & np.isin(shape, ["signal", "rest"])[s])
+    coarse = moved & (step > 2.5 * grain[s[1:]])
+    z[out_there] /= np.maximum(1.0, scatter_around(step, coarse, s, out_there, p.around) / scatter[s[out_there]])
 
     flat = np.zeros(len(x), bool)
     near = inner & (step <= 2.5 * grain[s[1:]] + 1e-9 * np.maximum(1.0, np.abs(x[1:])))
@@ -266,51 +303,17 @@ def flag_readings(readings: DataFrame, limits: dict[str, tuple[float, float]], p
     p = params
     rows = readings.select(F.col("src").cast("long"), "channel", F.col("row_id").cast("long"), F.col("t").cast("double"), F.col("v").cast("double"))
     rows = rows.filter(usable("t") & usable("v") & F.col("src").isNotNull() & F.col("channel").isNotNull() & F.col("row_id").isNotNull())
-    per = rows.groupBy("src", "channel").agg(F.count("*").alias("n"), F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+    source = ["src", "channel"]
+    per = cut(rows.groupBy(*source).agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last")), "sources")
     total, hot = per.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > p.max_rows, 1))).first()
-    none = [F.lit(None).cast("double").alias(k) for k in ("grain", "middle", "quarter")]
-    whole = rows.select("*", F.lit(0).alias("chunk"), F.lit(True).alias("core"), *none)
+    home = F.array(F.struct(F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("core")))
     if hot:
-        big = maybe_broadcast(per.filter(F.col("n") > p.max_rows).withColumn("width", F.greatest((F.col("t_max") - F.col("t_min")) / F.ceil(F.col("n") / p.chunk_rows * 4), F.lit(1e-9))))
-        whole = whole.join(big.select("src", "channel"), ["src", "channel"], "left_anti")
-        cut_up = rows.join(big.select("src", "channel", "t_min", "width"), ["src", "channel"]).withColumn("block", F.floor((F.col("t") - F.col("t_min")) / F.col("width"))).drop("t_min", "width")
-        cut_up = cut_up.dropDuplicates(["src", "channel", "row_id"])
-        own = Window.partitionBy("src", "channel")
-        before = own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-        counts = cut_up.groupBy("src", "channel", "block").agg(F.count("*").alias("n")).select("src", "channel", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(own).alias("all"))
-        place = F.row_number().over(Window.partitionBy("src", "channel", "block").orderBy("t", "row_id")) - 1
-        numbered = cut_up.withColumn("place", place).join(counts, ["src", "channel", "block"]).withColumn("place", F.col("place") + F.col("skip"))
-        # chunks of like size: the last one is no small rest
-        numbered = numbered.withColumn("size", F.ceil(F.col("all") / F.ceil(F.col("all") / p.chunk_rows)))
-        c, at = F.floor(F.col("place") / F.col("size")).cast("int"), F.pmod(F.col("place"), F.col("size"))
-        copies = F.array_compact(F.array(F.struct(c.alias("chunk"), F.lit(True).alias("core")), F.when(at < p.halo, F.struct((c - 1).alias("chunk"), F.lit(False).alias("core"))), F.when(at >= F.col("size") - p.halo, F.struct((c + 1).alias("chunk"), F.lit(False).alias("core")))))
-        numbered = cut(numbered.select("src", "channel", "row_id", "t", "v", F.inline(copies)), "chunks")
-
-        def count(pdf: pd.DataFrame) -> pd.DataFrame:
-            """How many steps of each size the chunk has."""
-            pdf = pdf.sort_values(["t", "row_id"])
-            lo, hi = limits.get(pdf["channel"].iloc[0], (-np.inf, np.inf))
-            pdf = pdf[pdf["v"].between(lo, hi)]
-            step, _, moved = _moved(np.zeros(len(pdf), int), pdf["v"].to_numpy())
-            step = step[moved & pdf["core"].to_numpy()[1:] & np.isfinite(step)]
-            by = pd.Series(step).groupby(np.floor(np.log2(step) * FINE).astype(np.int64)).agg(["size", "sum", "min"])
-            return pd.DataFrame({"bin": by.index.to_numpy(), "n": by["size"].to_numpy(), "total": by["sum"].to_numpy(), "least": by["min"].to_numpy()})
-
-        counted = numbered.groupBy("src", "channel", "chunk").applyInPandas(lambda key, pdf: count(pdf).assign(src=key[0], channel=key[1])[["src", "channel", "bin", "n", "total", "least"]], "src long, channel string, bin long, n long, total double, least double")
-        counted = counted.groupBy("src", "channel", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"))
-
-        def usual(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("bin")
-            grain = pdf["least"].min()
-            size = (pdf["total"] / pdf["n"]).to_numpy()
-            coarse = size > 2.5 * grain
-            size, n = size[coarse], pdf["n"].to_numpy()[coarse]
-            return pd.DataFrame({"src": [key[0]], "channel": [key[1]], "grain": [grain], "middle": [_quantile(size, n, 0.5)], "quarter": [_quantile(size, n, 0.25)]})
-
-        # a source's sizes of steps are a bounded number of bins
-        usuals = cut(counted.groupBy("src", "channel").applyInPandas(usual, "src long, channel string, grain double, middle double, quarter double"), "usual")
-        still = [F.coalesce(F.col("grain"), F.lit(0.0)).alias("grain"), "middle", "quarter"]  # a source without any step has no row
-        whole = whole.unionByName(numbered.join(maybe_broadcast(usuals), ["src", "channel"], "left").select("src", "channel", "row_id", "t", "v", "chunk", "core", *still))
+        chunks, usuals, levels = _chunks(rows, per.filter(F.col("n") > p.max_rows), limits, p)
+        whole = _placed(rows, levels, "left").join(maybe_broadcast(chunks), [*source, "block"], "left").join(maybe_broadcast(usuals), source, "left")
+        whole = whole.select(*source, "row_id", "t", "v", "grain", "middle", "quarter", F.inline(F.coalesce("homes", home)))
+    else:
+        none = [F.lit(None).cast("double").alias(k) for k in ("grain", "middle", "quarter")]
+        whole = rows.select(*source, "row_id", "t", "v", *none, F.inline(home))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         names, channel = np.unique(pdf["channel"].to_numpy(dtype=object), return_inverse=True)
@@ -333,3 +336,75 @@ def flag_readings(readings: DataFrame, limits: dict[str, tuple[float, float]], p
     # as many partitions as buckets: the tasks stay this size whatever spark.sql.shuffle.partitions says
     whole = whole.withColumn("bucket", bucket(n, "channel", "src", "chunk")).repartition(n, "bucket")
     return whole.groupBy("bucket").applyInPandas(run, "src long, channel string, row_id long, t double, v double, flag string, p_spike double, p_stuck double")
+
+
+def _placed(rows: DataFrame, levels: list[DataFrame], how: str) -> DataFrame:
+    """Readings with the block of time they lie in, its numbers at each level of fineness; null for readings of
+    sources that are not cut."""
+    placed = rows.withColumn("block", F.lit(None).cast("string"))
+    for level, spans in enumerate(levels):
+        keys = ["src", "channel"] if not level else ["src", "channel", "block"]
+        placed = placed.join(maybe_broadcast(spans.withColumn("fine", F.lit(True))), keys, how if not level else "left")
+        number = F.floor((F.col("t") - F.col("first")) / F.col("width")).cast("string")
+        block = F.when(F.col("fine"), F.concat_ws("/", "block", number)).otherwise(F.col("block"))
+        placed = placed.withColumn("block", block).drop("first", "width", "fine")
+    return placed
+
+
+def _chunks(rows: DataFrame, big: DataFrame, limits: dict[str, tuple[float, float]], p: Params) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """How the big sources are cut: the chunks each block belongs to (src, channel, block, homes), the sources' usual
+    steps (src, channel, grain, middle, quarter), and the spans of the blocks at each level."""
+    source, key = ["src", "channel"], ["src", "channel", "block"]
+    width = lambda n: F.greatest((F.col("last") - F.col("first")) / F.ceil(n / p.chunk_rows * 8), F.lit(1e-9))
+    levels = [big.select(*source, "first", width(F.col("n")).alias("width"))]
+    n_big = big.agg(F.sum("n")).first()[0]
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Readings and span of each block, and of each source in it the steps inside the blocks."""
+        pdf = pdf.drop_duplicates([*source, "row_id"]).sort_values([*key, "t", "row_id"], kind="stable")
+        by = pdf.groupby(key, sort=False)
+        blocks = by["t"].agg(["size", "min", "max"]).reset_index().set_axis([*key, "n", "first", "last"], axis=1)
+        span = {c: limits.get(c, (-np.inf, np.inf)) for c in pdf["channel"].unique()}
+        lo, hi = (pdf["channel"].map(lambda c, e=e: span[c][e]).to_numpy(float) for e in (0, 1))
+        fits = (pdf["v"].to_numpy() >= lo) & (pdf["v"].to_numpy() <= hi)
+        sid, series = by.ngroup().to_numpy(), pdf.groupby(source, sort=False).ngroup().to_numpy()
+        step, _, moved = _moved(sid[fits], pdf["v"].to_numpy()[fits])
+        moved &= np.isfinite(step)
+        bins = step_bins(step[moved], series[fits][1:][moved])
+        names = pdf.drop_duplicates(source)[source].reset_index(drop=True)
+        both = pd.concat([blocks, names.loc[bins["sid"]].reset_index(drop=True).join(bins.drop(columns="sid"))], ignore_index=True)
+        return both.assign(block=both["block"].astype(object).where(both["block"].notna(), None), bin=both["bin"].astype("Int64"))[[*key, "n", "first", "last", "bin", "total", "least"]]
+
+    def counted(some: DataFrame) -> DataFrame:
+        some = some.withColumn("g", bucket(parts(n_big, p.rows_per_task), *key)).repartition(parts(n_big, p.rows_per_task), "g")
+        return cut(some.groupBy("g").applyInPandas(count, "src long, channel string, block string, n long, first double, last double, bin long, total double, least double"), "blocks")
+
+    found = counted(_placed(rows, levels, "inner"))
+    bins = found.filter("bin IS NOT NULL").groupBy(*source, "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"))
+
+    def usual(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*key, *usual_steps(pdf))], columns=["src", "channel", "grain", "middle", "quarter"])
+
+    # a source's sizes of steps are a bounded number of bins; one without any step has grain 0
+    usuals = cut(big.select(*source).join(bins.groupBy(*source).applyInPandas(usual, "src long, channel string, grain double, middle double, quarter double"), source, "left").fillna(0.0, ["grain"]), "usual")
+    blocks = found.filter("bin IS NULL").select(*key, "n", "first", "last")
+    while True:
+        # blocks that are too full are cut finer, unless all their readings have one time
+        full = (F.col("n") > 2 * p.chunk_rows) & (F.col("last") > F.col("first")) & (F.size(F.split("block", "/")) == len(levels))
+        finer = cut(blocks.filter(full).select(*key, "first", width(F.col("n")).alias("width")), "finer")
+        if not finer.limit(1).count():
+            break
+        some = _placed(rows, levels, "inner").join(maybe_broadcast(finer.select(*key)), key, "left_semi")
+        levels.append(finer)
+        fresh = counted(_placed(some.drop("block"), levels, "inner")).filter("bin IS NULL").select(*key, "n", "first", "last")
+        blocks = blocks.filter(~full).unionByName(fresh)
+    order = Window.partitionBy(*source).orderBy("first", "block")  # a row for each block of thousands of readings
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    blocks = cut(blocks.withColumn("chunk", F.floor(F.col("before") / p.chunk_rows)), "chunks")
+    starts = blocks.groupBy(*source, "chunk").agg(F.min("before").alias("start"))
+    turn = Window.partitionBy(*source).orderBy("chunk")
+    starts = starts.select(*source, "chunk", "start", F.lag("chunk").over(turn).alias("prior"), F.lead("chunk").over(turn).alias("next"), F.lead("start").over(turn).alias("end"))
+    near = blocks.join(starts, [*source, "chunk"])
+    entry = lambda c, core: F.struct(F.col(c).alias("chunk"), F.lit(core).alias("core"))
+    homes = F.array_compact(F.array(entry("chunk", True), F.when(F.col("before") - F.col("start") < p.halo, F.when(F.col("prior").isNotNull(), entry("prior", False))), F.when(F.col("end") - F.col("before") - F.col("n") < p.halo, F.when(F.col("next").isNotNull(), entry("next", False)))))
+    return cut(near.select(*key, homes.alias("homes")), "homes"), usuals, levels

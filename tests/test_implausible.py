@@ -103,3 +103,27 @@ def test_chunks_are_judged_by_the_whole_source(spark):
     rows[700][4] = 4.0
     rows += [list(rows[i]) for i in (499, 500, 700)]
     assert flags(spark, rows, max_rows=500, chunk_rows=250, halo=64) == flags(spark, rows)
+
+
+def test_a_source_that_grows_noisy_is_not_implausible(spark):
+    rng = np.random.default_rng(1)
+    sd = np.repeat([0.02, 0.5], 2000)
+    rows = [[1, "piezo", i, i * 0.02, round(0.4 + float(rng.normal(0, sd[i])), 4), None, "x"] for i in range(4000)]
+    large = list(range(100, 1900, 150)) + list(range(2100, 3900, 150))
+    for i in large:
+        rows[i][4] = 9.0 if i % 300 == 100 else -9.0
+    rows += [list(rows[i]) for i in (1999, 2000, *large[:3])]
+    whole = flags(spark, rows)
+    assert {i for (_, i), f in whole.items() if f == "spike"} >= set(large) and len(whole) <= len(large) + 12
+    assert flags(spark, rows, max_rows=500, chunk_rows=800) == whole
+
+
+def test_a_burst_of_readings_is_cut_finer(spark):
+    rows = series(1200, seed=9)
+    for i in range(1, 1100):  # nearly all readings within a short time
+        rows[i][3] = 10.0 + i * 1e-5
+    rows[0][3], rows[600][4] = -1e5, 5.0
+    rows += [[1, "piezo", 5000 + i, 10.00500001, 0.4 + 0.001 * (i % 7), None, ""] for i in range(300)]  # and some at one time
+    whole = flags(spark, rows)
+    assert whole[1, 600] == "spike"
+    assert flags(spark, rows, max_rows=200, chunk_rows=100, halo=70) == whole
