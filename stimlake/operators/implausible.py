@@ -171,30 +171,33 @@ def _moved(s: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nda
     return step, inner, inner & (step > 1e-9 * np.maximum(1.0, np.abs(x[1:])))
 
 
-def _quantile(size: np.ndarray, n: np.ndarray, q: float) -> float:
-    """Quantile of sizes that occur n times each, between neighbours as np.quantile has it."""
-    if not len(size):
-        return np.nan
-    at = q * (n.sum() - 1)
-    ends = np.cumsum(n)
-    low, high = size[np.searchsorted(ends, [np.floor(at), np.ceil(at)], side="right")]
-    return low + (at - np.floor(at)) * (high - low)
-
-
 def step_bins(step: np.ndarray, sid: np.ndarray) -> pd.DataFrame:
     """Steps of each series counted in narrow bins: sid, bin, n, total, least."""
     by = pd.DataFrame({"sid": sid, "bin": np.floor(np.log2(step) * FINE).astype(np.int64), "step": step}).groupby(["sid", "bin"])["step"]
     return by.agg(["size", "sum", "min"]).reset_index().set_axis(["sid", "bin", "n", "total", "least"], axis=1)
 
 
-def usual_steps(bins: pd.DataFrame) -> tuple[float, float, float]:
-    """Grain (the least step) of a series, and the median and lower quartile of those steps that are clearly greater."""
-    if not len(bins):
-        return 0.0, np.nan, np.nan
-    bins = bins.sort_values("bin")
-    grain, size = float(bins["least"].min()), (bins["total"] / bins["n"]).to_numpy()
-    coarse = size > 2.5 * grain
-    return grain, _quantile(size[coarse], bins["n"].to_numpy()[coarse], 0.5), _quantile(size[coarse], bins["n"].to_numpy()[coarse], 0.25)
+def usual_steps(bins: pd.DataFrame, series: int) -> np.ndarray:
+    """For each series its grain (the least step, 0 without any), and the median and lower quartile of those steps
+    that are clearly greater, between neighbours as np.quantile has them (NaN without any)."""
+    out = np.full((series, 3), np.nan)
+    bins = bins.sort_values(["sid", "bin"])
+    sid, n, size = bins["sid"].to_numpy(), bins["n"].to_numpy(), (bins["total"] / bins["n"]).to_numpy()
+    out[:, 0] = 0.0
+    least = bins.groupby("sid")["least"].min()
+    out[least.index, 0] = least
+    coarse = size > 2.5 * out[sid, 0]
+    sid, n, size = sid[coarse], n[coarse], size[coarse]
+    if len(n):
+        ends = np.cumsum(n)
+        here, first = np.unique(sid, return_index=True)
+        before = np.r_[0, ends][first]
+        all_ = np.diff(np.r_[before, ends[-1]])
+        for column, q in ((1, 0.5), (2, 0.25)):
+            at = q * (all_ - 1)
+            low, high = (size[np.searchsorted(ends, before + f(at), side="right")] for f in (np.floor, np.ceil))
+            out[here, column] = low + (at - np.floor(at)) * (high - low)
+    return out
 
 
 #: Scatter of normal readings by the median of their steps.
@@ -227,12 +230,10 @@ def judge(sid: np.ndarray, v: np.ndarray, lo: np.ndarray, hi: np.ndarray, shape:
     keep = np.flatnonzero(~out)
     s, x = sid[keep], v[keep]
     step, inner, moved = _moved(s, x)
-    known = np.full((series, 3), np.nan) if known is None else known.copy()
+    known = np.full((series, 3), np.nan) if known is None else known
     fresh = np.isnan(known[:, 0])
-    known[fresh, 0] = 0.0
     own = moved & fresh[s[1:]] & np.isfinite(step)
-    for k, bins in step_bins(step[own], s[1:][own]).groupby("sid"):
-        known[k] = usual_steps(bins)
+    known = np.where(fresh[:, None], usual_steps(step_bins(step[own], s[1:][own]), series), known)
     grain = known[:, 0]
     scatter = np.fmax(np.nan_to_num(known[:, 1] * BY_STEP, nan=0.0), grain)
     scatter[scatter == 0] = 1.0
@@ -383,7 +384,7 @@ def _chunks(rows: DataFrame, big: DataFrame, limits: dict[str, tuple[float, floa
     bins = found.filter("bin IS NOT NULL").groupBy(*source, "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"))
 
     def usual(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, *usual_steps(pdf))], columns=["src", "channel", "grain", "middle", "quarter"])
+        return pd.DataFrame([(*key, *usual_steps(pdf.assign(sid=0), 1)[0])], columns=["src", "channel", "grain", "middle", "quarter"])
 
     # a source's sizes of steps are a bounded number of bins; one without any step has grain 0
     usuals = cut(big.select(*source).join(bins.groupBy(*source).applyInPandas(usual, "src long, channel string, grain double, middle double, quarter double"), source, "left").fillna(0.0, ["grain"]), "usual")
