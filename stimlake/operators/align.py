@@ -27,6 +27,43 @@ def edges(signal: DataFrame, threshold: float, *, kind: str = "both", side: str
     return s.select(key, "prev_id", "prev_t", "high").toDF(key, "id", "t", "high") if side == "before" else s.select(key, "id", "t", "high")
 
 
+def median_filtered(signal: DataFrame, *, key: str = "expt", width: float = WIDTH) -> DataFrame:
+    """The signal with each v replaced by the median of it and its two neighbours; beyond the ends lies 0."""
+    s = signal.filter(F.col("v").isNotNull() & ~F.isnan("v")).select(key, "id", "t", "v")
+    s = following(previous(s, [key], ["t", "id"], ["v"], width), [key], ["t", "id"], ["v"], width)
+    three = F.array_sort(F.array(F.coalesce("prev_v", F.lit(0.0)), "v", F.coalesce("next_v", F.lit(0.0))))
+    return s.select(key, "id", "t", F.get(three, 1).alias("v"))
+
+
+def level_middle(signal: DataFrame, *, key: str = "expt") -> DataFrame:
+    """key and ``threshold``: the middle between the mean of the values above a signal's mean and of those below.
+
+    One round of two means, enough for a signal of two levels (two_means goes on until nothing changes)."""
+    ok = signal.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    both = ok.join(ok.groupBy(key).agg(F.avg("v").alias("m")), key)
+    high, low = F.avg(F.when(F.col("v") > F.col("m"), F.col("v"))), F.avg(F.when(F.col("v") <= F.col("m"), F.col("v")))
+    return both.groupBy(key).agg(((F.coalesce(high, low) + low) / 2).alias("threshold"))
+
+
+def photodiode_flips(signal: DataFrame, thresholds: DataFrame, *, key: str = "expt", width: float = WIDTH) -> DataFrame:
+    """Samples at which a signal, freed of single outliers, has crossed its recording's threshold: key, id, t, high.
+
+    thresholds: key and ``threshold``, one row a key; recordings without one have no flips.
+    """
+    s = median_filtered(signal, key=key, width=width).join(thresholds, key).withColumn("v", F.col("v") - F.col("threshold"))
+    return edges(s, 0.0, side="after", key=key, width=width)
+
+
+def align_to_flips(events: DataFrame, flips: DataFrame, edge: str, *, key: str = "expt", width: float = WIDTH) -> DataFrame:
+    """Events with the flip that belongs to them, ``flip_t``: the first at or 'after', or the last at or 'before'.
+
+    events: key, ``t`` and any other columns. Null where a recording has no such flip.
+    """
+    if edge not in ("after", "before"):
+        raise ValueError(f"edge is 'after' or 'before', not {edge!r}")
+    return asof(events, flips.select(key, "t", F.col("t").alias("flip_t")), [key], "t", ["flip_t"], width, forward=edge == "after")
+
+
 def counter_rises(counter: DataFrame, *, key: str = "expt", width: float = WIDTH) -> DataFrame:
     """Samples at which a counter has risen: the frame times. The first sample is none."""
     s = counter.filter(F.col("v").isNotNull() & ~F.isnan("v"))
@@ -66,18 +103,26 @@ def in_windows(samples: DataFrame, windows: DataFrame, *, key: str = "expt", wid
     return asof(samples, starts, [key], "t", ["t_start", "t_end", "trial"], width).filter("t < t_end").drop("t_start", "t_end")
 
 
-def interpolate_at(samples: DataFrame, events: DataFrame, *, shift: float = 0.0, outside: float | None = 0.0, key: str = "expt", width: float = WIDTH) -> DataFrame:
-    """Value of a series at each event: linear between the samples that bracket it.
+def interpolate_at(samples: DataFrame, events: DataFrame, *, kind: str = "linear", shift: float = 0.0, outside: float | None = 0.0, key: str = "expt", width: float = WIDTH) -> DataFrame:
+    """Value of a series at each event, of the samples that bracket it.
 
-    samples: key, t, id, v; events: key, t, id. Beyond the samples the value is ``outside`` (null if None).
-    Result: key, id, t (of the event), ``value``.
+    samples: key, t, id, v; events: key, t, id. kind: 'linear' between them, the 'previous', the 'next', or the
+    'nearest' of them (of two equally near ones the earlier). Beyond the samples the value is ``outside`` (null if
+    None). Result: key, id, t (of the event), ``value``.
     """
     s = samples.filter(F.col("v").isNotNull() & ~F.isnan("v")).select(key, "t", F.col("t").alias("ts"), "v")
     e = events.select(key, "id", (F.col("t") + shift).alias("t"))
     back = asof(e, s, [key], "t", ["ts", "v"], width).withColumnsRenamed({"ts": "t0", "v": "v0"})
     both = asof(back, s, [key], "t", ["ts", "v"], width, forward=True).withColumnsRenamed({"ts": "t1", "v": "v1"})
-    line = F.when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0")))
-    value = F.when(F.col("t0").isNotNull() & F.col("t1").isNotNull(), line)
+    got = {
+        "linear": F.when(F.col("t1") == F.col("t0"), F.col("v0")).otherwise(F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))),
+        "previous": F.col("v0"),
+        "next": F.col("v1"),
+        "nearest": F.when(F.col("t") - F.col("t0") <= F.col("t1") - F.col("t"), F.col("v0")).otherwise(F.col("v1")),
+    }
+    if kind not in got:
+        raise ValueError(f"kind is one of {sorted(got)}, not {kind!r}")
+    value = F.when(F.col("t0").isNotNull() & F.col("t1").isNotNull(), got[kind])
     return both.select(key, "id", (F.col("t") - shift).alias("t"), (F.coalesce(value, F.lit(outside)) if outside is not None else value).alias("value"))
 
 

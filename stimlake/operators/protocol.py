@@ -64,7 +64,7 @@ def sweep(spark: SparkSession, **axes: Sequence) -> DataFrame:
 
 def split_rows(rows: DataFrame, key: str, shares: dict[str, float], seed: int = 0) -> DataFrame:
     """Give each row one of several sets by a hash of its key: ``part``. The same key always gets the same set."""
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / 1_000_000
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / 2**32
     total, upto, part = sum(shares.values()), 0.0, None
     for name, share in shares.items():
         upto += share / total

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stimlake.tables import cut, maybe_broadcast, parts
+
 CELL = "_cell"
 
 
@@ -69,6 +71,21 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: fl
     return running_sum(df, keys, order, F.lit(1).cast("long"), width, name).withColumn(name, F.col(name) - 1)
 
 
+def running_total(df: DataFrame, order: str, value: Column, name: str, rows: int = 200_000) -> DataFrame:
+    """Add the sum of ``value`` over all rows up to and including each one, by a unique ``order``.
+
+    Rows are shuffled into ranges of about ``rows``, written down with the number of their range; the sums of the
+    ranges (one row each) say what came before. Null orders are left out.
+    """
+    ok = df.filter(F.col(order).isNotNull()).withColumn("_v", value)
+    n = parts(ok.count(), rows)
+    placed = cut(ok.repartitionByRange(n, order).withColumn(CELL, F.spark_partition_id()), "ranges")
+    before = F.sum("_sum").over(Window.orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1))
+    sums = placed.groupBy(CELL).agg(F.sum("_v").alias("_sum")).select(CELL, F.coalesce(before, F.lit(0)).alias("_before"))
+    own = F.sum("_v").over(Window.partitionBy(CELL).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return placed.withColumn(name, own).join(maybe_broadcast(sums), CELL).withColumn(name, F.col(name) + F.col("_before")).drop("_v", "_before", CELL)
+
+
 def asof(left: DataFrame, right: DataFrame, keys: Sequence[str], t: str, take: Sequence[str], width: float, *, forward: bool = False, strict: bool = False) -> DataFrame:
     """Join each left row with the last right row at or before it (or the first at or after it).
 

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stimlake.operators.series import asof, running_sum
+from stimlake.operators.series import asof, running_total
+from stimlake.tables import cut
 
 
 def convolve(df: DataFrame, keys: Sequence[str], kernel: dict[int, float], *, edge: str = "zero", value: str = "value", full: bool = False) -> DataFrame:
@@ -104,22 +105,25 @@ def hann_grid(df: DataFrame, keys: Sequence[str], n: int, rows: str = "by", cols
     return s.join(df.select(*keys, rows, cols).distinct(), [*keys, rows, cols], "left_semi")
 
 
-def match_distribution(source: DataFrame, template: DataFrame, width: float) -> DataFrame:
+def match_distribution(source: DataFrame, template: DataFrame, cell_rows: int = 20_000) -> DataFrame:
     """Give each source value the template's value at the same cumulative share, linear in between.
 
-    source, template: ``value``; width is the size of the value cells the running counts go by. Result: the
-    distinct source values as ``value`` with their ``n`` and ``matched``; shares beyond the template's first
-    and last take its first and last value.
+    source, template: ``value``. Running counts go by ranges of values, the matching by cells of the share that
+    hold about ``cell_rows`` rows. Result: the distinct source values as ``value`` with their ``n`` and ``matched``;
+    shares beyond the template's first and last take its first and last value. Null and NaN values take no part.
     """
 
-    def shares(df: DataFrame) -> DataFrame:
-        c = df.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count("*").alias("n")).withColumn("g", F.lit(0))
-        total = c.agg(F.sum("n")).first()[0] or 1
-        return running_sum(c, ["g"], ["value"], F.col("n"), width, "upto").withColumn("t", F.col("upto") / total)
-
-    s, t = shares(source), shares(template).select("g", "t", F.col("t").alias("q"), F.col("value").alias("v"))
-    b = asof(s.select("g", "t", "value", "n"), t, ["g"], "t", ["q", "v"], 0.01).withColumnsRenamed({"q": "q0", "v": "v0"})
-    b = asof(b, t, ["g"], "t", ["q", "v"], 0.01, forward=True)
+    def shares(df: DataFrame) -> tuple[DataFrame, int]:
+        c = df.filter(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("value").agg(F.count("*").alias("n"))
+        c = cut(running_total(c, "value", F.col("n"), "upto"), "shares")
+        total = c.agg(F.max("upto")).first()[0] or 1
+        return c.select("value", "n", F.lit(0).alias("g"), (F.col("upto") / total).alias("t")), total
+
+    (s, n), (t, m) = shares(source), shares(template)
+    t = t.select("g", "t", F.col("t").alias("q"), F.col("value").alias("v"))
+    width = min(1.0, cell_rows / max(n, m))
+    b = asof(s, t, ["g"], "t", ["q", "v"], width).withColumnsRenamed({"q": "q0", "v": "v0"})
+    b = asof(b, t, ["g"], "t", ["q", "v"], width, forward=True)
     line = F.when(F.col("q0").isNull(), F.col("v")).when(F.col("q").isNull() | (F.col("q") == F.col("q0")), F.col("v0")).otherwise(F.col("v0") + (F.col("v") - F.col("v0")) * (F.col("t") - F.col("q0")) / (F.col("q") - F.col("q0")))
     return b.select("value", "n", line.alias("matched"))
 

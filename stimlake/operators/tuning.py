@@ -62,6 +62,12 @@ def lagged(df: DataFrame, keys: Sequence[str], value: str, lags: Sequence[int])
     return df.join(wide, [*keys, "i"], "left")
 
 
+def moved(df: DataFrame, keys: Sequence[str], value: str, places: int, fill: float = 0.0) -> DataFrame:
+    """``moved`` of a dense series (index ``i``): the value ``places`` further on (before, if negative), ``fill`` beyond the ends."""
+    other = df.select(*keys, (F.col("i") - places).alias("i"), F.col(value).alias("moved"))
+    return df.join(other, [*keys, "i"], "left").withColumn("moved", F.coalesce("moved", F.lit(fill)))
+
+
 def triggered_average(df: DataFrame, keys: Sequence[str], weight: str, value: str, n_lags: int) -> DataFrame:
     """Spike-triggered average: for each lag the mean of the value that many places before, weighted.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stimlake.operators import align
 from stimlake.operators.series import asof
-from stimlake.tables import table, usable
+from stimlake.tables import cut, maybe_broadcast, table, usable
 
 ECHO_THRESHOLD, FLIPS_PER_TRIAL = 1.0, 64
 
@@ -18,6 +18,28 @@ def channel(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.select("expt", F.col("row_id").alias("id"), "t", "v").dropDuplicates(["id"])
 
 
+def possible(spark: SparkSession, sf_dir: str, rows: DataFrame, name: str | None = None) -> DataFrame:
+    """Readings that their channel's hardware can produce: those of one channel, or of the column ``c``."""
+    span = table(spark, sf_dir, "channels").select(F.lower(F.trim("channel")).alias("c"), "v_min", "v_max").dropDuplicates(["c"])
+    both = (rows if name is None else rows.withColumn("c", F.lit(name))).join(maybe_broadcast(span), "c")
+    both = both.filter((F.col("v_min").isNull() | (F.col("v") >= F.col("v_min"))) & (F.col("v_max").isNull() | (F.col("v") <= F.col("v_max"))))
+    return both.drop("v_min", "v_max", *([] if name is None else ["c"]))
+
+
+def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Usable readings of the traces that the hardware can produce, each once."""
+    rows = table(spark, sf_dir, "trace").filter(usable("t") & usable("v"))
+    return possible(spark, sf_dir, rows, "cell_trace").dropDuplicates(["row_id"])
+
+
+#: SQL for the span of a channel, or of the column c.
+def span_sql(v: str, channel: str) -> str:
+    return f"EXISTS (SELECT 1 FROM channels h WHERE lower(trim(h.channel)) = {channel} AND {v} BETWEEN h.v_min AND h.v_max)"
+
+
+TRACES_SQL = f"SELECT DISTINCT row_id, neuron, t, v FROM trace WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND {span_sql('v', chr(39) + 'cell_trace' + chr(39))}"
+
+
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "frame_times").filter(usable("t")).select("expt", F.col("tick_id").alias("id"), "t").dropDuplicates(["id"])
 
@@ -68,6 +90,29 @@ def interp_at_events(s: SparkSession, d: str) -> DataFrame:
     return got.select("expt", "id", "t", F.round("value", 6).alias("value"))
 
 
+def interp_nearest(s: SparkSession, d: str) -> DataFrame:
+    return align.interpolate_at(_distinct_times(channel(s, d, "piezo")), flips(s, d), kind="nearest", outside=None)
+
+
+def _photodiode(s: SparkSession, d: str) -> DataFrame:
+    return possible(s, d, channel(s, d, "photodiode"), "photodiode")
+
+
+def photodiode_flips(s: SparkSession, d: str) -> DataFrame:
+    """Flips of the photodiode, freed of single outliers, across the middle between its levels."""
+    signal = _photodiode(s, d)
+    return align.photodiode_flips(signal, align.level_middle(align.median_filtered(signal)))
+
+
+def stimulus_times(s: SparkSession, d: str) -> DataFrame:
+    """Onset and offset of each trial by the photodiode: the first flip from its start and the last up to its end."""
+    f = cut(photodiode_flips(s, d), "flips")
+    w = trial_windows(s, d)
+    on = align.align_to_flips(w.select("expt", "trial", F.col("t_start").alias("t"), "t_end"), f, "after")
+    off = align.align_to_flips(on.select("expt", "trial", F.col("t_end").alias("t"), F.col("flip_t").alias("onset")), f, "before")
+    return off.select("expt", "trial", "onset", F.col("flip_t").alias("offset"))
+
+
 def _distinct_times(rows: DataFrame) -> DataFrame:
     return rows.filter(usable("v")).groupBy("expt", "t").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"))
 
@@ -88,10 +133,11 @@ def crash_gap_drop(s: SparkSession, d: str) -> DataFrame:
     return align.drop_crash(t, crash).groupBy("expt").agg(F.count("*").alias("n"), F.round(F.sum("t"), 3).alias("sum_t"))
 
 
-def channel_matrix(s: SparkSession, d: str) -> DataFrame:
-    """Selected channels side by side, one row for each sample time."""
+def channel_matrix(s: SparkSession, d: str, whole: bool = True) -> DataFrame:
+    """Selected channels side by side, one row for each sample time; unless ``whole``, of possible readings only."""
     names = ["photodiode", "piezo", "rotary_encoder"]
     rows = table(s, d, "timeline").filter(usable("t") & usable("v")).withColumn("c", F.lower(F.trim("channel")))
+    rows = rows if whole else possible(s, d, rows)
     return rows.groupBy("expt", "t").agg(*[F.max(F.when(F.col("c") == n, F.col("v"))).alias(n) for n in names])
 
 
@@ -112,7 +158,15 @@ WHERE n % {FLIPS_PER_TRIAL} = 0 AND (t_end IS NOT NULL OR t_last > t_start)"""
 _ASOF = f"SELECT f.expt, f.id, f.t, k.t AS tick_t FROM ({_FLIPS}) f ASOF LEFT JOIN ({_TICKS}) k ON f.expt = k.expt AND "
 _PIEZO = f"SELECT expt, t, arg_min(v, id) AS v FROM ({_CH.format('piezo')}) WHERE {_OK} GROUP BY expt, t"
 
+_DIODE = f"SELECT expt, id, t, v FROM ({_CH.format('photodiode')}) WHERE {_OK} AND {span_sql('v', chr(39) + 'photodiode' + chr(39))}"
+_FLIPPED = f"""m AS (SELECT expt, id, t, list_sort([coalesce(lag(v) OVER w, 0), v, coalesce(lead(v) OVER w, 0)])[2] AS v FROM ({_DIODE}) WINDOW w AS (PARTITION BY expt ORDER BY t, id)),
+  a AS (SELECT *, avg(v) OVER (PARTITION BY expt) AS mean FROM m), h AS (SELECT expt, (coalesce(avg(v) FILTER (v > mean), avg(v) FILTER (v <= mean)) + avg(v) FILTER (v <= mean)) / 2 AS threshold FROM a GROUP BY expt),
+  f AS (SELECT expt, id, t, high FROM (SELECT expt, id, t, v > threshold AS high, lag(v > threshold) OVER (PARTITION BY expt ORDER BY t, id) AS was FROM m JOIN h USING (expt)) WHERE was <> high)"""
+
 QUERIES = {
+    "interp_nearest": interp_nearest,
+    "photodiode_flips": photodiode_flips,
+    "stimulus_times": stimulus_times,
     "sync_flips_before": _echo("both", "before"),
     "sync_flips_after": _echo("both", "after"),
     "sync_flips_falling": _echo("falling", "before"),
@@ -131,6 +185,10 @@ QUERIES = {
     "input_names": input_names,
 }
 SQL = {
+    "interp_nearest": f"""SELECT a.expt, a.id, a.t, CASE WHEN t0 IS NULL OR b.t IS NULL THEN NULL WHEN a.t - t0 <= b.t - a.t THEN v0 ELSE b.v END AS value
+        FROM (SELECT f.expt, f.id, f.t, p.t AS t0, p.v AS v0 FROM ({_FLIPS}) f ASOF LEFT JOIN ({_PIEZO}) p ON f.expt = p.expt AND f.t >= p.t) a ASOF LEFT JOIN ({_PIEZO}) b ON a.expt = b.expt AND a.t <= b.t""",
+    "photodiode_flips": f"WITH {_FLIPPED} SELECT expt, id, t, high FROM f",
+    "stimulus_times": f"WITH {_FLIPPED}, o AS (SELECT w.expt, trial, t_end, f.t AS onset FROM ({_TRIALS}) w ASOF LEFT JOIN f ON w.expt = f.expt AND w.t_start <= f.t) SELECT o.expt, trial, onset, f.t AS \"offset\" FROM o ASOF LEFT JOIN f ON o.expt = f.expt AND o.t_end >= f.t",
     "sync_flips_before": f"SELECT expt, id0 AS id, t0 AS t, high FROM ({_EDGE}) WHERE was <> high",
     "sync_flips_after": f"SELECT expt, id, t, high FROM ({_EDGE}) WHERE was <> high",
     "sync_flips_falling": f"SELECT expt, id0 AS id, t0 AS t, high FROM ({_EDGE}) WHERE was AND NOT high",

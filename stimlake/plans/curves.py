@@ -14,17 +14,16 @@ from stimlake.operators import spatial as M
 from stimlake.operators import tuning as T
 from stimlake.operators.correlate import array_peak
 from stimlake.operators.series import numbered, previous
-from stimlake.plans.alignment import channel_matrix
+from stimlake.plans.alignment import TRACES_SQL, channel_matrix, possible, span_sql, traces
 from stimlake.plans.responses import rounded
-from stimlake.tables import table, usable
+from stimlake.tables import maybe_broadcast, table, usable
 
 WIDTH = 300.0
 
 
 def dense(s: SparkSession, d: str) -> DataFrame:
     """Readings of each neuron in order, numbered from 0: neuron, i, value."""
-    t = table(s, d, "trace").filter(usable("t") & usable("v")).filter("v BETWEEN 0 AND 65535").dropDuplicates(["row_id"])
-    return numbered(t, ["neuron"], ["t", "row_id"], WIDTH, "i").select("neuron", "i", F.col("v").alias("value"))
+    return numbered(traces(s, d), ["neuron"], ["t", "row_id"], WIDTH, "i").select("neuron", "i", F.col("v").alias("value"))
 
 
 def _smooth(kernel: dict[int, float], **how):
@@ -33,7 +32,7 @@ def _smooth(kernel: dict[int, float], **how):
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
     """Photodiode and piezo as the two parts of an angle, with the encoder: expt, i, t, c, s, w."""
-    m = channel_matrix(s, d).dropna().filter("abs(photodiode) <= 10 AND abs(piezo) <= 10 AND abs(rotary_encoder) <= 1024")
+    m = channel_matrix(s, d, whole=False).dropna()
     m = numbered(m, ["expt"], ["t"], WIDTH, "i")
     return m.select("expt", "i", "t", (F.col("photodiode") - 1).alias("c"), F.col("piezo").alias("s"), F.greatest("rotary_encoder", F.lit(0.0)).alias("w"))
 
@@ -112,6 +111,32 @@ def cells(s: SparkSession, d: str) -> DataFrame:
     return at.join(peak, "neuron").withColumnRenamed("neuron", "id")
 
 
+def selected_cells(s: SparkSession, d: str) -> DataFrame:
+    """Cells outside plane 0 whose field has a peak above 0.2."""
+    peaks = array_peak(_rf(s, d), "rfs", 2, 8, 1).select("neuron", "peak")
+    got = M.select_cells(table(s, d, "neurons").select("neuron", "expt", "iscell", "plane", "py", "px"), peaks=peaks)
+    return rounded(got.select("neuron", "expt", "plane", "py", "px", "peak"), "peak")
+
+
+def neuropil(s: SparkSession, d: str) -> DataFrame:
+    """Readings of the cells less 0.7 of their surround: what all regions of their plane show on average in the same second."""
+    who = table(s, d, "neurons").filter("neuron IS NOT NULL").groupBy("neuron").agg(F.coalesce(F.bool_or("iscell"), F.lit(False)).alias("iscell"))
+    t = possible(s, d, table(s, d, "trace").filter(usable("t") & usable("v")), "cell_trace").dropDuplicates(["row_id"]).withColumn("second", F.floor("t")).join(who, "neuron")
+    surround = t.groupBy("expt", "plane", "second").agg(F.avg("v").alias("surround"))
+    got = t.filter("iscell").join(surround, ["expt", "plane", "second"])
+    return got.select("neuron", "row_id", F.round(X.neuropil_corrected(F.col("v"), F.col("surround")), 5).alias("v"))
+
+
+def lead_zero_fill(s: SparkSession, d: str) -> DataFrame:
+    """The reading five places further on, 0 beyond the end."""
+    return T.moved(dense(s, d), ["neuron"], "value", 5).select("neuron", "i", "moved")
+
+
+def split_sets(s: SparkSession, d: str) -> DataFrame:
+    """Neurons put into three sets by a seeded hash."""
+    return P.split_rows(table(s, d, "neurons").select("neuron").filter("neuron IS NOT NULL").distinct(), "neuron", {"train": 0.7, "test": 0.2, "check": 0.1}, seed=3)
+
+
 def radius_median(s: SparkSession, d: str) -> DataFrame:
     return M.smooth_positions(cells(s, d), 30.0, 6)
 
@@ -135,9 +160,9 @@ def hann_2d(s: SparkSession, d: str) -> DataFrame:
 
 def cdf_match(s: SparkSession, d: str) -> DataFrame:
     """The encoder's distribution matched to that of the piezo channel."""
-    m = channel_matrix(s, d)
-    src = m.select(F.col("rotary_encoder").alias("value")).filter("abs(value) <= 1024").withColumn("value", F.col("value") + 0.0)
-    return rounded(S.match_distribution(src, m.select(F.col("piezo").alias("value")).filter("abs(value) <= 10"), 0.05), "matched")
+    m = channel_matrix(s, d, whole=False)
+    values = lambda c: m.select((F.col(c) + 0.0).alias("value"))
+    return rounded(S.match_distribution(values("rotary_encoder"), values("piezo")), "matched")
 
 
 def log_lines(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +198,7 @@ def param_sweep(s: SparkSession, d: str) -> DataFrame:
     """Trials of a sweep: readings below each threshold in each plane."""
     g = P.sweep(s, threshold=[500.0, 1000.0, 2000.0], plane=[0, 1, 2, 3, 4])
     t = table(s, d, "trace").filter(usable("v")).groupBy("plane", F.floor("v").alias("v")).agg(F.count("*").alias("k"))
-    return F.broadcast(g).join(t, "plane").groupBy("run", "threshold", "plane").agg(F.sum(F.when(F.col("v") < F.col("threshold"), F.col("k")).otherwise(0)).alias("n"))
+    return maybe_broadcast(g).join(t, "plane").groupBy("run", "threshold", "plane").agg(F.sum(F.when(F.col("v") < F.col("threshold"), F.col("k")).otherwise(0)).alias("n"))
 
 
 def signed_angle(s: SparkSession, d: str) -> DataFrame:
@@ -188,9 +213,9 @@ def relu_sigmoid_predict(s: SparkSession, d: str) -> DataFrame:
     return rounded(p.select("expt", "i", X.sigmoid(x, 1.2, 0.3, 4.0).alias("sigmoid"), X.relu(x, 0.1).alias("relu"), X.gaussian(x, 0.2, 0.7).alias("gaussian"), X.decay(F.abs(x), 1.8).alias("decay")), "sigmoid", "relu", "gaussian", "decay")
 
 
-_N = "SELECT neuron, v AS value, row_number() OVER (PARTITION BY neuron ORDER BY t, row_id) - 1 AS i FROM (SELECT DISTINCT row_id, neuron, t, v FROM trace WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND v BETWEEN 0 AND 65535)"
-_M = "SELECT expt, t, " + ", ".join(f"max(CASE WHEN lower(trim(channel)) = '{n}' THEN v END) AS {n}" for n in ("photodiode", "piezo", "rotary_encoder")) + " FROM timeline WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) GROUP BY expt, t"
-_P = f"SELECT expt, t, row_number() OVER (PARTITION BY expt ORDER BY t) - 1 AS i, photodiode - 1 AS c, piezo AS s, greatest(rotary_encoder, 0) AS w FROM ({_M}) WHERE abs(photodiode) <= 10 AND abs(piezo) <= 10 AND abs(rotary_encoder) <= 1024"
+_N = f"SELECT neuron, v AS value, row_number() OVER (PARTITION BY neuron ORDER BY t, row_id) - 1 AS i FROM ({TRACES_SQL})"
+_M = "SELECT expt, t, " + ", ".join(f"max(CASE WHEN lower(trim(channel)) = '{n}' THEN v END) AS {n}" for n in ("photodiode", "piezo", "rotary_encoder")) + " FROM timeline WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND " + span_sql("v", "lower(trim(timeline.channel))") + " GROUP BY expt, t"
+_P = f"SELECT expt, t, row_number() OVER (PARTITION BY expt ORDER BY t) - 1 AS i, photodiode - 1 AS c, piezo AS s, greatest(rotary_encoder, 0) AS w FROM ({_M}) WHERE photodiode IS NOT NULL AND piezo IS NOT NULL AND rotary_encoder IS NOT NULL"
 _A = f"SELECT *, coalesce(phi - p - 2 * pi() * round((phi - p) / (2 * pi())), phi) AS dphi FROM (SELECT *, lag(phi) OVER (PARTITION BY expt ORDER BY t) AS p FROM (SELECT *, sqrt(c * c + s * s) AS rho, CASE WHEN atan2(s, c) < 0 THEN atan2(s, c) + 2 * pi() ELSE atan2(s, c) END AS phi FROM ({_P})))"
 _ROWS = "sum(value) OVER (PARTITION BY neuron ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)"
 
@@ -205,11 +230,11 @@ _BIN = "CAST(least(floor(({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) O
 _GRID = f"SELECT expt, bc, bs, avg(w) AS mean, count(w) AS n FROM (SELECT expt, {_BIN.format('c')} AS bc, {_BIN.format('s')} AS bs, w AS w FROM ({_P}) WINDOW w AS (PARTITION BY expt)) GROUP BY ALL".replace("w AS w FROM", "w FROM").replace("OVER w", "OVER ww").replace("WINDOW w AS", "WINDOW ww AS")
 _LAG = ", ".join(f"lag(s, {k}) OVER w AS s{k}, lag(c, {k}) OVER w AS c{k}" for k in range(5))
 _LAGS = f"(SELECT *, {_LAG} FROM (SELECT expt, i, c, s, w AS z FROM ({_P})) WINDOW w AS (PARTITION BY expt ORDER BY i))"
-_DIST = "SELECT value, n, sum(n) OVER (ORDER BY value) / sum(n) OVER () AS q FROM (SELECT {c} + 0.0 AS value, count(*) AS n FROM (" + _M + ") WHERE {c} IS NOT NULL AND abs({c}) <= {m} GROUP BY 1)"
+_DIST = "SELECT value, n, sum(n) OVER (ORDER BY value) / sum(n) OVER () AS q FROM (SELECT {c} + 0.0 AS value, count(*) AS n FROM (" + _M + ") WHERE {c} IS NOT NULL GROUP BY 1)"
 _V1 = "(SELECT DISTINCT ON (neuron) neuron, rfs FROM rf WHERE rfs IS NOT NULL)"
 _E1 = f"(SELECT neuron, i - 1 AS i, CASE WHEN rfs[i] IS NULL OR isnan(rfs[i]) THEN 0 ELSE abs(CAST(rfs[i] AS DOUBLE)) END AS r FROM (SELECT neuron, rfs, unnest(range(1, 97)) AS i FROM {_V1}))"
 _CELLS = f"(SELECT n.neuron AS id, py AS y, px AS x, CAST(i // 16 AS INTEGER) AS pref_x, CAST(i % 16 // 8 AS INTEGER) AS pref_y FROM (SELECT DISTINCT neuron, py, px FROM neurons WHERE py IS NOT NULL AND px IS NOT NULL) n JOIN (SELECT neuron, i, row_number() OVER (PARTITION BY neuron ORDER BY r DESC, i) AS k FROM {_E1}) p ON n.neuron = p.neuron AND k = 1)"
-_PREF = f"(WITH c AS {_CELLS}, g AS (SELECT gy, gx FROM (SELECT unnest(range(CAST(floor(max(y) / 100) AS BIGINT) + 1)) AS gy, CAST(floor(max(x) / 100) AS BIGINT) AS m FROM c), LATERAL (SELECT unnest(range(m + 1)) AS gx)) SELECT gy, gx, median(pref_x) AS med_x, median(pref_y) AS med_y FROM g JOIN c ON c.y BETWEEN gy * 100 - 100 AND gy * 100 + 100 AND c.x BETWEEN gx * 100 - 100 AND gx * 100 + 100 AND sqrt((c.y - gy * 100) ** 2 + (c.x - gx * 100) ** 2) <= 100 GROUP BY gy, gx)"
+_PREF = f"(WITH c AS {_CELLS}, g AS (SELECT gy, gx FROM (SELECT unnest(range(CAST(floor(min(y) / 100) AS BIGINT), CAST(floor(max(y) / 100) AS BIGINT) + 1)) AS gy, CAST(floor(min(x) / 100) AS BIGINT) AS l, CAST(floor(max(x) / 100) AS BIGINT) AS m FROM c), LATERAL (SELECT unnest(range(l, m + 1)) AS gx)) SELECT gy, gx, median(pref_x) AS med_x, median(pref_y) AS med_y FROM g JOIN c ON c.y BETWEEN gy * 100 - 100 AND gy * 100 + 100 AND c.x BETWEEN gx * 100 - 100 AND gx * 100 + 100 AND sqrt((c.y - gy * 100) ** 2 + (c.x - gx * 100) ** 2) <= 100 GROUP BY gy, gx)"
 
 
 def _grad(v: str, axis: str) -> str:
@@ -247,6 +272,10 @@ QUERIES = {n: _smooth(k, edge=e) for n, (k, e) in _KERNELS.items()} | {
     "circular_variance": circular_variance,
     "rf_marginals": rf_marginals,
     "parafac_rank1": parafac_rank1,
+    "selected_cells": selected_cells,
+    "neuropil": neuropil,
+    "lead_zero_fill": lead_zero_fill,
+    "split_sets": split_sets,
     "radius_median": radius_median,
     "preference_map": preference_map,
     "sign_map": sign_map,
@@ -262,7 +291,7 @@ QUERIES = {n: _smooth(k, edge=e) for n, (k, e) in _KERNELS.items()} | {
 SQL = {n: _kernel_sql(k, e) for n, (k, e) in _KERNELS.items()} | {
     "rolling_full": f"WITH n AS ({_N}) SELECT neuron, i + o AS i, round(sum(value / 4), 6) AS smooth FROM n, (SELECT unnest(range(4)) AS o) GROUP BY neuron, i + o",
     "hann_2d": f"WITH g AS ({_GRID}), h AS (SELECT o, 0.5 - 0.5 * cos(2 * pi() * (o + 2) / 4) AS w FROM (SELECT unnest(range(-2, 3)) AS o)), k AS (SELECT a.o AS a, b.o AS b, a.w * b.w / (SELECT sum(x.w * y.w) FROM h x, h y) AS w FROM h a, h b) SELECT g.expt, g.bc AS by, g.bs AS bx, round(sum(s.mean * k.w), 6) AS smooth FROM g, k JOIN g s ON s.expt = g.expt AND s.bc = g.bc + k.a AND s.bs = g.bs + k.b WHERE k.w > 0 GROUP BY ALL",
-    "cdf_match": f"""WITH a AS ({_DIST.format(c="rotary_encoder", m=1024)}), b AS ({_DIST.format(c="piezo", m=10)}), l AS (SELECT a.value, a.n, a.q, b.q AS q0, b.value AS v0 FROM a ASOF LEFT JOIN b ON a.q >= b.q)
+    "cdf_match": f"""WITH a AS ({_DIST.format(c="rotary_encoder")}), b AS ({_DIST.format(c="piezo")}), l AS (SELECT a.value, a.n, a.q, b.q AS q0, b.value AS v0 FROM a ASOF LEFT JOIN b ON a.q >= b.q)
         SELECT l.value, l.n, round(CASE WHEN q0 IS NULL THEN b.value WHEN b.q IS NULL OR b.q = q0 THEN v0 ELSE v0 + (b.value - v0) * (l.q - q0) / (b.q - q0) END, 6) AS matched FROM l ASOF LEFT JOIN b ON l.q <= b.q""",
     "polar_features": f"SELECT expt, i, round(rho, 6) AS rho, round(phi, 6) AS phi FROM ({_A})",
     "phase_unwrap_diff": f"SELECT expt, i, round(CASE WHEN abs(dphi) < 3 THEN dphi END, 6) AS dphi FROM ({_A})",
@@ -274,6 +303,11 @@ SQL = {n: _kernel_sql(k, e) for n, (k, e) in _KERNELS.items()} | {
     "sta_lags": " UNION ALL ".join(f"SELECT expt, {k} AS lag, round(sum(z * s{k}) / nullif(sum(z), 0), 6) AS sta FROM {_LAGS} WHERE i >= 5 GROUP BY expt" for k in range(5)),
     "stc_lags": " UNION ALL ".join(f"SELECT expt, {a} AS lag_a, {b} AS lag_b, round(sum(z * s{a} * c{b}) / nullif(sum(z), 0) - sum(z * s{a}) / nullif(sum(z), 0) * sum(z * c{b}) / nullif(sum(z), 0), 5) AS stc FROM {_LAGS} WHERE i >= 3 GROUP BY expt" for a in range(3) for b in range(3)),
     "circular_variance": f"SELECT neuron, round(cos(atan2(im, re)), 5) AS preferred_cos, round(1 - sqrt(re * re + im * im), 6) AS variance FROM (SELECT neuron, sum(r * cos(radians(i % 8 * 45.0))) / nullif(sum(r), 0) AS re, sum(r * sin(radians(i % 8 * 45.0))) / nullif(sum(r), 0) AS im FROM {_E1} GROUP BY neuron)",
+    "selected_cells": f"SELECT n.neuron, expt, plane, py, px, round(p.peak, 6) AS peak FROM (SELECT DISTINCT neuron, expt, plane, py, px FROM neurons WHERE iscell AND plane <> 0) n JOIN (SELECT neuron, max(r) AS peak FROM {_E1} GROUP BY neuron) p ON n.neuron = p.neuron WHERE p.peak > 0.2",
+    "neuropil": f"""WITH w AS (SELECT neuron, coalesce(bool_or(iscell), false) AS iscell FROM neurons WHERE neuron IS NOT NULL GROUP BY neuron), t AS (SELECT DISTINCT row_id, neuron, expt, plane, v, floor(t) AS second, iscell FROM trace JOIN w USING (neuron) WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND {span_sql("v", "'cell_trace'")}),
+        s AS (SELECT expt, plane, second, avg(v) AS surround FROM t GROUP BY ALL) SELECT neuron, row_id, round(v - 0.7 * surround, 5) AS v FROM t JOIN s USING (expt, plane, second) WHERE iscell""",
+    "lead_zero_fill": f"SELECT neuron, i, coalesce(lead(value, 5) OVER (PARTITION BY neuron ORDER BY i), 0) AS moved FROM ({_N})",
+    "split_sets": "SELECT neuron, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.2 THEN 'test' ELSE 'check' END AS part FROM (SELECT neuron, CAST(('0x' || substr(md5('3:' || neuron), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT neuron FROM neurons WHERE neuron IS NOT NULL))",
     "radius_median": f"WITH c AS {_CELLS} SELECT a.id, CAST(trunc(median(b.pref_x)) AS INTEGER) AS smooth_x, CAST(trunc(median(b.pref_y)) AS INTEGER) AS smooth_y FROM c a JOIN c b ON b.y BETWEEN a.y - 30 AND a.y + 30 AND b.x BETWEEN a.x - 30 AND a.x + 30 AND sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= 30 GROUP BY a.id",
     "preference_map": f"SELECT gy, gx, CAST(med_x AS DOUBLE) AS med_x, CAST(med_y AS DOUBLE) AS med_y FROM {_PREF}",
     "sign_map": f"SELECT gy, gx, round(sin(atan2(xx, xy) - atan2(yx, yy)), 6) AS sign FROM (SELECT gy, gx, {_grad('med_x', 'gx')} AS xx, {_grad('med_x', 'gy')} AS xy, {_grad('med_y', 'gx')} AS yx, {_grad('med_y', 'gy')} AS yy FROM {_PREF})",

@@ -11,10 +11,10 @@ from stimlake.operators import models as M
 from stimlake.operators import responses as R
 from stimlake.operators import smoothing as S
 from stimlake.operators import tuning as T
-from stimlake.plans.alignment import channel
+from stimlake.plans.alignment import TRACES_SQL, channel, possible, traces
 from stimlake.plans.curves import _rf, angles, pairs
 from stimlake.plans.responses import SPIKES, prediction, rounded, spikes
-from stimlake.tables import cut, table, usable
+from stimlake.tables import cut
 
 
 def model_fit(s: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def fine_search(s: SparkSession, d: str) -> DataFrame:
 
 
 def kmeans_threshold(s: SparkSession, d: str) -> DataFrame:
-    return M.two_means(channel(s, d, "photodiode").filter("v BETWEEN -10 AND 10"), "expt", "v")
+    return M.two_means(possible(s, d, channel(s, d, "photodiode"), "photodiode"), "expt", "v")
 
 
 BINS, LIMIT = 20, math.pi
@@ -75,8 +75,7 @@ def simple_model(s: SparkSession, d: str) -> DataFrame:
 
 
 def lowess(s: SparkSession, d: str) -> DataFrame:
-    t = table(s, d, "trace").filter(usable("t") & usable("v")).filter("v BETWEEN 0 AND 65535").dropDuplicates(["row_id"])
-    return rounded(S.lowess(t.select("neuron", "t", "v"), "neuron", "t", "v"), "x", "smooth", places=8).withColumn("smooth", F.round("smooth", 3)).drop("weight")
+    return rounded(S.lowess(traces(s, d).select("neuron", "t", "v"), "neuron", "t", "v"), "x", "smooth", places=8).withColumn("smooth", F.round("smooth", 3)).drop("weight")
 
 
 def missed_responses(s: SparkSession, d: str) -> DataFrame:
@@ -88,7 +87,7 @@ def missed_responses(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"tuning_curves": tuning_curves, "simple_model": simple_model, "lowess": lowess, "missed_responses": missed_responses, "model_fit": model_fit, "sigmoid_fit": sigmoid_fit, "gaussian_fit": gaussian_fit, "fine_search": fine_search, "kmeans_threshold": kmeans_threshold}
-_TR = "SELECT DISTINCT row_id, neuron, t, v FROM trace WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND v BETWEEN 0 AND 65535"
+_TR = TRACES_SQL
 SQL = {
     "lowess": f"""WITH r AS ({_TR}), s AS (SELECT neuron, min(t) AS lo, max(t) AS hi FROM r GROUP BY neuron HAVING max(t) > min(t)),
         g AS (SELECT *, lo + (hi - lo) * point / 100 AS x FROM s, (SELECT CAST(unnest(range(101)) AS INTEGER) AS point)),

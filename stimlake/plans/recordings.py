@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stimlake.operators.implausible import Profile, flag_readings
 from stimlake.operators.regrid import regrid
-from stimlake.tables import table
+from stimlake.tables import maybe_broadcast, table
 
 #: What each channel is like; known from the recording hardware, not from a table.
 PROFILES = {
@@ -51,9 +51,9 @@ def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scan slot of every neuron with a trace."""
     periods = table(spark, sf_dir, "recordings").select("expt", F.col("scan_period").alias("width")).dropDuplicates(["expt"])
-    # recordings is a fixed table of at most 60 rows
-    neurons = table(spark, sf_dir, "neurons").filter("n_scans IS NOT NULL").join(F.broadcast(periods), "expt").select(F.col("neuron").alias("src"), "t0", "width", F.col("n_scans").alias("n_slots"))
-    trace = table(spark, sf_dir, "trace").join(F.broadcast(periods), "expt").select(F.col("neuron").alias("src"), "row_id", "t", "v", "width")
+    periods = maybe_broadcast(periods)
+    neurons = table(spark, sf_dir, "neurons").filter("n_scans IS NOT NULL").join(periods, "expt").select(F.col("neuron").alias("src"), "t0", "width", F.col("n_scans").alias("n_slots"))
+    trace = table(spark, sf_dir, "trace").join(periods, "expt").select(F.col("neuron").alias("src"), "row_id", "t", "v", "width")
     return regrid(trace, neurons)
 
 

@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stimlake.operators import responses as R
-from stimlake.tables import table, usable
+from stimlake.plans.alignment import span_sql, traces
+from stimlake.tables import maybe_broadcast, table
 
 N_TRIALS = 4
 
 
 def spikes(s: SparkSession, d: str) -> DataFrame:
     period = table(s, d, "recordings").select("expt", "scan_period").dropDuplicates(["expt"])
-    n = table(s, d, "neurons").filter("n_scans IS NOT NULL AND t0 IS NOT NULL").dropDuplicates(["neuron"]).join(F.broadcast(period), "expt").select("neuron", "t0", "scan_period")
-    t = table(s, d, "trace").filter(usable("t") & usable("v")).filter("v BETWEEN 0 AND 65535").dropDuplicates(["row_id"]).join(n, "neuron")
+    n = table(s, d, "neurons").filter("n_scans IS NOT NULL AND t0 IS NOT NULL").dropDuplicates(["neuron"]).join(maybe_broadcast(period), "expt").select("neuron", "t0", "scan_period")
+    t = traces(s, d).select("neuron", "t", "v").join(n, "neuron")
     k = F.floor((F.col("t") - F.col("t0")) / F.col("scan_period"))
     t = t.withColumn("k", k).filter("k >= 0")
     return t.groupBy("neuron", F.pmod("k", F.lit(N_TRIALS)).cast("int").alias("trial"), F.floor(F.col("k") / N_TRIALS).alias("frame")).agg(F.avg("v").alias("value"))
@@ -49,10 +50,10 @@ def q_per_neuron(f, *cols: str):
     return lambda s, d: rounded(f(spikes(s, d)), *cols)
 
 
-SPIKES = """SELECT neuron, CAST(k % 4 AS INTEGER) AS trial, CAST(k // 4 AS BIGINT) AS frame, avg(v) AS value FROM (
+SPIKES = f"""SELECT neuron, CAST(k % 4 AS INTEGER) AS trial, CAST(k // 4 AS BIGINT) AS frame, avg(v) AS value FROM (
   SELECT DISTINCT t.row_id, t.neuron, t.v, CAST(floor((t.t - n.t0) / c.scan_period) AS BIGINT) AS k
   FROM trace t JOIN (SELECT DISTINCT neuron, expt, t0 FROM neurons WHERE n_scans IS NOT NULL AND t0 IS NOT NULL) n ON t.neuron = n.neuron JOIN (SELECT DISTINCT expt, scan_period FROM recordings) c ON n.expt = c.expt
-  WHERE t.t IS NOT NULL AND NOT isnan(t.t) AND t.v IS NOT NULL AND NOT isnan(t.v) AND t.v BETWEEN 0 AND 65535) WHERE k >= 0 GROUP BY ALL"""
+  WHERE t.t IS NOT NULL AND NOT isnan(t.t) AND t.v IS NOT NULL AND NOT isnan(t.v) AND {span_sql('t.v', chr(39) + 'cell_trace' + chr(39))}) WHERE k >= 0 GROUP BY ALL"""
 _S = f"WITH s AS ({SPIKES}) "
 _R = "covar_pop({0}, {1}) / ((stddev_pop({0}) + 1e-9) * (stddev_pop({1}) + 1e-9))"
 
