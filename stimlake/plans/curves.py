@@ -124,7 +124,7 @@ def neuropil(s: SparkSession, d: str) -> DataFrame:
     t = possible(s, d, table(s, d, "trace").filter(usable("t") & usable("v")), "cell_trace").dropDuplicates(["row_id"]).withColumn("second", F.floor("t")).join(who, "neuron")
     surround = t.groupBy("expt", "plane", "second").agg(F.avg("v").alias("surround"))
     got = t.filter("iscell").join(surround, ["expt", "plane", "second"])
-    return got.select("neuron", "row_id", F.round(X.neuropil_corrected(F.col("v"), F.col("surround")), 5).alias("v"))
+    return got.select("neuron", "row_id", F.round(X.neuropil_corrected(F.col("v"), F.col("surround")) + 1e-9, 5).alias("v"))
 
 
 def lead_zero_fill(s: SparkSession, d: str) -> DataFrame:
@@ -305,7 +305,7 @@ SQL = {n: _kernel_sql(k, e) for n, (k, e) in _KERNELS.items()} | {
     "circular_variance": f"SELECT neuron, round(cos(atan2(im, re)), 5) AS preferred_cos, round(1 - sqrt(re * re + im * im), 6) AS variance FROM (SELECT neuron, sum(r * cos(radians(i % 8 * 45.0))) / nullif(sum(r), 0) AS re, sum(r * sin(radians(i % 8 * 45.0))) / nullif(sum(r), 0) AS im FROM {_E1} GROUP BY neuron)",
     "selected_cells": f"SELECT n.neuron, expt, plane, py, px, round(p.peak, 6) AS peak FROM (SELECT DISTINCT neuron, expt, plane, py, px FROM neurons WHERE iscell AND plane <> 0) n JOIN (SELECT neuron, max(r) AS peak FROM {_E1} GROUP BY neuron) p ON n.neuron = p.neuron WHERE p.peak > 0.2",
     "neuropil": f"""WITH w AS (SELECT neuron, coalesce(bool_or(iscell), false) AS iscell FROM neurons WHERE neuron IS NOT NULL GROUP BY neuron), t AS (SELECT DISTINCT row_id, neuron, expt, plane, v, floor(t) AS second, iscell FROM trace JOIN w USING (neuron) WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND {span_sql("v", "'cell_trace'")}),
-        s AS (SELECT expt, plane, second, avg(v) AS surround FROM t GROUP BY ALL) SELECT neuron, row_id, round(v - 0.7 * surround, 5) AS v FROM t JOIN s USING (expt, plane, second) WHERE iscell""",
+        s AS (SELECT expt, plane, second, avg(v) AS surround FROM t GROUP BY ALL) SELECT neuron, row_id, round(v - 0.7 * surround + 1e-9, 5) AS v FROM t JOIN s USING (expt, plane, second) WHERE iscell""",
     "lead_zero_fill": f"SELECT neuron, i, coalesce(lead(value, 5) OVER (PARTITION BY neuron ORDER BY i), 0) AS moved FROM ({_N})",
     "split_sets": "SELECT neuron, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.7 + 0.2 THEN 'test' ELSE 'check' END AS part FROM (SELECT neuron, CAST(('0x' || substr(md5('3:' || neuron), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT neuron FROM neurons WHERE neuron IS NOT NULL))",
     "radius_median": f"WITH c AS {_CELLS} SELECT a.id, CAST(trunc(median(b.pref_x)) AS INTEGER) AS smooth_x, CAST(trunc(median(b.pref_y)) AS INTEGER) AS smooth_y FROM c a JOIN c b ON b.y BETWEEN a.y - 30 AND a.y + 30 AND b.x BETWEEN a.x - 30 AND a.x + 30 AND sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) <= 30 GROUP BY a.id",
