@@ -6,16 +6,18 @@ apart. A square is split by direction only as far as it is too full to be compar
 about ``ROOM`` points for a task, inside a task into leaves of at most ``LEAF`` points. So the number of splits
 follows from the counted occupancy of each square, and where there are splits there are as many different ones
 (``tables``) as keep the chance that a smallest cluster is cut apart in all of them under ``MISS``. In a leaf
-the density around each point is counted exactly; the means of concordant neighbourhoods are dense places.
-Adjacent dense places (near in place and direction) are joined, each to the densest of its neighbourhood, and
-minimum labels are propagated along these joins to convergence. The labels give the clusters' prototypes; every
-point, also of a sparse place, then joins the most similar prototype in reach, and the clusters' own means
-decide on their members. Clusters are reported by size and by the members of their densest part, those nearest
-to the mean direction.
+the density around each point is counted exactly; concordant neighbourhoods are the dense cells. All adjacent dense
+cells (near in place and direction) are joined, and minimum labels are propagated along the joins to convergence. A
+part that is wider than a cluster may be, because cells between two clusters tie them together, is parted again: each
+of its cells goes with the densest one in its reach. The sums of a label's cells are its cluster, whose members are
+then checked exactly: a point belongs to the most similar cluster it fits, by cosine and by distance from the
+centre, and the clusters' means follow their members. Clusters are reported by size and by the members nearest to
+their densest cell.
 
 How it is spread: points go to their squares and groups once for each grid and table; all that follows from
-them is computed there. Groups that points join prototypes in are salted by their counted size, so a crowded
-place is many tasks. Vectors travel as one byte an element (cosines are exact to about 0.003).
+them is computed there. Groups that points or cells meet their surroundings in are salted by their counted size, so a
+crowded place is many tasks. Joins of cells leave such a group as a forest, never as pairs. Vectors travel as one byte
+an element (cosines are exact to about ``ROUGH``); points that near the bound are decided on their own vectors.
 """
 
 from __future__ import annotations
@@ -36,6 +38,10 @@ GROUP_ROWS = 40_000
 ROOM, LEAF = 32_768, 1024
 #: Accepted chance that no table keeps two members of a smallest cluster together.
 MISS = 0.005
+#: Cells of a square that one task compares with their surroundings at a time.
+GROUP_CELLS = 4096
+#: Greatest error of a cosine of packed vectors.
+ROUGH = 0.006
 
 
 def pack(u: np.ndarray) -> list[bytes]:
@@ -178,6 +184,33 @@ def dense_places(u: np.ndarray, y: np.ndarray, x: np.ndarray, radius: float, lea
     return n[k], at[k] + origin, m[k], length[k]
 
 
+def _tied(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots of the parts of a graph after edges between a and b have been added."""
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], low)
+        np.minimum.at(new, root[b], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[root]
+        if np.array_equal(new, root):
+            return root
+        root = new
+
+
+def _label_means(seeds: DataFrame, labels: DataFrame, dim: int, n: int) -> DataFrame:
+    """Means of the cells of each label, each cell with its weight."""
+
+    def sums(batches):
+        for pdf in batches:
+            w = pdf["n"].to_numpy(float)
+            yield pd.DataFrame({"label": pdf["label"], "n": pdf["n"], "y": pdf["cy"] * w, "x": pdf["cx"] * w, "least": pdf["label"], "s": list(_vectors(pdf["m"], dim) * (w * pdf["length"].to_numpy())[:, None].astype(np.float32))})
+
+    summed = seeds.join(labels, seeds.cell == labels.node).select("label", "n", "cy", "cx", "length", "m").mapInPandas(sums, SUMS.format(key="label"))
+    return _means(summed, "label", dim, max(n // 50, 1))
+
+
 def propagate(edges: DataFrame) -> DataFrame:
     """Minimum labels of the connected parts of an undirected graph.
 
@@ -205,7 +238,8 @@ def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius:
     ``least_cosine`` to its mean direction.
 
     Result, one row for each member: ``id, cluster`` (the smallest id in it), ``size, cosine`` (to the mean
-    direction), ``distance`` (from the centre). Points in no cluster have no row.
+    direction), ``distance`` (from the centre), ``to_top`` (cosine to the densest cell). Points in no cluster have no
+    row.
 
     Points whose id, y or x is null or NaN, or whose vec is null, of another length or all zero, belong to none;
     NaN elements count as 0. Of repeated ids one row counts. Empty tables give an empty result.
@@ -218,10 +252,10 @@ def located_clusters(places: DataFrame, vectors: DataFrame, *, dim: int, radius:
             yield pd.DataFrame({"id": pdf["id"], "b": pack(unit_rows(pdf["vec"], dim))})
 
     packed = v.mapInPandas(to_bytes, "id long, b binary").dropDuplicates(["id"])
-    return _cluster_packed(at.join(packed, "id"), dim, radius, least_cosine, least_size, seed)
+    return _cluster_packed(at.join(packed, "id"), v, dim, radius, least_cosine, least_size, seed)
 
 
-def _cluster_packed(packed: DataFrame, dim: int, radius: float, least_cosine: float, least_size: int, seed: int) -> DataFrame:
+def _cluster_packed(packed: DataFrame, vectors: DataFrame, dim: int, radius: float, least_cosine: float, least_size: int, seed: int) -> DataFrame:
     wide = 4 * radius
     base = cut(packed, "points")
     n = base.count()
@@ -266,94 +300,126 @@ def _cluster_packed(packed: DataFrame, dim: int, radius: float, least_cosine: fl
 
     def around(df: DataFrame, cy: Column, cx: Column, w: float) -> DataFrame:
         """Each row in its own square of width w and the eight around it."""
-        near = F.explode(F.array([F.struct((F.floor(cy / w) + a).alias("gy"), (F.floor(cx / w) + b).alias("gx"), F.lit(a == b == 0).alias("own")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-        return df.select("*", near.alias("sq")).select(*df.columns, "sq.gy", "sq.gx", "sq.own")
-
-    def join_cells(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = _vectors(pdf["m"], dim)
-        cy, cx, size, cell = (pdf[c].to_numpy() for c in ("cy", "cx", "n", "cell"))
-        rank = np.lexsort((cell, -size))  # densest first
-        own = np.flatnonzero(pdf["own"].to_numpy())
-        a, b = [], []
-        for i in range(0, len(own), 512):
-            o = own[i : i + 512]
-            ok = (m[o] @ m[rank].T >= least_cosine) & (np.hypot(cy[o, None] - cy[rank], cx[o, None] - cx[rank]) <= radius)
-            first = ok.argmax(1)
-            a.append(cell[o])
-            b.append(np.where(ok.any(1), cell[rank][first], cell[o]))
-        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []})
-
-    edges = around(seeds.select("cell", "n", "cy", "cx", "m"), F.col("cy"), F.col("cx"), radius).groupBy("gy", "gx").applyInPandas(join_cells, "a long, b long")
-    labels = propagate(edges)
-
-    def label_sums(batches):
-        for pdf in batches:
-            w = pdf["n"].to_numpy(float)
-            yield pd.DataFrame({"label": pdf["label"], "n": pdf["n"], "y": pdf["cy"] * w, "x": pdf["cx"] * w, "least": pdf["label"], "s": list(_vectors(pdf["m"], dim) * (w * pdf["length"].to_numpy())[:, None].astype(np.float32))})
-
-    summed = seeds.join(labels, seeds.cell == labels.node).select("label", "n", "cy", "cx", "length", "m").mapInPandas(label_sums, "label long, n long, y double, x double, least long, s array<float>")
-    prototypes = cut(_means(summed, "label", dim, max(n // 50, 1)).select("label", "cy", "cx", "m"), "prototypes")
+        near = F.explode(F.array([F.struct((F.floor(cy / w) + a).alias("gy"), (F.floor(cx / w) + b).alias("gx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
+        return df.select("*", near.alias("sq")).select(*df.columns, "sq.gy", "sq.gx")
 
-    loose, keys = 2 * least_cosine - 1, ["gy", "gx", "salt"]
-
-    def assign(points: DataFrame, means: DataFrame, strict: bool) -> DataFrame:
-        """Each point with the most similar of the clusters it can belong to by cosine and distance, and whether it can;
-        unless ``strict``, one that can belong to none goes with the most similar in a wider reach."""
-        reach = radius if strict else 1.5 * radius
-        # points meet the means around them; crowded squares are salted
-        squared = points.select("id", "y", "x", "b", place("y", reach).alias("gy"), place("x", reach).alias("gx"))
-        crowded = squared.groupBy("gy", "gx").count().filter(F.col("count") > GROUP_ROWS).select("gy", "gx", F.ceil(F.col("count") / GROUP_ROWS).cast("int").alias("salts"))
+    def salted(own: DataFrame, near: DataFrame, room: int) -> tuple[DataFrame, DataFrame]:
+        """Rows of a square by a salt that keeps about ``room`` together, and those around it with every salt."""
+        crowded = own.groupBy("gy", "gx").count().filter(F.col("count") > room).select("gy", "gx", F.ceil(F.col("count") / room).cast("int").alias("salts"))
         crowded = maybe_broadcast(cut(crowded, "crowded"))
         salts = F.coalesce(F.col("salts"), F.lit(1))
-        salted = squared.join(crowded, ["gy", "gx"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), salts).cast("int")).drop("salts")
-        about = around(means.select("label", "cy", "cx", "m"), F.col("cy"), F.col("cx"), reach).drop("own").join(crowded, ["gy", "gx"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
-
-        def run(pts: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
+        key = "id" if "id" in own.columns else "cell"
+        own = own.join(crowded, ["gy", "gx"], "left").withColumn("salt", F.pmod(F.xxhash64(key), salts).cast("int")).drop("salts")
+        near = near.join(crowded, ["gy", "gx"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        return own, near.toDF(*near.columns)  # columns of its own: both sides may come from one table
+
+    keys = ["gy", "gx", "salt"]
+    cells = seeds.select("cell", "n", "cy", "cx", "m")
+    own, near = salted(cells.withColumns({"gy": place("cy", radius), "gx": place("cx", radius)}), around(cells, F.col("cy"), F.col("cx"), radius), GROUP_CELLS)
+
+    def join_cells(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        """Each cell with the least cell it is tied to here by any adjacent cells, and with the densest one in reach."""
+        if not len(mine) or not len(near):
+            return pd.DataFrame({c: [] for c in ("a", "b", "densest")})
+        near = near.sort_values(["n", "cell"], ascending=[False, True], kind="stable")
+        m, o = _vectors(near["m"], dim), _vectors(mine["m"], dim)
+        cell, own_cell = near["cell"].to_numpy(), mine["cell"].to_numpy()
+        yx, own_yx = near[["cy", "cx"]].to_numpy(), mine[["cy", "cx"]].to_numpy()
+        at = pd.Index(cell).get_indexer(own_cell)
+        root = np.arange(len(cell))
+        densest = np.empty(len(mine), np.int64)
+        for i in range(0, len(mine), 512):
+            ok = (o[i : i + 512] @ m.T >= least_cosine) & (((own_yx[i : i + 512, None] - yx) ** 2).sum(2) <= radius**2)
+            ok[np.arange(len(ok)), at[i : i + 512]] = True
+            densest[i : i + 512] = cell[ok.argmax(1)]
+            row, col = np.nonzero(ok)
+            root = _tied(root, at[i : i + 512][row], col)
+        least = pd.Series(cell).groupby(root).transform("min").to_numpy()
+        # one edge for each cell that is tied to another: a forest, whatever the number of adjacent pairs
+        tied = np.flatnonzero(least != cell)
+        return pd.concat([pd.DataFrame({"a": own_cell, "b": own_cell, "densest": densest}), pd.DataFrame({"a": cell[tied], "b": least[tied]})], ignore_index=True).astype({"densest": "Int64"})
+
+    group = bucket(parts(n, 20_000, 8), *keys).alias("bucket")
+
+    def by_square(f):
+        """f on the two sides of each square and salt of a bucket."""
+
+        def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            there = dict(iter(b.groupby(keys)))
+            got = [f(mine, there[k]) for k, mine in a.groupby(keys) if k in there]
+            return pd.concat(got, ignore_index=True) if got else f(a[:0], b[:0])
+
+        return run
+
+    joined = cut(own.groupBy(group).cogroup(near.groupBy(group)).applyInPandas(by_square(join_cells), "a long, b long, densest long"), "joins")
+    labels = propagate(joined.select("a", "b"))
+    # parts too wide to be one cluster: every cell goes with the densest in its reach
+    wide_label = cells.join(labels, cells.cell == labels.node).join(_label_means(seeds, labels, dim, n).select("label", F.col("cy").alias("ly"), F.col("cx").alias("lx"), F.col("m").alias("lm")), "label")
+    off = (F.hypot(F.col("cy") - F.col("ly"), F.col("cx") - F.col("lx")) > radius) | (F.aggregate(F.zip_with("m", "lm", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda t, x: t + x) < least_cosine)
+    too_wide = cut(wide_label.filter(off).select("label").distinct(), "wide")
+    if too_wide.limit(1).count():
+        parted = labels.join(too_wide, "label").join(joined.filter("densest IS NOT NULL"), F.col("node") == F.col("a")).select("a", F.col("densest").alias("b"))
+        labels = labels.join(too_wide, "label", "left_anti").select("node", "label").unionByName(propagate(parted))
+
+    labels = cut(labels, "labels")
+    prototypes = cut(_label_means(seeds, labels, dim, n).select("label", "cy", "cx", "m"), "prototypes")
+    top = Window.partitionBy("label").orderBy(F.col("n").desc(), "cell")
+    tops = seeds.join(labels, seeds.cell == labels.node).withColumn("k", F.row_number().over(top)).filter("k = 1").select("label", F.col("m").alias("top"))
+
+    def assign(means: DataFrame, strict: bool = True) -> DataFrame:
+        """Each point with the most similar of the clusters it fits by cosine and distance; unless ``strict``, one that
+        fits none goes with the most similar in a wider reach."""
+        reach, least = (radius, least_cosine - ROUGH) if strict else (1.5 * radius, 2 * least_cosine - 1)
+        mine = base.select("id", "y", "x", "b", place("y", reach).alias("gy"), place("x", reach).alias("gx"))
+        mine, about = salted(mine, around(means.select("label", "cy", "cx", "m", "top"), F.col("cy"), F.col("cx"), reach), GROUP_ROWS)
+
+        def fit(pts: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
             if not len(pts) or not len(protos):
-                return pd.DataFrame({c: [] for c in ("id", "label", "y", "x", "b", "cosine", "distance")})
+                return pd.DataFrame({c: [] for c in ("id", "label", "y", "x", "b", "cosine", "distance", "to_top")})
             protos = protos.sort_values("label")
-            u, m = unpack(pts["b"], dim), _vectors(protos["m"], dim)
-            y, x, cy, cx, label = pts["y"].to_numpy(), pts["x"].to_numpy(), protos["cy"].to_numpy(), protos["cx"].to_numpy(), protos["label"].to_numpy()
-            best, cos, far = np.zeros(len(u), np.int64), np.full(len(u), -4.0), np.zeros(len(u))
-            there = protos.groupby(keys).indices
-            for square, rows in pts.groupby(keys).indices.items():
-                if square not in there:
-                    continue
-                k = there[square]
-                for r in np.split(rows, range(4096, len(rows), 4096)):
-                    c, d = u[r] @ m[k].T, np.hypot(y[r, None] - cy[k], x[r, None] - cx[k])
-                    # those that fit come before all others
-                    rank = np.where((c >= least_cosine) & (d <= radius), c + 2, -4 if strict else np.where((c >= loose) & (d <= reach), c, -4))
-                    j = rank.argmax(1)[:, None]
-                    best[r], far[r] = label[k[j[:, 0]]], np.take_along_axis(d, j, 1)[:, 0]
-                    cos[r] = np.where(np.take_along_axis(rank, j, 1) > -4, np.take_along_axis(c, j, 1), -4)[:, 0]
-            ok = cos > -4
-            return pd.DataFrame({"id": pts["id"].to_numpy()[ok], "label": best[ok], "y": y[ok], "x": x[ok], "b": pts["b"].to_numpy()[ok], "cosine": cos[ok], "distance": far[ok]})
-
-        group = bucket(parts(n, 10_000, 8), *keys).alias("bucket")
-        return salted.groupBy(group).cogroup(about.groupBy(group)).applyInPandas(run, "id long, label long, y double, x double, b binary, cosine double, distance double")
+            u, m, top = unpack(pts["b"], dim), _vectors(protos["m"], dim), _vectors(protos["top"], dim)
+            y, x, cy, cx = pts["y"].to_numpy(), pts["x"].to_numpy(), protos["cy"].to_numpy(), protos["cx"].to_numpy()
+            best, cos, far, ok = np.zeros(len(u), np.int64), np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u), bool)
+            for r in np.split(np.arange(len(u)), range(4096, len(u), 4096)):
+                c, d = u[r] @ m.T, np.hypot(y[r, None] - cy, x[r, None] - cx)
+                # those that fit come before all others
+                rank = np.where((c >= least_cosine - ROUGH) & (d <= radius), c + 2, np.where((c >= least) & (d <= reach), c, -4))
+                best[r] = rank.argmax(1)
+                rank, cos[r], far[r] = (np.take_along_axis(z, best[r][:, None], 1)[:, 0] for z in (rank, c, d))
+                ok[r] = rank > -4
+            return pd.DataFrame({"id": pts["id"].to_numpy()[ok], "label": protos["label"].to_numpy()[best[ok]], "y": y[ok], "x": x[ok], "b": pts["b"].to_numpy()[ok], "cosine": cos[ok], "distance": far[ok], "to_top": (u[ok] * top[best[ok]]).sum(1)})
+
+        return mine.groupBy(group).cogroup(about.groupBy(group)).applyInPandas(by_square(fit), "id long, label long, y double, x double, b binary, cosine double, distance double, to_top double")
 
     def refit(rows: DataFrame, least: int) -> DataFrame:
-        return cut(_means(_partial_sums(rows, "label", dim), "label", dim, max(n // 50, 1)).filter(F.col("n") >= least), "means")
-
-    # all points near some prototype are offered to every mean around them after each refit; a cluster goes only
-    # when it is too small with all that could be its members
-    joined = cut(assign(base, prototypes, False), "joined")
-    first = refit(joined, least_size // 2)
-    second = refit(assign(joined, first, True), least_size)
-    final = cut(assign(joined, second, True).select("id", "label", "cosine", "distance"), "members")
-    named = final.groupBy("label").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).filter(F.col("size") >= least_size)
-    return final.join(named, "label").select("id", "cluster", "size", "cosine", "distance")
+        means = _means(_partial_sums(rows, "label", dim), "label", dim, max(n // 50, 1)).filter(F.col("n") >= least)
+        return cut(means.join(tops, "label"), "means")
+
+    # all points are offered to every mean around them after each refit; a cluster goes only when it is too small
+    # with all that could be its members
+    first = refit(assign(prototypes.join(tops, "label"), strict=False), least_size // 2)
+    second = refit(assign(first), least_size)
+    final = cut(assign(second).select("id", "label", "cosine", "distance", "to_top"), "members")
+    # near the bound the vectors themselves decide
+    unsure = cut(final.filter(F.abs(F.col("cosine") - least_cosine) <= ROUGH), "unsure")
+    exact = vectors.join(maybe_broadcast(unsure), "id").dropDuplicates(["id"]).join(second.select("label", "m"), "label")
+    clean = F.transform("vec", lambda e: F.coalesce(F.nanvl(e.cast("double"), F.lit(0.0)), F.lit(0.0)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    exact = exact.withColumn("vec", clean).withColumn("cosine", dot("vec", "m") / F.sqrt(dot("vec", "vec"))).select(*final.columns)
+    sure = final.filter(F.col("cosine") > least_cosine + ROUGH).unionByName(exact.filter(F.col("cosine") >= least_cosine))
+    sure = cut(sure, "sure")
+    named = sure.groupBy("label").agg(F.min("id").alias("cluster"), F.count("*").alias("size")).filter(F.col("size") >= least_size)
+    return sure.join(named, "label").select("id", "cluster", "size", "cosine", "distance", "to_top")
 
 
 def describe(members: DataFrame, typical: int = 3) -> DataFrame:
-    """Each cluster by its size and its most typical members, those nearest to the mean direction.
+    """Each cluster by its size and its most typical members, those nearest to its densest cell.
 
-    members: the result of density_clusters. Result: ``cluster, size, mean_cosine, typical`` (ids, most typical
-    first, equal cosines by id).
+    members: the result of located_clusters. Result: ``cluster, size, mean_cosine, typical`` (ids, most typical
+    first, equal ones by id).
     """
-    place = F.row_number().over(Window.partitionBy("cluster", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.col("cosine").desc(), "id"))
+    place = F.row_number().over(Window.partitionBy("cluster", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy(F.col("to_top").desc(), "id"))
     # of each of 64 parts of a cluster only the best can be among the best of the whole
-    best = members.withColumn("place", place).filter(F.col("place") <= typical).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("cosine")).alias("c"), "id"))).alias("best"))
+    best = members.withColumn("place", place).filter(F.col("place") <= typical).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct((-F.col("to_top")).alias("c"), "id"))).alias("best"))
     size = members.groupBy("cluster").agg(F.first("size").alias("size"), F.avg("cosine").alias("mean_cosine"))
     return size.join(best, "cluster").select("cluster", "size", "mean_cosine", F.transform(F.slice("best", 1, typical), lambda b: b["id"]).alias("typical"))

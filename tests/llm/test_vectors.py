@@ -98,7 +98,7 @@ def test_clusters_with_dirt(spark):
     assert {r.id: r.cluster for r in got.collect()} == want
     said = {r.cluster: r for r in describe(got).collect()}
     assert {k: r.size for k, r in said.items()} == {1000: 12, 2000: 9, 3000: 40, 4000: 8}
-    best = sorted((-r.cosine, r.id) for r in got.collect() if r.cluster == 3000)[:3]
+    best = sorted((-r.to_top, r.id) for r in got.collect() if r.cluster == 3000)[:3]
     assert said[3000].typical == [i for _, i in best]
 
 
