@@ -1,12 +1,14 @@
 """Personal details in free text: found, and replaced by typed placeholders that keep equal values linked.
 
 Email addresses, telephone numbers, numbers of personal documents, street addresses and names of persons are
-found by patterns with checks: labels say which numbers are personal and which are of things, digit counts
-say which can be telephone numbers, and names are told by the known name tokens and by the parts these are
-made of. A placeholder holds the kind and a pseudonym. Digits are permuted by a keyed Feistel network within
-the format of the number, so the pseudonym has its length, separators and letters; dates of birth are
-permuted within the calendar; other values get a keyed hash. So one value has one pseudonym in all documents,
-and a holder of the key can undo those of numbers and dates.
+found by patterns with checks: labels say which numbers are personal and which are of things; a telephone number must
+fit a numbering plan (at most 15 digits with the country code, or the North American form), a personal number must
+have the digits of one and not be all zeros (ranges that nobody was given count: they are what examples are made of); names are told by the known name tokens and by the parts these are
+made of. A placeholder holds the kind and a pseudonym. Numbers are permuted by a keyed Feistel network within their
+format: digits stay digits, letters stay letters of their case, separators, country code and trunk prefix stay as
+they are. Dates of birth are permuted within the calendar; other values get a keyed hash. So one value has one
+pseudonym in all documents, also where a telephone number is once written with its country code and once without, and
+a holder of the key can undo those of numbers and dates.
 
 How it is spread: map-only, each document by itself and whole; the name tokens (a bounded table) go to every
 task.
@@ -16,7 +18,9 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import math
 import re
+from bisect import bisect
 from collections import Counter
 
 import pandas as pd
@@ -30,7 +34,6 @@ AT = re.compile(r"@|%40|&#64;|&#x40;|&commat;|\\u0040|\s?[\[({]\s?(?:at|AT|@)\s?
 LOCAL = re.compile(r"[\w.+-]*\w$")
 DOT = r"(?:\.|%2[eE]|\s?[\[({]\s?(?:dot|DOT|\.)\s?[\])}]\s?|\s(?:dot|DOT)\s)"
 DOMAIN = re.compile(rf"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?{DOT})+[A-Za-z]{{2,24}}(?![A-Za-z0-9-])")
-WIDEST_LOCAL = 80
 
 PHONE = re.compile(
     r"(?<![\w.+-])(?:"
@@ -41,7 +44,12 @@ PHONE = re.compile(
     r"|00[1-9]\d{8,12}"
     r")(?:,?\s?(?:x|ext\.?|extension)\s?\d{1,6})?(?![\w-]|\.\d)"
 )
-OF_A_THING = re.compile(r"(?:part|ticket|build|order|serial|item|invoice|case|batch|model|sku|isbn|issue|version|revision|release|offset|job|lot|catalogue)s?[\s_.:#=-]*(?:no|nr|number|id)?[\s.:#=-]*$", re.I)
+# a label of a thing stands at most so many separators before its number
+OF_A_THING = re.compile(r"(?:part|ticket|build|order|serial|item|invoice|case|batch|model|sku|isbn|issue|version|revision|release|offset|job|lot|catalogue)s?[\s_.:#=-]{0,24}(?:no|nr|number|id)?[\s.:#=-]{0,24}$", re.I)
+LONGEST_LABEL = 10 + 24 + 6 + 24
+# fixed values: country codes of one and of two digits (all others have three)
+ONE_DIGIT_CODES = "1 7".split()
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 
 # one of these begins every label that ID_LABEL accepts
 ID_CUES = re.compile(r"ssn|soc|national|nino|ni[\s_]+number|personal|identity|id[\s_]card|passport|travel[\s_]doc|tax|tin(?![a-z])")
@@ -141,7 +149,9 @@ def ats(text: str):
 
 def emails(text: str):
     for m in ats(text):
-        a = LOCAL.search(text[max(0, m.start() - WIDEST_LOCAL) : m.start()])
+        reach = 80
+        while (a := LOCAL.search(text[max(0, m.start() - reach) : m.start()])) and len(a[0]) == reach:
+            reach *= 2  # the local part may go on before
         b = DOMAIN.match(text, m.end())
         if not a or not b:
             continue
@@ -150,10 +160,47 @@ def emails(text: str):
         yield m.start() - len(a[0]), b.end()
 
 
+def country_code(digits: str) -> str:
+    """The country code that an international number begins with."""
+    n = 1 if digits[:1] in ONE_DIGIT_CODES else 2 if digits[:2] in TWO_DIGIT_CODES else 3
+    return digits[:n]
+
+
+def dialled(text: str) -> tuple[str, str, str]:
+    """A telephone number's digits in three parts: before the national number (00, country code, trunk 0), the
+    national number, and the extension."""
+    number = re.split(r"[xe]", text, maxsplit=1, flags=re.I)[0]
+    digits, extension = ("".join(c for c in x if c.isdecimal()) for x in (number, text[len(number) :]))
+    if number.startswith("+") or digits.startswith("00"):
+        head = "" if number.startswith("+") else "00"
+        head += country_code(digits[len(head) :])
+        if "(0)" in number.replace(" ", "") and digits[len(head) :].startswith("0"):
+            head += "0"  # a trunk prefix shown for callers from inside
+    else:
+        head = "0" if digits.startswith("0") else ""
+    return head, digits[len(head) :], extension
+
+
+def is_dialled(text: str) -> bool:
+    """Whether a number fits a numbering plan: 9 to 15 digits; North American numbers have ten digits after the code,
+    and none of their two leading groups begins with 0."""
+    head, national, _ = dialled(text)
+    if not 9 <= len(head) + len(national) <= 15 + 2 * head.startswith("00") or len(national) < 4 or not national.strip("0"):
+        return False
+    if text.startswith("+") or head.startswith("00"):
+        return head.removeprefix("00") != "1" or (len(national) == 10 and "0" not in (national[0], national[3]))
+    return True if head else "0" not in (national[0], national[3])
+
+
+def is_personal_number(text: str) -> bool:
+    """Whether a labelled number can be a person's: 6 to 13 digits that are not all zeros."""
+    digits = [c for c in text if c.isdecimal()]
+    return 6 <= len(digits) <= 13 and set(digits) != {"0"}
+
+
 def phones(text: str):
     for m in (m for span in lines_with(text, PHONE_CUES) for m in PHONE.finditer(text, *span)):
-        number = re.split(r"[xe]", m[0], maxsplit=1)[0]
-        if 9 <= sum(c.isdigit() for c in number) <= 15 and not OF_A_THING.search(text, max(0, m.start() - 32), m.start()):
+        if is_dialled(m[0]) and not OF_A_THING.search(text, max(0, m.start() - LONGEST_LABEL), m.start()):
             yield m.start(), m.end()
 
 
@@ -166,43 +213,82 @@ def find(text: str, names: Names) -> list[tuple[int, int, str]]:
     got: list[tuple[int, int, str]] = []
     low = text.lower() if text.isascii() else text.translate(FOLDED).lower()
     if ID_CUES.search(low):
-        got += [(*m.span(1), "id_number") for m in ID_NUMBER.finditer(text) if sum(c.isdigit() for c in m[1]) <= 13]
+        got += [(*m.span(1), "id_number") for m in ID_NUMBER.finditer(text) if is_personal_number(m[1])]
     got += [(a, b, "email") for a, b in emails(text)]
     got += [(a, b, "phone") for a, b in phones(text)]
     got += [(*m.span(), "street") for span in lines_with(text, STREET_CUES) for m in STREET.finditer(text, *span)]
     got += [(a, b, "person") for a, b in names.find(text)]
     order = {"id_number": 0, "email": 1, "phone": 2, "street": 3, "person": 4}
-    taken: list[tuple[int, int, str]] = []
+    begins, taken = [], []
     for a, b, kind in sorted(got, key=lambda x: (order[x[2]], x[0])):
-        if all(b <= c or a >= d for c, d, _ in taken):
-            taken.append((a, b, kind))
-    return sorted(taken)
+        i = bisect(begins, a)
+        if (not i or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+            begins.insert(i, a)
+            taken.insert(i, (a, b, kind))
+    return taken
 
 
 def _round(key: bytes, tweak: str, i: int, value: int, modulus: int) -> int:
-    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{value}".encode(), key=key, digest_size=16).digest(), "big") % modulus
-
-
-def permute_digits(digits: str, key: bytes, tweak: str, undo: bool = False, rounds: int = 8) -> str:
-    """A keyed permutation of the digit strings of one length: a Feistel network over their two halves."""
-    u = len(digits) // 2
-    v = len(digits) - u
-    if not u:  # one digit: a keyed rotation
-        k = _round(key, tweak, 0, 0, 10)
-        return str((int(digits) + (-k if undo else k)) % 10) if digits else ""
-    a, b = int(digits[:u]), int(digits[u:])
+    return int.from_bytes(hashlib.blake2b(f"{tweak}|{i}|{value}".encode(), key=key, digest_size=24).digest(), "big") % modulus
+
+
+def _permute(values: list[int], radices: list[int], key: bytes, tweak: str, undo: bool, rounds: int = 8) -> list[int]:
+    """A keyed permutation of the places' values within their radices: a Feistel network over the two halves."""
+    half = len(values) // 2
+    if not half:  # one place: a keyed rotation
+        return [(v + (-1 if undo else 1) * _round(key, tweak, 0, 0, r)) % r for v, r in zip(values, radices)]
+
+    def number(vs, rs):
+        n = 0
+        for v, r in zip(vs, rs):
+            n = n * r + v
+        return n
+
+    def places(n, rs):
+        out = []
+        for r in reversed(rs):
+            n, v = divmod(n, r)
+            out.append(v)
+        return out[::-1]
+
+    a, b = number(values[:half], radices[:half]), number(values[half:], radices[half:])
+    top_a, top_b = math.prod(radices[:half]), math.prod(radices[half:])
     for i in reversed(range(rounds)) if undo else range(rounds):
         if i % 2:
-            b = (b + (-1 if undo else 1) * _round(key, tweak, i, a, 10**v)) % 10**v
+            b = (b + (-1 if undo else 1) * _round(key, tweak, i, a, top_b)) % top_b
         else:
-            a = (a + (-1 if undo else 1) * _round(key, tweak, i, b, 10**u)) % 10**u
-    return f"{a:0{u}d}{b:0{v}d}"
-
-
-def permute_number(text: str, key: bytes, kind: str, undo: bool = False) -> str:
-    """The number with its digits permuted; separators and letters stay."""
-    digits = "".join(c for c in text if c.isdecimal())
-    new = iter(permute_digits(digits, key, f"{kind}{len(digits)}", undo))
+            a = (a + (-1 if undo else 1) * _round(key, tweak, i, b, top_a)) % top_a
+    return places(a, radices[:half]) + places(b, radices[half:])
+
+
+def permute_digits(digits: str, key: bytes, tweak: str, undo: bool = False) -> str:
+    """A keyed permutation of the digit strings of one length."""
+    return "".join(map(str, _permute([int(c) for c in digits], [10] * len(digits), key, tweak, undo)))
+
+
+def permute_id(text: str, key: bytes, undo: bool = False) -> str:
+    """A personal number with its digits and letters permuted, each within its alphabet and case; what separates them
+    stays, and plays no role for the pseudonym."""
+    at = [i for i, c in enumerate(text) if c.isascii() and c.isalnum()]
+    base = ["0" if text[i].isdecimal() else "a" if text[i].islower() else "A" for i in at]
+    radices = [10 if c == "0" else 26 for c in base]
+    tweak = "id" + "".join("0" if r == 10 else "A" for r in radices)
+    new = _permute([ord(text[i]) - ord(c) for i, c in zip(at, base)], radices, key, tweak, undo)
+    out = list(text)
+    for i, c, v in zip(at, base, new):
+        out[i] = chr(ord(c) + v)
+    return "".join(out)
+
+
+def permute_phone(text: str, key: bytes, undo: bool = False) -> str:
+    """A telephone number with its national number and its extension permuted; country code and trunk prefix stay, so
+    the number has the same pseudonym with and without them."""
+    head, national, extension = dialled(text)
+    zeros = lambda x: [c == "0" for c in (x[:1], x[3:4])]
+    other = permute_digits(national, key, f"phone{len(national)}", undo)
+    while zeros(other) != zeros(national):  # walk the cycle to a number whose parts begin as those of this one may
+        other = permute_digits(other, key, f"phone{len(national)}", undo)
+    new = iter(head + other + (permute_digits(extension, key, f"ext{len(extension)}", undo) if extension else ""))
     return "".join(next(new) if c.isdecimal() else c for c in text)
 
 
@@ -223,7 +309,7 @@ def permute_date(text: str, key: bytes, undo: bool = False) -> str:
 def placeholder(kind: str, text: str, key: bytes) -> str:
     """What stands for a value: its kind and its pseudonym."""
     if kind in ("phone", "id_number"):
-        return f"<{kind.upper()}:{permute_number(text, key, kind)}>"
+        return f"<{kind.upper()}:{permute_phone(text, key) if kind == 'phone' else permute_id(text, key)}>"
     plain = text.casefold()
     if kind == "email":
         plain = re.sub(r"%2e", ".", re.sub(DOT, ".", AT.sub("@", text)), flags=re.I).casefold()
@@ -232,6 +318,14 @@ def placeholder(kind: str, text: str, key: bytes) -> str:
     return f"<{kind.upper()}:{hashlib.blake2b(plain.encode(), key=key, digest_size=6).hexdigest()}>"
 
 
+def link(kind: str, mark: str) -> str:
+    """What of a placeholder is the same for all ways of writing a value."""
+    value = mark.partition(":")[2].rstrip(">")
+    if kind == "phone":
+        return dialled(value)[1]
+    return "".join(c for c in value if c.isalnum()).upper() if kind == "id_number" else value
+
+
 def redact(text: str, names: Names, key: bytes) -> tuple[str, list[tuple[str, str, int, str]]]:
     """The text with placeholders, and of each detail its kind, how it was written, where, and its placeholder."""
     out, at, said = [], 0, []
@@ -263,20 +357,38 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
 
 
-def find_personal(documents: DataFrame, name_list: DataFrame) -> DataFrame:
-    """Personal details of each document: ``doc_id, kind, as_written``, distinct.
+def personal_details(documents: DataFrame, name_list: DataFrame, key: bytes) -> DataFrame:
+    """Personal details of each document: ``doc_id, kind, as_written, at`` (where it begins), ``placeholder``, ``link``
+    (what all ways of writing a value have in common of it).
 
-    documents: ``doc_id`` BIGINT, ``text`` STRING; name_list: ``token``, ``token_kind`` ('given' or 'family').
-    Null ids take no part; null and empty texts have no details; without name tokens no persons are found.
+    documents: ``doc_id`` BIGINT, ``text`` STRING; name_list: ``token``, ``token_kind`` ('given' or 'family'). kind is
+    email, phone, id_number, street, person or birth_date.
+    Null ids take no part; null and empty texts have no details; without name tokens no persons are found; of a
+    repeated row each copy has its details.
     """
     names = _names(name_list)
 
     def run(batches):
         for pdf in batches:
-            rows = [(i, k, t[a:b]) for i, t in zip(pdf["doc_id"], pdf["text"]) for a, b, k in find(t, names)]
-            yield pd.DataFrame(rows, columns=["doc_id", "kind", "as_written"]).drop_duplicates()
+            rows = [(i, k, w, a, p, link(k, p)) for i, t in zip(pdf["doc_id"], pdf["text"]) for k, w, a, p in redact(t, names, key)[1]]
+            yield pd.DataFrame(rows, columns=["doc_id", "kind", "as_written", "at", "placeholder", "link"])
+
+    return _texts(documents).filter("text IS NOT NULL AND text <> ''").mapInPandas(run, "doc_id long, kind string, as_written string, at int, placeholder string, link string")
+
+
+def linked_values(details: DataFrame) -> DataFrame:
+    """Values that stand in several documents, by their pseudonyms: ``kind, link, documents, ways`` (how many documents,
+    and how many ways of writing). details: the result of personal_details.
+    """
+    seen = details.filter("kind <> 'birth_date'").groupBy("kind", "link", "doc_id", "as_written").agg(F.count("*").alias("n"))
+    docs = seen.groupBy("kind", "link", "doc_id").agg(F.count("*").alias("n")).groupBy("kind", "link").agg(F.count("*").alias("documents"))
+    ways = seen.groupBy("kind", "link", "as_written").agg(F.count("*").alias("n")).groupBy("kind", "link").agg(F.count("*").alias("ways"))
+    return docs.filter("documents > 1").join(ways, ["kind", "link"])
+
 
-    return _texts(documents).filter("text IS NOT NULL AND text <> ''").mapInPandas(run, "doc_id long, kind string, as_written string").distinct()
+def find_personal(documents: DataFrame, name_list: DataFrame, key: bytes = b"") -> DataFrame:
+    """Personal details of each document as they are written: ``doc_id, kind, as_written``, distinct; see personal_details."""
+    return personal_details(documents, name_list, key).filter("kind <> 'birth_date'").select("doc_id", "kind", "as_written").distinct()
 
 
 def redact_personal(documents: DataFrame, name_list: DataFrame, key: bytes) -> DataFrame:

@@ -10,7 +10,7 @@ from stimlake.llm.knn import most_similar
 from stimlake.llm.leaks import find_leaks
 from stimlake.llm.nearest_time import match_nearest
 from stimlake.llm.packing import count_tokens, pack_texts
-from stimlake.llm.personal import find_personal, redact_personal
+from stimlake.llm.personal import find_personal, linked_values, personal_details, redact_personal
 from stimlake.tables import cut, table
 
 RF_DIM = 96
@@ -98,14 +98,24 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+#: An example; a user passes a secret one.
+KEY = b"example key"
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"))
+    """What the placeholders of each document stand for, as it was written."""
+    return find_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"), KEY)
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents with placeholders; the key here is an example, a user passes a secret one."""
-    return redact_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"), b"example key").drop("details")
+    """The documents with placeholders."""
+    return redact_personal(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"), KEY).drop("details")
+
+
+def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that several documents share, by their pseudonyms."""
+    return linked_values(cut(personal_details(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_list"), KEY), "details"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted, "p8_links": p8_links}
 SQL = {"p3_found": P3_SQL}

@@ -1,11 +1,12 @@
 import datetime as dt
 import random
+import string
 
 import pytest
 
 from stimlake.llm.leaks import find_leaks, words
 from stimlake.llm.packing import count_tokens, pack_texts
-from stimlake.llm.personal import AT, ID_NUMBER, Names, ats, emails, find, find_personal, permute_date, permute_digits, permute_number, placeholder, redact, redact_personal
+from stimlake.llm.personal import AT, ID_NUMBER, Names, ats, country_code, emails, find, find_personal, is_dialled, is_personal_number, linked_values, permute_date, permute_digits, permute_id, permute_phone, personal_details, placeholder, redact, redact_personal
 
 DOC = "doc_id long, text string, source string, item_id long, kind string"
 
@@ -96,13 +97,36 @@ def test_feistel_is_a_permutation_and_undone():
         assert sorted(permute_digits(x, b"k", "t") for x in every) == every
     for x in ("5550123", "000034733"):
         assert permute_digits(permute_digits(x, b"k", "t"), b"k", "t", undo=True) == x
-    new = permute_number("+1 (605) 555-0137 x12", b"k", "phone")
-    assert [c for c in new if not c.isdigit()] == [c for c in "+1 (605) 555-0137 x12" if not c.isdigit()]
-    assert permute_number(new, b"k", "phone", undo=True) == "+1 (605) 555-0137 x12"
+    every = [f"{a}{i}" for a in string.ascii_uppercase for i in range(10)]
+    assert sorted(permute_id(x, b"k") for x in every) == sorted(every)
+    for x in ("AB 12 34 56 C", "x02385705", "ZZ-3457-6259-9", "000-12-3456", "Q"):
+        new = permute_id(x, b"k")
+        assert [(c.isdecimal(), c.isupper(), c.islower(), c if not c.isalnum() else "") for c in new] == [(c.isdecimal(), c.isupper(), c.islower(), c if not c.isalnum() else "") for c in x]
+        assert permute_id(new, b"k", undo=True) == x and (new != x or len(x) == 1)
+    assert permute_id("AB123456C", b"k") == permute_id("AB 12 34 56 C", b"k").replace(" ", "")
     day = permute_date("1984-02-29", b"k")
     assert dt.date.fromisoformat(day) and day != "1984-02-29" and permute_date(day, b"k", undo=True) == "1984-02-29"
 
 
+def test_telephone_numbers_keep_their_format_and_link():
+    for x in ("+1 (605) 555-0137 x12", "+44 20 7946 0958", "020 7946 0958", "0044 20 7946 0958", "+46 (0)8 123 456 78"):
+        new = permute_phone(x, b"k")
+        assert [c for c in new if not c.isdigit()] == [c for c in x if not c.isdigit()] and len(new) == len(x)
+        assert permute_phone(new, b"k", undo=True) == x
+    assert permute_phone("+44 20 7946 0958", b"k")[:4] == "+44 " and permute_phone("+44 20 7946 0958", b"k")[4:] == permute_phone("020 7946 0958", b"k")[1:]
+    assert permute_phone("(605) 555-0137", b"k") == permute_phone("+1 (605) 555-0137", b"k")[3:] == permute_phone("+1 (605) 555-0137 x12", b"k")[3:17]
+    assert [is_dialled(x) for x in ("+999 0000 000000", "+1 055 555 0137", "+44 20 7946 0958", "+46 8 12 34", "000-000-0000", "+1 605 555 0137")] == [False, False, True, False, False, True]
+    assert [country_code(x) for x in ("16055550137", "442079460958", "35312345678", "77123456789")] == ["1", "44", "353", "7"]
+    assert not is_personal_number("000-00-0000") and is_personal_number("000-12-3456")
+
+
+def test_long_local_parts_and_many_details():
+    long = "a" * 90 + "." + "b" * 300 + "@host.example"
+    assert [text_ for k, text_ in [(k, ("x " + long)[a:b]) for a, b, k in find("x " + long, NAMES)]] == [long]
+    many = " ".join(f"u{i}@h{i}.org" for i in range(20_000))
+    assert len(find(many, NAMES)) == 20_000
+
+
 def test_placeholders_link_values_and_leave_the_rest():
     assert placeholder("email", "A.b (at) c (dot) org", b"k") == placeholder("email", "a.b@C.org", b"k") != placeholder("email", "a.b@c.org", b"other")
     assert placeholder("person", "Lunsen, Arda", b"k") == placeholder("person", "Arda Lunsen", b"k")
@@ -120,6 +144,14 @@ def test_personal_tables(spark):
     assert find_personal(docs(spark, []), names).count() == 0 and find_personal(d, names.limit(0)).count() == 2
 
 
+def test_values_are_linked_across_documents(spark):
+    names = spark.createDataFrame([("Arda", "given")], "token string, token_kind string")
+    d = docs(spark, [(1, "tel:+44 20 7946 0958, SSN 078 05 1120", "s"), (2, "call 020 7946 0958 or x@y.org", "s"), (3, "ssn: 078-05-1120; X (at) y (dot) org, x@y.org", "s"), (4, "z@y.org", "s"), (4, "z@y.org", "s")])
+    got = {(r.kind, r.documents, r.ways) for r in linked_values(personal_details(d, names, b"k")).collect()}
+    assert got == {("phone", 2, 2), ("id_number", 2, 2), ("email", 2, 2)}
+    assert linked_values(personal_details(docs(spark, []), names, b"k")).count() == 0
+
+
 # packing
 
 
