@@ -40,6 +40,8 @@ ROOM, LEAF = 32_768, 1024
 MISS = 0.005
 #: Cells of a square that one task compares with their surroundings at a time.
 GROUP_CELLS = 4096
+#: Stands for no cell.
+NONE = np.iinfo(np.int64).min
 #: Greatest error of a cosine of packed vectors.
 ROUGH = 0.006
 
@@ -317,48 +319,54 @@ def _cluster_packed(packed: DataFrame, vectors: DataFrame, dim: int, radius: flo
     cells = seeds.select("cell", "n", "cy", "cx", "m")
     own, near = salted(cells.withColumns({"gy": place("cy", radius), "gx": place("cx", radius)}), around(cells, F.col("cy"), F.col("cx"), radius), GROUP_CELLS)
 
-    def join_cells(mine: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+    def join_cells(mine: dict[str, np.ndarray], near: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         """Each cell with the least cell it is tied to here by any adjacent cells, and with the densest one in reach."""
-        if not len(mine) or not len(near):
-            return pd.DataFrame({c: [] for c in ("a", "b", "densest")})
-        near = near.sort_values(["n", "cell"], ascending=[False, True], kind="stable")
-        m, o = _vectors(near["m"], dim), _vectors(mine["m"], dim)
-        cell, own_cell = near["cell"].to_numpy(), mine["cell"].to_numpy()
-        yx, own_yx = near[["cy", "cx"]].to_numpy(), mine[["cy", "cx"]].to_numpy()
-        at = pd.Index(cell).get_indexer(own_cell)
-        root = np.arange(len(cell))
-        densest = np.empty(len(mine), np.int64)
-        for i in range(0, len(mine), 512):
-            ok = (o[i : i + 512] @ m.T >= least_cosine) & (((own_yx[i : i + 512, None] - yx) ** 2).sum(2) <= radius**2)
-            ok[np.arange(len(ok)), at[i : i + 512]] = True
-            densest[i : i + 512] = cell[ok.argmax(1)]
+        fall = np.lexsort((near["cell"], -near["n"]))
+        cell, m, cy, cx = (near[c][fall] for c in ("cell", "m", "cy", "cx"))
+        rank = np.argsort(cell)
+        at = rank[np.searchsorted(cell[rank], mine["cell"])]
+        root, densest = np.arange(len(cell)), np.empty(len(at), np.int64)
+        for i in range(0, len(at), 512):
+            own = slice(i, i + 512)
+            ok = mine["m"][own] @ m.T >= least_cosine
+            ok &= (mine["cy"][own, None] - cy) ** 2 + (mine["cx"][own, None] - cx) ** 2 <= radius**2
+            ok[np.arange(len(ok)), at[own]] = True
+            densest[own] = cell[ok.argmax(1)]
             row, col = np.nonzero(ok)
-            root = _tied(root, at[i : i + 512][row], col)
-        least = pd.Series(cell).groupby(root).transform("min").to_numpy()
+            root = _tied(root, at[own][row], col)
+        least = cell.copy()
+        np.minimum.at(least, root, cell)
+        least = least[root]
         # one edge for each cell that is tied to another: a forest, whatever the number of adjacent pairs
         tied = np.flatnonzero(least != cell)
-        return pd.concat([pd.DataFrame({"a": own_cell, "b": own_cell, "densest": densest}), pd.DataFrame({"a": cell[tied], "b": least[tied]})], ignore_index=True).astype({"densest": "Int64"})
+        return {"a": np.r_[mine["cell"], cell[tied]], "b": np.r_[mine["cell"], least[tied]], "densest": np.r_[densest, np.full(len(tied), NONE)]}
 
     group = bucket(parts(n, 20_000, 8), *keys).alias("bucket")
 
-    def by_square(f):
+    def arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+        made = {c: pdf[c].to_numpy() for c in pdf.columns if c not in ("b", "m", "top")}
+        made |= {c: _vectors(pdf[c], dim) for c in ("m", "top") if c in pdf.columns}
+        return made | ({"b": pdf["b"].to_numpy(), "u": unpack(pdf["b"], dim)} if "b" in pdf.columns else {})
+
+    def by_square(f, columns: list[str]):
         """f on the two sides of each square and salt of a bucket."""
 
         def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            there = dict(iter(b.groupby(keys)))
-            got = [f(mine, there[k]) for k, mine in a.groupby(keys) if k in there]
-            return pd.concat(got, ignore_index=True) if got else f(a[:0], b[:0])
+            x, y = arrays(a), arrays(b)
+            there = b.groupby(keys).indices if len(b) else {}
+            got = [f({c: v[i] for c, v in x.items()}, {c: v[there[k]] for c, v in y.items()}) for k, i in (a.groupby(keys).indices if len(a) else {}).items() if k in there]
+            return pd.DataFrame({c: np.concatenate([g[c] for g in got]) if got else [] for c in columns})
 
         return run
 
-    joined = cut(own.groupBy(group).cogroup(near.groupBy(group)).applyInPandas(by_square(join_cells), "a long, b long, densest long"), "joins")
+    joined = cut(own.groupBy(group).cogroup(near.groupBy(group)).applyInPandas(by_square(join_cells, ["a", "b", "densest"]), "a long, b long, densest long"), "joins")
     labels = propagate(joined.select("a", "b"))
     # parts too wide to be one cluster: every cell goes with the densest in its reach
     wide_label = cells.join(labels, cells.cell == labels.node).join(_label_means(seeds, labels, dim, n).select("label", F.col("cy").alias("ly"), F.col("cx").alias("lx"), F.col("m").alias("lm")), "label")
     off = (F.hypot(F.col("cy") - F.col("ly"), F.col("cx") - F.col("lx")) > radius) | (F.aggregate(F.zip_with("m", "lm", lambda x, y: (x * y).cast("double")), F.lit(0.0), lambda t, x: t + x) < least_cosine)
     too_wide = cut(wide_label.filter(off).select("label").distinct(), "wide")
     if too_wide.limit(1).count():
-        parted = labels.join(too_wide, "label").join(joined.filter("densest IS NOT NULL"), F.col("node") == F.col("a")).select("a", F.col("densest").alias("b"))
+        parted = labels.join(too_wide, "label").join(joined.filter(F.col("densest") != NONE), F.col("node") == F.col("a")).select("a", F.col("densest").alias("b"))
         labels = labels.join(too_wide, "label", "left_anti").select("node", "label").unionByName(propagate(parted))
 
     labels = cut(labels, "labels")
@@ -373,23 +381,23 @@ def _cluster_packed(packed: DataFrame, vectors: DataFrame, dim: int, radius: flo
         mine = base.select("id", "y", "x", "b", place("y", reach).alias("gy"), place("x", reach).alias("gx"))
         mine, about = salted(mine, around(means.select("label", "cy", "cx", "m", "top"), F.col("cy"), F.col("cx"), reach), GROUP_ROWS)
 
-        def fit(pts: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
-            if not len(pts) or not len(protos):
-                return pd.DataFrame({c: [] for c in ("id", "label", "y", "x", "b", "cosine", "distance", "to_top")})
-            protos = protos.sort_values("label")
-            u, m, top = unpack(pts["b"], dim), _vectors(protos["m"], dim), _vectors(protos["top"], dim)
-            y, x, cy, cx = pts["y"].to_numpy(), pts["x"].to_numpy(), protos["cy"].to_numpy(), protos["cx"].to_numpy()
-            best, cos, far, ok = np.zeros(len(u), np.int64), np.zeros(len(u)), np.zeros(len(u)), np.zeros(len(u), bool)
-            for r in np.split(np.arange(len(u)), range(4096, len(u), 4096)):
-                c, d = u[r] @ m.T, np.hypot(y[r, None] - cy, x[r, None] - cx)
+        def fit(pts: dict[str, np.ndarray], protos: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+            order = np.argsort(protos["label"], kind="stable")
+            label, m, top, cy, cx = (protos[c][order] for c in ("label", "m", "top", "cy", "cx"))
+            u, n_pts = pts["u"], len(pts["u"])
+            best, cos, far, ok = np.zeros(n_pts, np.int64), np.zeros(n_pts), np.zeros(n_pts), np.zeros(n_pts, bool)
+            for i in range(0, n_pts, 4096):
+                r = slice(i, i + 4096)
+                c, d = u[r] @ m.T, np.hypot(pts["y"][r, None] - cy, pts["x"][r, None] - cx)
                 # those that fit come before all others
                 rank = np.where((c >= least_cosine - ROUGH) & (d <= radius), c + 2, np.where((c >= least) & (d <= reach), c, -4))
                 best[r] = rank.argmax(1)
                 rank, cos[r], far[r] = (np.take_along_axis(z, best[r][:, None], 1)[:, 0] for z in (rank, c, d))
                 ok[r] = rank > -4
-            return pd.DataFrame({"id": pts["id"].to_numpy()[ok], "label": protos["label"].to_numpy()[best[ok]], "y": y[ok], "x": x[ok], "b": pts["b"].to_numpy()[ok], "cosine": cos[ok], "distance": far[ok], "to_top": (u[ok] * top[best[ok]]).sum(1)})
+            best = best[ok]
+            return {"id": pts["id"][ok], "label": label[best], "y": pts["y"][ok], "x": pts["x"][ok], "b": pts["b"][ok], "cosine": cos[ok], "distance": far[ok], "to_top": (u[ok] * top[best]).sum(1)}
 
-        return mine.groupBy(group).cogroup(about.groupBy(group)).applyInPandas(by_square(fit), "id long, label long, y double, x double, b binary, cosine double, distance double, to_top double")
+        return mine.groupBy(group).cogroup(about.groupBy(group)).applyInPandas(by_square(fit, ["id", "label", "y", "x", "b", "cosine", "distance", "to_top"]), "id long, label long, y double, x double, b binary, cosine double, distance double, to_top double")
 
     def refit(rows: DataFrame, least: int) -> DataFrame:
         means = _means(_partial_sums(rows, "label", dim), "label", dim, max(n // 50, 1)).filter(F.col("n") >= least)
