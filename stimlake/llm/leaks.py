@@ -26,6 +26,8 @@ from stimlake.tables import cut
 
 MAX_TEST_CHARS = 50_000_000
 SHARD_CHARS = 4_000_000
+#: Postings of anchors that are followed at a time.
+SLICE = 500_000
 WORD = re.compile(r"\w+")
 ESCAPE = re.compile(r"\\+(?:u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|[nrtvfab0])")
 
@@ -143,39 +145,47 @@ def intersect(shard: dict[str, np.ndarray], test: TestSet, anchors: np.ndarray,
     which = np.searchsorted(shard["terms"], test.terms[anchors])
     ok = (which < len(shard["terms"])) & (shard["terms"][np.minimum(which, len(shard["terms"]) - 1)] == test.terms[anchors])
     anchors, which = anchors[ok], which[ok]
-    n = count[which]
-    g = np.repeat(anchors, n)
-    p = (np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)) + np.repeat((shard["ends"] - count)[which], n)
-    pos = at[p]
     total = len(test.terms)
-    reach = {}
-    for sign in (-1, 1):
-        far = np.zeros(len(g), np.int64)
-        alive = np.arange(len(g))
-        step = 1
-        while len(alive):
-            h = g[alive] + sign * step
-            fits = (h >= 0) & (h < total)
-            alive, h = alive[fits], h[fits]
-            fits = test.item[h] == test.item[g[alive]]
-            alive, h = alive[fits], h[fits]
-            alive = alive[stands(test.terms[h], pos[alive] + sign * step)]
-            far[alive] = step
-            step += 1
-        reach[sign] = far
-    left, right = g - reach[-1], g + reach[1]
-    last = np.maximum(right - test.window + 2, left)  # past the last start of a whole window
-    hit = (test.own_before[np.minimum(last, total)] - test.own_before[left]) > 0
-    run = right - left + 1
-    near = np.zeros(len(g), np.int64)
-    if slop:
-        for o in range(-test.window + 1, test.window):
-            h = np.clip(g + o, 0, total - 1)
-            same = (test.item[h] == test.item[g]) & (h == g + o)
-            k = test.terms[h] * line + pos + o
-            near += same & (np.searchsorted(keys, k - slop) < np.searchsorted(keys, k + slop + 1))
-        hit |= near >= near_terms
-    return shard["doc"][p[hit]].astype(np.int64), test.item[g[hit]], run[hit], near[hit]
+
+    def grow(anchors: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Matches that some of the anchors lead to."""
+        n = count[which]
+        g = np.repeat(anchors, n)
+        p = (np.arange(len(g)) - np.repeat(np.cumsum(n) - n, n)) + np.repeat((shard["ends"] - count)[which], n)
+        pos = at[p]
+        reach = {}
+        for sign in (-1, 1):
+            far = np.zeros(len(g), np.int64)
+            alive = np.arange(len(g))
+            step = 1
+            while len(alive):
+                h = g[alive] + sign * step
+                fits = (h >= 0) & (h < total)
+                alive, h = alive[fits], h[fits]
+                fits = test.item[h] == test.item[g[alive]]
+                alive, h = alive[fits], h[fits]
+                alive = alive[stands(test.terms[h], pos[alive] + sign * step)]
+                far[alive] = step
+                step += 1
+            reach[sign] = far
+        left, right = g - reach[-1], g + reach[1]
+        last = np.maximum(right - test.window + 2, left)  # past the last start of a whole window
+        hit = (test.own_before[np.minimum(last, total)] - test.own_before[left]) > 0
+        run = right - left + 1
+        near = np.zeros(len(g), np.int64)
+        if slop:
+            for o in range(-test.window + 1, test.window):
+                h = np.clip(g + o, 0, total - 1)
+                same = (test.item[h] == test.item[g]) & (h == g + o)
+                k = test.terms[h] * line + pos + o
+                near += same & (np.searchsorted(keys, k - slop) < np.searchsorted(keys, k + slop + 1))
+            hit |= near >= near_terms
+        return shard["doc"][p[hit]].astype(np.int64), test.item[g[hit]], run[hit], near[hit]
+
+    # an anchor's term may stand in a shard very often: some anchors at a time
+    cuts = np.flatnonzero(np.diff((np.cumsum(count[which]) - count[which]) // SLICE)) + 1
+    found = [grow(a, w) for a, w in zip(np.split(anchors, cuts), np.split(which, cuts))]
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, slop: int = 0, near_terms: int = 12) -> DataFrame:

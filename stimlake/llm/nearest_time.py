@@ -29,16 +29,16 @@ def match_nearest(left: DataFrame, rights: dict[str, DataFrame], tolerance: Data
     earlier one wins, of rows at one time the one with the smallest id.
 
     Rows whose entity, id or t is null, or whose t is NaN or infinite, take no part, nor do entities without
-    a positive tolerance or with one above ``cell``/2 (an error there: the cells would lose pairs). Repeated
-    rows of an id count once. Empty tables give an empty result.
+    a positive tolerance. An entity's cells of time are ``cell`` seconds long, or two tolerances where that is more.
+    Repeated rows of an id count once. Empty tables give an empty result.
     """
     fine = usable("t") & F.col("entity").isNotNull() & F.col("id").isNotNull() & (F.abs("t") < 1e15)
-    tol = tolerance.groupBy(F.col("entity").cast("long").alias("entity")).agg(F.min("tol").alias("tol")).filter("tol > 0 AND NOT isnan(tol)")
-    tol = maybe_broadcast(tol.withColumn("tol", F.when(F.col("tol") <= cell / 2, F.col("tol")).otherwise(F.raise_error(F.lit("a tolerance exceeds half a cell")).cast("double"))))
+    tol = tolerance.groupBy(F.col("entity").cast("long").alias("entity")).agg(F.min("tol").alias("tol")).filter("tol > 0 AND tol < 1e15")
+    tol = maybe_broadcast(tol)
 
     def side(df: DataFrame, kind: str) -> DataFrame:
         rows = df.select(F.col("entity").cast("long"), F.col("id").cast("long"), F.col("t").cast("double")).filter(fine).join(tol, "entity")
-        at = lambda x: F.floor(x / cell)
+        at = lambda x: F.floor(x / F.greatest(F.lit(float(cell)), 2 * F.col("tol")))
         cells = F.array(at(F.col("t"))) if not kind else F.array_distinct(F.array(at(F.col("t") - F.col("tol")), at(F.col("t")), at(F.col("t") + F.col("tol"))))
         return rows.select("entity", "id", "t", "tol", F.lit(kind).alias("kind"), F.explode(cells).alias("cell"))
 

@@ -9,7 +9,7 @@ from stimlake.llm.clusters import describe, located_clusters
 from stimlake.llm.knn import most_similar
 from stimlake.llm.leaks import find_leaks
 from stimlake.llm.nearest_time import match_nearest
-from stimlake.llm.packing import count_tokens, pack_texts
+from stimlake.llm.packing import count_tokens, mixtures, pack_texts
 from stimlake.llm.personal import find_personal, linked_values, personal_details, redact_personal
 from stimlake.tables import cut, table
 
@@ -47,8 +47,8 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _p3_sql(kind: str, rows: str) -> str:
-    return f"""SELECT flip_id, '{kind}' AS ref_kind, ref_id FROM (
-      SELECT f.flip_id, r.ref_id, row_number() OVER (PARTITION BY f.flip_id ORDER BY abs(r.t - f.t), r.t, r.ref_id) AS k
+    return f"""SELECT flip_id, '{kind}' AS ref_kind, ref_id, round(dt, 6) AS dt FROM (
+      SELECT f.flip_id, r.ref_id, r.t - f.t AS dt, row_number() OVER (PARTITION BY f.flip_id ORDER BY abs(r.t - f.t), r.t, r.ref_id) AS k
       FROM f JOIN ({rows}) r ON r.expt = f.expt AND r.t BETWEEN f.t - f.tol_s AND f.t + f.tol_s AND abs(r.t - f.t) < f.tol_s) WHERE k = 1"""
 
 
@@ -85,17 +85,29 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fill of each container and the share of each source in it."""
-    return p6_packed(spark, sf_dir).groupBy("container").agg(F.sum("tokens").alias("tokens"), (F.lit(CAPACITY) - F.sum("tokens")).alias("unused"), F.count("*").alias("pieces"), F.count_distinct("source").alias("sources"))
+    """Fill of each container, how far its mixture of sources is off the target, and how far all containers so far are."""
+    return mixtures(cut(p6_packed(spark, sf_dir), "containers"), CAPACITY)
 
 
 def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with the items they contain and the longest passage of each."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Documents with the items they contain: the longest passage of each, and how many of the words around a rare one (11 on
+    each side) stand within two places of where they should."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), slop=2, near_terms=18)
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p7_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+#: Escape sequences are undone as spaces here: those of letters would need a function that SQL lacks.
+_WORDS = "regexp_extract_all(lower(regexp_replace({0}, '\\\\+(u[0-9a-fA-F]{{4}}|x[0-9a-fA-F]{{2}}|[nrtvfab0])', ' ', 'g')), '[\\p{{L}}\\p{{N}}_]+')"
+P7_SQL = f"""
+WITH i AS (SELECT DISTINCT item_id, {_WORDS.format("text")} AS w FROM eval_items WHERE item_id IS NOT NULL), d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents WHERE doc_id IS NOT NULL),
+p AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM i)),
+own AS (SELECT phrase, min(item_id) AS item_id FROM p GROUP BY phrase HAVING count(*) = 1),
+x AS (SELECT doc_id, array_to_string(w[k:k + 11], ' ') AS phrase FROM (SELECT *, unnest(range(1, len(w) - 10)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM x JOIN own USING (phrase)
+"""
 
 
 #: An example; a user passes a secret one.
@@ -118,4 +130,4 @@ def p8_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_clusters": p2_clusters, "p3_found": p3_found, "p3_matches": p3_matches, "p5_found": p5_found, "p5_neighbours": p5_neighbours, "p6_packed": p6_packed, "p6_containers": p6_containers, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found, "p8_redacted": p8_redacted, "p8_links": p8_links}
-SQL = {"p3_found": P3_SQL}
+SQL = {"p3_found": f"SELECT flip_id, ref_kind, ref_id FROM ({P3_SQL})", "p3_matches": P3_SQL, "p7_found": P7_SQL}

@@ -1,11 +1,13 @@
 import datetime as dt
+import math
 import random
 import string
 
+import numpy as np
 import pytest
 
 from stimlake.llm.leaks import find_leaks, words
-from stimlake.llm.packing import count_tokens, pack_texts
+from stimlake.llm.packing import count_tokens, mixtures, pack, pack_texts
 from stimlake.llm.personal import AT, ID_NUMBER, Names, ats, country_code, emails, find, find_personal, is_dialled, is_personal_number, linked_values, permute_date, permute_digits, permute_id, permute_phone, personal_details, placeholder, redact, redact_personal
 
 DOC = "doc_id long, text string, source string, item_id long, kind string"
@@ -178,19 +180,38 @@ def test_packing_is_whole_and_tight(spark):
         rows = pack_texts(df, capacity=1000, shard_items=shard, carry=50, fan_in=4).collect()
         fill = check(rows, sizes, 1000)
         assert sum(fill.values()) / (1000 * len(fill)) > 0.98
-    share = {s: sum(n for i, n in sizes.items() if src[i] == s) / sum(sizes.values()) for s in set(src.values())}
-    by = {}
-    for r in rows:
-        by.setdefault(r.container, {}).setdefault(r.source, 0)
-        by[r.container][r.source] += r.tokens
-    full = [b for b in by.values() if sum(b.values()) >= 990]
-    off = sum(abs(sum(b.get(s, 0) for b in full[:100]) / 100_000 - v) for s, v in share.items())
-    assert off < 0.3  # the mixture is kept over windows
+    got = {r.container: r for r in mixtures(pack_texts(df, capacity=1000, shard_items=50_000, carry=50), 1000).collect()}
+    assert sum(r.tokens for r in got.values()) == sum(sizes.values()) and all(r.unused == 1000 - r.tokens for r in got.values())
+
+
+def test_the_mixture_holds_in_every_window_and_over_all():
+    rng = np.random.default_rng(5)
+    lengths = np.clip(rng.lognormal(4.5, 1.2, 6000).astype(int), 1, 1000)  # some as long as a container
+    source = rng.choice(4, 6000, p=[0.5, 0.3, 0.15, 0.05])
+    shares = np.bincount(source, lengths) / lengths.sum()
+    window, _ = pack(lengths, source, shares, np.zeros(4), 1000, 0, 0)
+    n = window.max() + 1
+    assert n <= 1.01 * math.ceil(lengths.sum() / 1000)
+    got = np.zeros((n, 4))
+    np.add.at(got, (window, source), lengths)
+    off = np.abs(got / got.sum(1, keepdims=True) - shares).sum(1) / 2
+    parts = [off[i * n // 4 : (i + 1) * n // 4].mean() for i in range(4)]
+    # windows in the middle are about as near to the target as the first, where every length is still there
+    assert max(parts[:3]) <= parts[0] + 0.08 and parts[3] <= parts[0] + 0.15
+    run = np.abs(np.cumsum(got - got.sum(1, keepdims=True) * shares, 0)).max(1)
+    assert run[: n * 9 // 10].max() <= 1000  # within a window; at the end, where only long texts are left, filling goes first
+
+
+def test_many_sources_need_no_more_memory():
+    lengths, source = np.full(3000, 100), np.arange(3000)
+    window, _ = pack(lengths, source, np.full(3000, 1 / 3000), np.zeros(3000), 8192, 0, 0)
+    assert np.bincount(window).max() == 81 and window.max() + 1 == 38
 
 
 def test_packing_shares_nothing_and_ties(spark):
     schema = "doc_id long, source string, tokens long"
     assert pack_texts(spark.createDataFrame([], schema)).count() == 0
+    assert mixtures(pack_texts(spark.createDataFrame([], schema))).count() == 0
     same = spark.createDataFrame([(i, None, 600) for i in range(20)], schema)
     assert len(check(pack_texts(same, capacity=1000, shares={"": 1.0}, shard_items=7, carry=2).collect(), {i: 600 for i in range(20)}, 1000)) == 20
 
