@@ -17,6 +17,8 @@ from stimlake.operators.tuning import bin_of
 from stimlake.tables import spread
 
 BINS = 256
+#: Cells that are fitted side by side.
+BATCH = 64
 
 
 def _sigmoid(p: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -27,78 +29,100 @@ def _relu(p: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.clip(p[..., 1:2] * x, p[..., 0:1], 10_000)
 
 
-#: The families by name: function of parameters and x, and the bounds of the search.
-FAMILIES: dict[str, tuple[Callable, Callable[[np.ndarray], list[tuple[float, float]]]]] = {
-    "sigmoid": (_sigmoid, lambda x: [(0, 2), (0, 100), (0, 100), (-10, 10)]),
-    "relu": (_relu, lambda x: [(-2 * abs(x).max() - 1e-9, 2 * abs(x).max() + 1e-9), (-10, 10)]),
+#: The families by name: function of parameters and x, and the bounds of the search by the greatest |x|.
+FAMILIES: dict[str, tuple[Callable, Callable[[float], list[tuple[float, float]]]]] = {
+    "sigmoid": (_sigmoid, lambda top: [(0, 2), (0, 100), (0, 100), (-10, 10)]),
+    "relu": (_relu, lambda top: [(-2 * top - 1e-9, 2 * top + 1e-9), (-10, 10)]),
 }
 
 
-def evolve(loss: Callable[[np.ndarray], np.ndarray], bounds: list[tuple[float, float]], seed: int = 2, generations: int = 40, size: int = 12) -> np.ndarray:
-    """The best point of differential evolution; loss takes many points at once."""
+def evolve(loss: Callable[[np.ndarray], np.ndarray], lo: np.ndarray, hi: np.ndarray, seed: int = 2, generations: int = 40, size: int = 12) -> np.ndarray:
+    """The best points of differential evolutions side by side: lo, hi and the result are (cells, parameters).
+
+    loss takes (cells, points, parameters). All cells share the random numbers, so the result of one does not depend
+    on its company.
+    """
     rng = np.random.default_rng(seed)
-    lo, hi = np.array(bounds, float).T
-    n, d = size * len(bounds), len(bounds)
-    x = lo + rng.random((n, d)) * (hi - lo)
+    cells, d = lo.shape
+    n, all_ = size * d, np.arange(cells)
+    lo, wide = lo[:, None], (hi - lo)[:, None]
+    x = lo + rng.random((n, d)) * wide
     f = loss(x)
     for _ in range(generations):
-        a, b = (x[rng.integers(0, n, n)] for _ in range(2))
-        trial = np.where(rng.random((n, d)) < 0.7, x[f.argmin()] + rng.uniform(0.5, 1.0) * (a - b), x)
-        trial = np.where((trial < lo) | (trial > hi), lo + rng.random((n, d)) * (hi - lo), trial)
+        a, b = (x[:, rng.integers(0, n, n)] for _ in range(2))
+        best = x[all_, f.argmin(1)][:, None]
+        trial = np.where(rng.random((n, d)) < 0.7, best + rng.uniform(0.5, 1.0) * (a - b), x)
+        trial = np.where((trial < lo) | (trial > lo + wide), lo + rng.random((n, d)) * wide, trial)
         g = loss(trial)
         better = g < f
-        x[better], f[better] = trial[better], g[better]
-        if np.ptp(f) <= 1e-9 * abs(f.min()):
-            break
-    return x[f.argmin()]
+        x, f = np.where(better[..., None], trial, x), np.where(better, g, f)
+    return x[all_, f.argmin(1)]
 
 
 def refine(residual: Callable[[np.ndarray], np.ndarray], p: np.ndarray, steps: int = 40) -> np.ndarray:
-    """Levenberg-Marquardt from p, with numerical derivatives."""
-    damp, r = 1e-2, residual(p)
+    """Levenberg-Marquardt from each row of p side by side, with numerical derivatives; residual: (cells, parameters) to (cells, values)."""
+    d = p.shape[1]
+    damp, r = np.full(len(p), 1e-2), residual(p)
+    going = np.ones(len(p), bool)
     for _ in range(steps):
         h = 1e-6 * np.maximum(np.abs(p), 1e-3)
-        j = np.stack([(residual(p + e) - r) / e[i] for i, e in enumerate(np.diag(h))], axis=1)
-        a = j.T @ j
-        step = np.linalg.solve(a + np.diag(damp * np.diag(a) + 1e-12), -j.T @ r)
+        j = np.stack([(residual(p + h * (np.arange(d) == i)) - r) / h[:, i : i + 1] for i in range(d)], axis=2)
+        a = np.einsum("kni,knj->kij", j, j)
+        a += (damp[:, None] * np.einsum("kii->ki", a) + 1e-12)[:, :, None] * np.eye(d)
+        step = np.linalg.solve(a, -np.einsum("kni,kn->ki", j, r)[..., None])[..., 0]
         new = residual(p + step)
-        gain = r @ r - new @ new
-        if gain > 0:
-            p, r, damp = p + step, new, max(damp / 5, 1e-9)
-            if gain <= 1e-12 * (new @ new):
-                break
-        else:
-            damp = min(damp * 5, 1e9)
+        cost = (new * new).sum(1)
+        gain = (r * r).sum(1) - cost
+        ok = going & (gain > 0)
+        p, r = np.where(ok[:, None], p + step, p), np.where(ok[:, None], new, r)
+        damp = np.where(gain > 0, np.maximum(damp / 5, 1e-9), np.minimum(damp * 5, 1e9))
+        going &= ~((gain > 0) & (gain <= 1e-12 * cost))
+        if not going.any():
+            break
     return p
 
 
-def fit_nonlinearity(df: DataFrame, key: str, x: str, y: str, family: str = "relu") -> DataFrame:
+def fit_nonlinearity(df: DataFrame, key: str, x: str, y: str, family: str = "relu", bins: int | None = BINS) -> DataFrame:
     """Fit a named nonlinearity of x to y for each key: key, ``params, rmse, r2, n``.
 
-    x is taken by 256 bins of each key (their means), y by counts, sums and squares, of which the squared error
-    of any function of x follows. Null and NaN values take no part; r2 is null for a constant y.
+    x is taken by ``bins`` bins of each key (their means), y by counts, sums and squares, of which the squared error
+    of any function of x follows. With bins None every distinct x is a bin, which is exact; a key's distinct values then
+    have to fit into a task. Null and NaN values take no part; r2 is null for a constant y.
     """
     f, bounds = FAMILIES[family]
     ok = df.filter(F.col(x).isNotNull() & ~F.isnan(x) & F.col(y).isNotNull() & ~F.isnan(y))
-    span = ok.groupBy(key).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    binned = ok.join(span, key).withColumn("b", bin_of(F.col(x), F.col("lo"), F.col("hi"), BINS)).groupBy(key, "b").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
+    if bins is None:
+        placed = ok.withColumn("b", F.col(x))
+    else:
+        span = ok.groupBy(key).agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
+        placed = ok.join(span, key).withColumn("b", bin_of(F.col(x), F.col("lo"), F.col("hi"), bins))
+    binned = placed.groupBy(key, "b").agg(F.count("*").alias("n"), F.avg(x).alias("x"), F.sum(y).alias("s"), F.sum(F.col(y) * F.col(y)).alias("ss"))
     rows = binned.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "n", "x", "s", "ss"))).alias("bins"))
 
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = max(len(b) for b in pdf["bins"])
+        n, xs, s, ss = (np.array([[e[c] for e in b] + [0.0] * (wide - len(b)) for b in pdf["bins"]], float) for c in ("n", "x", "s", "ss"))
+        held = np.maximum(n, 1)
+        mean, total = s / held, n.sum(1)
+        inner = (ss - s * s / held).sum(1)
+        loss = lambda p: (n[:, None] * (f(p, xs[:, None]) - mean[:, None]) ** 2).sum(-1) + inner[:, None]
+        lo, hi = np.array([bounds(float(np.abs(row).max())) for row in xs], float).transpose(2, 0, 1)
+        p = evolve(loss, lo, hi)
+        p = refine(lambda q: np.sqrt(n) * (f(q, xs) - mean), p)
+        sse = loss(p[:, None])[:, 0]
+        var = ss.sum(1) / total - (s.sum(1) / total) ** 2
+        r2 = [1 - e / t / v if v > 1e-300 else None for e, t, v in zip(sse, total, var)]
+        return pd.DataFrame({key: pdf[key], "params": list(p), "rmse": np.sqrt(sse / total), "r2": pd.Series(r2, pdf.index, dtype=float), "n": total.astype(np.int64)})
+
     def run(batches):
         for pdf in batches:
-            out = []
-            for k, bins in zip(pdf[key], pdf["bins"]):
-                n, xs, s, ss = (np.array([b[c] for b in bins], float) for c in ("n", "x", "s", "ss"))
-                mean, total = s / n, n.sum()
-                inner = (ss - s * s / n).sum()
-                loss = lambda p: (n * (f(p, xs) - mean) ** 2).sum(-1) + inner  # noqa: E731, B023
-                p = evolve(loss, bounds(xs))
-                p = refine(lambda q: np.sqrt(n) * (f(q, xs) - mean), p)  # noqa: B023
-                sse, var = float(loss(p)), float(ss.sum() / total - (s.sum() / total) ** 2)
-                out.append((k, [float(v) for v in p], float(np.sqrt(sse / total)), 1 - sse / total / var if var > 1e-300 else None, int(total)))
-            yield pd.DataFrame(out, columns=[key, "params", "rmse", "r2", "n"])
+            # cells with like numbers of bins side by side
+            pdf = pdf.iloc[np.argsort([len(b) for b in pdf["bins"]], kind="stable")]
+            for a in range(0, len(pdf), BATCH):
+                yield some(pdf.iloc[a : a + BATCH])
 
-    return spread(rows, key).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, params array<double>, rmse double, r2 double, n long")
+    got = spread(rows, key).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, params array<double>, rmse double, r2 double, n long")
+    return got.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
 
 
 def gaussians(y: np.ndarray, steps: int = 40) -> np.ndarray:
@@ -151,20 +175,22 @@ def fit_gaussian(curves: DataFrame, key: str, vec: str, length: int) -> DataFram
     return got.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
 
 
-def climb(fields: DataFrame, vec: str, shape: tuple[int, int, int, int], reach: int = 10, rounds: int = 10) -> DataFrame:
+def climb(fields: DataFrame, vec: str, shape: tuple[int, int, int, int], start: str, reach: int = 10, rounds: int = 10) -> DataFrame:
     """Coordinate ascent to each field's best feature: neuron, ``x, y, o, s, value, rounds``.
 
-    From the peak of the map of maxima over size and orientation at the middle of the field, the best (o, s) at
-    a fixed place and the best place within ``reach`` alternate until nothing changes, or ``rounds`` are over.
+    From the place in ``start`` (an array that begins with x and y; the middle of the field where it is null or lies
+    outside), usually the peak of a coarser field, the best (o, s) at a fixed place and the best place within
+    ``reach`` alternate until nothing changes, or ``rounds`` are over.
     """
     nx, ny, no, ns = shape
+    begin = [F.coalesce(F.when(F.get(start, i).between(0, n - 1), F.get(start, i)), F.lit(n // 2)).cast("int").alias(f"at{i}") for i, n in ((0, nx), (1, ny))]
 
     def run(batches):
         for pdf in batches:
             v = np.abs(np.nan_to_num(np.array(pdf[vec].tolist(), np.float64))).reshape(-1, nx, ny, no * ns)
             out = []
-            for k, a in zip(pdf["neuron"], v):
-                x, y, os, n = nx // 2, ny // 2, -1, 0
+            for k, a, x, y in zip(pdf["neuron"], v, pdf["at0"], pdf["at1"]):
+                os, n = -1, 0
                 while n < rounds:
                     n += 1
                     now = int(a[x, y].argmax())
@@ -177,17 +203,19 @@ def climb(fields: DataFrame, vec: str, shape: tuple[int, int, int, int], reach:
                 out.append((k, x, y, os // ns, os % ns, float(a[x, y, os]), n))
             yield pd.DataFrame(out, columns=["neuron", "x", "y", "o", "s", "value", "rounds"])
 
-    return fields.filter(F.size(vec) == nx * ny * no * ns).select("neuron", vec).mapInPandas(run, "neuron long, x int, y int, o int, s int, value double, rounds int")
+    return fields.filter(F.size(vec) == nx * ny * no * ns).select("neuron", vec, *begin).mapInPandas(run, "neuron long, x int, y int, o int, s int, value double, rounds int")
 
 
-def two_means(df: DataFrame, key: str, value: str, cells: int = 512, rounds: int = 50) -> DataFrame:
+def two_means(df: DataFrame, key: str, value: str, cells: int | None = 512, rounds: int = 50) -> DataFrame:
     """The middle between the two means that part each key's values best: key, ``low, high, threshold``.
 
-    Values are counted in ``cells`` cells of each key's span first, so that a long signal is a short histogram.
+    Values are counted in ``cells`` cells of each key's span first, so that a long signal is a short histogram. With
+    cells None every distinct value is one, which is exact; those of a key then have to fit into a task.
     """
     ok = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
     span = ok.groupBy(key).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    h = ok.join(span, key).groupBy(key, bin_of(F.col(value), F.col("lo"), F.col("hi"), cells).alias("b")).agg(F.count("*").alias("n"), F.avg(value).alias("v"))
+    cell = F.col(value) if cells is None else bin_of(F.col(value), F.col("lo"), F.col("hi"), cells)
+    h = ok.join(span, key).groupBy(key, cell.alias("b")).agg(F.count("*").alias("n"), F.avg(value).alias("v"))
     rows = h.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "n", "v"))).alias("h"))
 
     def run(batches):

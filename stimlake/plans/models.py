@@ -38,7 +38,8 @@ def gaussian_fit(s: SparkSession, d: str) -> DataFrame:
 
 
 def fine_search(s: SparkSession, d: str) -> DataFrame:
-    return M.climb(_rf(s, d), "rfs", (6, 2, 8, 1))
+    """Search of each recorded field from the noted peak, two places at a time."""
+    return M.climb(_rf(s, d), "rfs", (6, 2, 8, 1), "best_params", reach=2)
 
 
 def kmeans_threshold(s: SparkSession, d: str) -> DataFrame:

@@ -62,8 +62,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The regular series itself, values rounded to 6 places."""
-    return scan_grid(spark, sf_dir).select(F.col("src").alias("neuron"), "slot", F.round("t", 6).alias("t"), F.round("value", 6).alias("value"), F.round("support", 6).alias("support"), "n_readings", "missing")
+    """The regular series itself."""
+    return scan_grid(spark, sf_dir).select(F.col("src").alias("neuron"), "slot", F.round("t", 6).alias("t"), F.round("value", 3).alias("value"), F.round("support", 6).alias("support"), "n_readings", "missing")
 
 
 #: Problem 4's missing slots by plain SQL: every slot, less those with a usable reading.
@@ -77,5 +77,17 @@ h AS (SELECT DISTINCT neuron, CASE WHEN t < t0 + k * w THEN k - 1 WHEN t >= t0 +
 SELECT s.neuron, CAST(s.slot AS BIGINT) AS slot FROM s LEFT JOIN h ON s.neuron = h.neuron AND s.slot = h.slot WHERE h.slot IS NULL
 """
 
+P4_GRID_SQL = """
+WITH p AS (SELECT DISTINCT expt, scan_period FROM recordings),
+n AS (SELECT DISTINCT neuron, t0, n_scans, scan_period AS w FROM neurons JOIN p USING (expt) WHERE n_scans > 0 AND t0 IS NOT NULL),
+r AS (SELECT DISTINCT t.neuron, t.row_id, t.t, t.v, n.t0, n.w, n.n_scans, CAST(floor((t.t - n.t0) / n.w) AS BIGINT) AS k FROM trace t JOIN n USING (neuron) WHERE t.t IS NOT NULL AND t.v IS NOT NULL AND NOT isnan(t.t) AND NOT isnan(t.v)),
+f AS (SELECT *, CASE WHEN t < t0 + k * w THEN k - 1 WHEN t >= t0 + (k + 1) * w THEN k + 1 ELSE k END AS own FROM r),
+e AS (SELECT neuron, slot, (t - (t0 + slot * w + w / 2)) / (2 * w) AS u, v, own = slot AS inside FROM (SELECT *, unnest(range(own - 3, own + 4)) AS slot FROM f) WHERE slot BETWEEN 0 AND n_scans - 1),
+g AS (SELECT neuron, slot, sum(q) AS s0, sum(q * u) AS s1, sum(q * u * u) AS s2, sum(q * v) AS m0, sum(q * u * v) AS m1, sum(q * q) AS ww, count(*) FILTER (inside) AS k FROM (SELECT *, CASE WHEN abs(u) < 1 THEN (1 - abs(u) ** 3) ** 3 ELSE 0 END AS q FROM e) GROUP BY ALL)
+SELECT s.neuron, CAST(s.slot AS BIGINT) AS slot, round(t0 + s.slot * w + w / 2, 6) AS t, round(CASE WHEN s0 * s0 / nullif(ww, 0) >= 1.5 THEN CASE WHEN s0 * s2 - s1 * s1 > 1e-6 * s0 * s0 THEN (s2 * m0 - s1 * m1) / (s0 * s2 - s1 * s1) ELSE m0 / s0 END END, 3) AS value,
+  round(coalesce(s0 * s0 / nullif(ww, 0), 0), 6) AS support, CAST(coalesce(k, 0) AS INTEGER) AS n_readings, coalesce(k, 0) = 0 AS missing
+FROM (SELECT *, unnest(range(n_scans)) AS slot FROM n) s LEFT JOIN g ON s.neuron = g.neuron AND s.slot = g.slot
+"""
+
 QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p4_found": p4_found, "p4_grid": p4_grid}
-SQL = {"p4_found": P4_FOUND_SQL}
+SQL = {"p4_found": P4_FOUND_SQL, "p4_grid": P4_GRID_SQL}

@@ -117,16 +117,23 @@ def test_models(spark):
     rows = [(k, float(x), float(np.clip(1.7 * x, -0.5, 10) + rng.normal(0, 0.05))) for k in (1, 2) for x in rng.normal(0, 2, 300)] + [(3, 1.0, 1.0), (3, None, 2.0)]
     got = {r.k: r for r in models.fit_nonlinearity(spark.createDataFrame(rows, "k long, x double, y double"), "k", "x", "y").collect()}
     assert got[1].r2 > 0.98 and abs(got[1].params[1] - 1.7) < 0.1 and got[3].r2 is None
+    whole = {r.k: r for r in models.fit_nonlinearity(spark.createDataFrame(rows, "k long, x double, y double"), "k", "x", "y", bins=None).collect()}
+    assert abs(whole[1].r2 - got[1].r2) < 1e-3 and whole[1].rmse <= got[1].rmse + 1e-9
     x = np.arange(8)
     y = 3 * np.exp(-((x - 4.2) ** 2) / 2) + 1
     p = models.gaussians(np.stack([y, y * 2]))
     assert np.allclose(p[:, 1], 4.2, atol=1e-3) and np.allclose(p[0], [3, 4.2, 1, 1], atol=1e-2)
     v = np.zeros((4, 3, 2, 1))
     v[3, 2, 1, 0], v[2, 1, 1, 0] = 2.0, 1.0
-    f = spark.createDataFrame([(1, [float(a) for a in v.ravel()]), (2, None)], "neuron long, f array<double>")
-    assert [(r.x, r.y, r.o, r.value) for r in models.climb(f, "f", (4, 3, 2, 1)).collect()] == [(3, 2, 1, 2.0)]
+    f = spark.createDataFrame([(k, [float(a) for a in v.ravel()] if k != 2 else None, at) for k, at in ((1, None), (2, [0.0]), (3, [2.0, 1.0]), (4, [9.0, 1.0]))], "neuron long, f array<double>, at array<double>")
+    assert {(r.neuron, r.x, r.y, r.o, r.value) for r in models.climb(f, "f", (4, 3, 2, 1), "at").collect()} == {(k, 3, 2, 1, 2.0) for k in (1, 3, 4)}
+    v[0, 0, 0, 0] = 0.5
+    far = spark.createDataFrame([(5, [float(a) for a in v.ravel()], [0.0, 0.0])], "neuron long, f array<double>, at array<double>")
+    assert [(r.x, r.y, r.value) for r in models.climb(far, "f", (4, 3, 2, 1), "at", reach=1).collect()] == [(0, 0, 0.5)]  # a peak of its own surroundings
     t = models.two_means(spark.createDataFrame([(1, v) for v in [0.0, 0.1, 0.2] * 9 + [5.0, 5.1]], "k int, v double"), "k", "v").first()
     assert 0.2 < t.threshold < 5.0
+    t = models.two_means(spark.createDataFrame([(1, v) for v in [0.0, 0.1, 0.2] * 9 + [5.0, 5.1]], "k int, v double"), "k", "v", cells=None).first()
+    assert math.isclose(t.threshold, (0.1 + 5.05) / 2)
     a, b, c = rng.random(3) + 0.1, rng.random(2) + 0.1, rng.random(4) + 0.1
     cells = np.einsum("i,j,k->ijk", a, b, c)
     r = tuning.rank_one(spark.createDataFrame([(1, [None if i == 5 else float(x) for i, x in enumerate(cells.ravel())])], "neuron int, cells array<double>"), "neuron", (3, 2, 4)).first()
