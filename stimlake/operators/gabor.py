@@ -160,6 +160,25 @@ def normalised_magnitude(coefs: DataFrame) -> DataFrame:
     return total.select("frame", "f", "s", F.transform("m", lambda x: x / F.col("t")).alias("magnitude"))
 
 
+def drift(first: float, last: float, steps: int) -> list[float]:
+    """Phases of a filter that drifts from one phase to another in so many frames."""
+    return [first + (last - first) * i / max(steps - 1, 1) for i in range(steps)]
+
+
+def drifting_response(coefs: DataFrame, steps: int) -> DataFrame:
+    """Response to a direction of movement: ``frame, f, s, response`` in the order of (x, y, o).
+
+    coefs: coefficients of ``steps`` phases, those of a drift. The response at a frame adds up the first phase's
+    coefficient there, the second's on the next frame, and so on; frames that lack a following one have none.
+    """
+    n = (F.size("coef") / steps).cast("int")
+    step = lambda t: F.struct((F.col("frame") - t).alias("at"), F.slice("coef", t * n + 1, n).alias("c"))
+    e = coefs.dropDuplicates(["frame", "f", "s"]).select("f", "s", F.inline(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), step)))
+    g = e.groupBy(F.col("at").alias("frame"), "f", "s").agg(F.collect_list("c").alias("parts")).filter(F.size("parts") == steps)
+    total = F.aggregate("parts", F.array_repeat(F.lit(0.0), F.size(F.col("parts")[0])), lambda a, b: F.zip_with(a, b, lambda x, y: x + y))
+    return g.select("frame", "f", "s", total.alias("response"))
+
+
 def coarse(coefs: DataFrame, shape: tuple[int, int], n_theta: int, to: tuple[int, int]) -> DataFrame:
     """Coefficients and power on a coarser grid of places: ``frame, f, s, re, im, power`` in the order of (x, y, o).
 

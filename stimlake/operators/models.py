@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stimlake.operators.tuning import bin_of
@@ -125,6 +125,34 @@ def fit_nonlinearity(df: DataFrame, key: str, x: str, y: str, family: str = "rel
     return got.withColumn("r2", F.when(~F.isnan("r2"), F.col("r2")))
 
 
+def two_branches(df: DataFrame, key: str, y: str, first: str, second: str, train: Column) -> DataFrame:
+    """Whether one of two predictions, or both together, says more of a response.
+
+    On the rows that ``train`` holds for, y is fitted by a weighted sum of the two and a constant; on the others
+    the correlations with y are taken. Everything follows from sums, so one aggregation with map-side partials does.
+    Result: key, ``cc_first, cc_second``, ``best`` (1 or 2, the first if they are equal), ``w_first, w_second``,
+    ``cc_both``, ``double`` (whether both together do better) and ``n_test``. Rows with a null or NaN value take no
+    part; a correlation with a constant, and weights of predictions that are constant or proportional, are 0.
+    """
+    ok = df
+    for c in (first, second, y):
+        ok = ok.filter(F.col(c).isNotNull() & ~F.isnan(c))
+    pairs = {"aa": (first, first), "bb": (second, second), "ab": (first, second), "ay": (first, y), "by": (second, y), "yy": (y, y)}
+    part = {"t": train, "h": ~train}
+    sums = [F.covar_pop(F.when(p, F.col(a)), F.when(p, F.col(b))).alias(f"{h}_{n}") for h, p in part.items() for n, (a, b) in pairs.items()]
+    g = ok.groupBy(key).agg(*sums, F.count(F.when(~train, 1)).alias("n_test"))
+    c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
+    over = lambda a, b: F.coalesce(F.when(b > 0, a / b), F.lit(0.0))
+    det = c("t_aa") * c("t_bb") - c("t_ab") * c("t_ab")
+    good = det > 1e-12 * c("t_aa") * c("t_bb")
+    w1 = F.when(good, (c("t_ay") * c("t_bb") - c("t_by") * c("t_ab")) / det).otherwise(0.0)
+    w2 = F.when(good, (c("t_by") * c("t_aa") - c("t_ay") * c("t_ab")) / det).otherwise(0.0)
+    g = g.withColumns({"w_first": w1, "w_second": w2, "cc_first": over(c("h_ay"), F.sqrt(c("h_aa") * c("h_yy"))), "cc_second": over(c("h_by"), F.sqrt(c("h_bb") * c("h_yy")))})
+    a, b = F.col("w_first"), F.col("w_second")
+    g = g.withColumn("cc_both", over(a * c("h_ay") + b * c("h_by"), F.sqrt((a * a * c("h_aa") + 2 * a * b * c("h_ab") + b * b * c("h_bb")) * c("h_yy"))))
+    return g.select(key, "cc_first", "cc_second", F.when(F.col("cc_first") >= F.col("cc_second"), 1).otherwise(2).alias("best"), "w_first", "w_second", "cc_both", (F.col("cc_both") > F.greatest("cc_first", "cc_second")).alias("double"), "n_test")
+
+
 def gaussians(y: np.ndarray, steps: int = 40) -> np.ndarray:
     """Height, centre, width and offset of a Gaussian fitted to each row of y; the centre stays on the curve."""
     n, length = y.shape

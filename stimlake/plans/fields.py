@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stimlake import config
 from stimlake.operators import correlate as C
 from stimlake.operators import gabor as G
-from stimlake.tables import maybe_broadcast, table
+from stimlake.operators.models import two_branches
+from stimlake.tables import cut, maybe_broadcast, table
 
 NX = NY = 8
 RUN = config.settings({"N_thetas": "4", "Sigmas": "[1, 1.5]"}, {"NX": "8", "NY": "8", "Sigmas": "[1, 1.5]", "Analysis Coverage": "[-135, 45, 34, -34]"})
@@ -94,6 +97,26 @@ def preferred_series(s: SparkSession, d: str) -> DataFrame:
     return C.preferred_series(_power(s, d), best).withColumn("value", F.round("value", 5))
 
 
+def branch_choice(s: SparkSession, d: str) -> DataFrame:
+    """For each neuron whether its strongest feature, the second one or both together say more of its response, fitted on
+    every other frame and judged on the rest."""
+    power = cut(_power(s, d), "power")
+    field = C.cross_correlation(power, responses(s, d), n_features=N_FEATURES, n_neurons=N_LABELS)
+    top = cut(C.strongest(field.withColumn("r", F.round(C.corrected(F.col("r")), 7)), 2).select("neuron", "feature", "place"), "top")
+    one, two = (C.preferred_series(power, top.filter(F.col("place") == k).select("neuron", "feature")).withColumnRenamed("value", n) for k, n in ((1, "first"), (2, "second")))
+    y = responses(s, d).select("frame", F.posexplode("resp").alias("neuron", "y"))
+    rows = one.join(two, ["neuron", "frame"]).join(y, ["neuron", "frame"])
+    got = two_branches(rows, "neuron", "y", "first", "second", F.pmod("frame", F.lit(2)) == 0)
+    return got.select("neuron", "best", "double", "n_test", *[F.round(c, 6).alias(c) for c in ("cc_first", "cc_second", "w_first", "w_second", "cc_both")])
+
+
+def direction_response(s: SparkSession, d: str) -> DataFrame:
+    """Responses to filters that drift by an eighth of a cycle in three frames."""
+    k = G.kernels(G.parameters(s, THETAS, SIGMAS[:1], G.drift(0.0, math.pi / 4, 3)))
+    e = G.drifting_response(G.project(G.sign_frames(frames(s, d)), k, NX, NY), 3).select("frame", F.posexplode("response").alias("feature", "response"))
+    return e.withColumn("response", F.round("response", 5))
+
+
 def rf_table_peaks(s: SparkSession, d: str) -> DataFrame:
     """Peaks of the recorded fields of all neurons, in degrees."""
     rows = table(s, d, "rf").filter("rfs IS NOT NULL").dropDuplicates(["neuron"])
@@ -131,6 +154,9 @@ def frame_downsample(s: SparkSession, d: str) -> DataFrame:
 _AXES = "(SELECT CAST(unnest(range(8)) AS INTEGER) AS x), (SELECT CAST(unnest(range(8)) AS INTEGER) AS y), (SELECT o, o * pi() / 4 AS theta FROM (SELECT CAST(unnest(range(4)) AS INTEGER) AS o)), (VALUES (0, 1.0::DOUBLE), (1, 1.5::DOUBLE)) g(s, sigma), (VALUES (0, 0.0::DOUBLE), (1, pi() / 2)) q(phase, off)"
 
 
+_DRIFT = _AXES.replace("(0, 1.0::DOUBLE), (1, 1.5::DOUBLE)", "(0, 1.0::DOUBLE)").replace("(1, pi() / 2)", "(1, pi() / 8), (2, pi() / 4)")
+
+
 def _bank_sql(axes: str, nx: int, ny: int) -> str:
     return f"""(SELECT *, exp(-0.5 * (a * a + b * b) / (sigma * sigma)) / (2 * pi() * sigma * sigma) * cos(2 * pi() * (-0.016 * sigma + 0.148) * a + off) AS w FROM (
       SELECT x, y, o, s, phase, sigma, off, CAST((y + c) * {nx} + x + r AS INTEGER) AS pixel, c * cos(theta) + r * sin(theta) AS a, -c * sin(theta) + r * cos(theta) AS b FROM (
@@ -157,6 +183,8 @@ QUERIES = {
     "rf_peak": rf_peak,
     "rf_table_peaks": rf_table_peaks,
     "field_images": field_images,
+    "branch_choice": branch_choice,
+    "direction_response": direction_response,
     "coarse_power": coarse_power,
     "preferred_series": preferred_series,
     "coarse_frames": coarse_frames,
@@ -183,6 +211,15 @@ SQL = {
     "field_images": f"SELECT neuron, round(sum(v * v), 5) AS energy, round(max(abs(v)), 6) AS top FROM (SELECT neuron, pixel, sum(r * w) AS v FROM (SELECT neuron, r, CAST(i // 16 AS INTEGER) AS x, CAST(i % 16 // 8 AS INTEGER) AS y, CAST(i % 8 AS INTEGER) AS o FROM {_E}) JOIN {_bank_sql(_AX6, 6, 2)} USING (x, y, o) GROUP BY ALL) GROUP BY neuron",
     "coarse_power": f"""WITH h AS {_HALVE.format(n=8)}, c AS (SELECT frame, s, x, y, o, sum(coef) FILTER (phase = 0) AS re, sum(coef) FILTER (phase = 1) AS im, sum(coef * coef) AS p FROM {_COEF} GROUP BY ALL)
         SELECT frame, s, CAST(a.m AS INTEGER) AS x, CAST(b.m AS INTEGER) AS y, o, round(sum(a.w * b.w * re), 5) AS re, round(sum(a.w * b.w * im), 5) AS im, round(sum(a.w * b.w * p), 5) AS power FROM c JOIN h a ON a.k = c.x JOIN h b ON b.k = c.y GROUP BY frame, s, a.m, b.m, o""",
+    "branch_choice": f"""WITH p AS MATERIALIZED (SELECT * FROM {_POW}), k AS (SELECT neuron, feature, row_number() OVER (PARTITION BY neuron ORDER BY abs(round(r, 7)) DESC, feature) AS n FROM {_RF}),
+        a AS (SELECT a.neuron, x.frame, x.p AS a, z.p AS b, CAST(e.label = a.neuron AS DOUBLE) AS y, x.frame % 2 = 0 AS t FROM k a JOIN k b ON a.neuron = b.neuron AND a.n = 1 AND b.n = 2 JOIN p x ON x.feature = a.feature JOIN p z ON z.feature = b.feature AND z.frame = x.frame JOIN embeddings e ON e.vec_id = x.frame),
+        c AS (SELECT neuron, covar_pop(a, a) FILTER (t) AS taa, covar_pop(b, b) FILTER (t) AS tbb, covar_pop(a, b) FILTER (t) AS tab, covar_pop(a, y) FILTER (t) AS tay, covar_pop(b, y) FILTER (t) AS tby,
+          covar_pop(a, a) FILTER (NOT t) AS haa, covar_pop(b, b) FILTER (NOT t) AS hbb, covar_pop(a, b) FILTER (NOT t) AS hab, covar_pop(a, y) FILTER (NOT t) AS hay, covar_pop(b, y) FILTER (NOT t) AS hby, covar_pop(y, y) FILTER (NOT t) AS hyy, count(*) FILTER (NOT t) AS n_test FROM a GROUP BY neuron),
+        w AS (SELECT *, (tay * tbb - tby * tab) / (taa * tbb - tab * tab) AS w1, (tby * taa - tay * tab) / (taa * tbb - tab * tab) AS w2, hay / sqrt(haa * hyy) AS c1, hby / sqrt(hbb * hyy) AS c2 FROM c),
+        b AS (SELECT *, (w1 * hay + w2 * hby) / sqrt((w1 * w1 * haa + 2 * w1 * w2 * hab + w2 * w2 * hbb) * hyy) AS c12 FROM w)
+        SELECT neuron, CASE WHEN c1 >= c2 THEN 1 ELSE 2 END AS best, c12 > greatest(c1, c2) AS double, n_test, round(c1, 6) AS cc_first, round(c2, 6) AS cc_second, round(w1, 6) AS w_first, round(w2, 6) AS w_second, round(c12, 6) AS cc_both FROM b""",
+    "direction_response": f"""WITH c AS (SELECT frame - phase AS frame, x, y, o, sum(w * v) AS coef FROM {_PIX} JOIN {_bank_sql(_DRIFT, 8, 8)} USING (pixel) GROUP BY frame, phase, x, y, o)
+        SELECT frame, CAST(x * 32 + y * 4 + o AS INTEGER) AS feature, round(sum(coef), 5) AS response FROM c GROUP BY frame, x, y, o HAVING count(*) = 3""",
     "preferred_series": f"WITH k AS (SELECT neuron, arg_max(feature, (round(abs(r), 7), -feature)) AS feature FROM {_RF} GROUP BY neuron) SELECT neuron, frame, round(p, 5) AS value FROM k JOIN {_POW} USING (feature)",
     "frame_downsample": f"""WITH h AS {_HALVE.format(n=6)}, v AS (SELECT vec_id AS frame, i % 8 - 1 AS x, i // 8 - 1 AS y, CAST(embedding[i + 1] > 0 AS INTEGER) AS v FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) WHERE i % 8 BETWEEN 1 AND 6 AND i // 8 BETWEEN 1 AND 6),
         z AS (SELECT frame, a.m AS my, b.m AS mx, CAST(round(sum(a.w * b.w * v), 9) >= 0.5 AS INTEGER) AS v FROM v JOIN h a ON a.k = v.y JOIN h b ON b.k = v.x GROUP BY ALL) SELECT frame, string_agg(v, '' ORDER BY my, mx) AS pixels FROM z GROUP BY frame""",

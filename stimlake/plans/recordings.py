@@ -48,6 +48,11 @@ def p1_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return implausible(spark, sf_dir).groupBy("tbl", "src", "channel", "flag").agg(F.count("*").alias("n"), F.min("t").alias("t_first"), F.max("t").alias("t_last"))
 
 
+def p1_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the flags that hard bounds decide alone."""
+    return implausible(spark, sf_dir).filter(F.col("flag") == "out_of_range").select("tbl", "row_id")
+
+
 def scan_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every scan slot of every neuron with a trace."""
     periods = table(spark, sf_dir, "recordings").select("expt", F.col("scan_period").alias("width")).dropDuplicates(["expt"])
@@ -89,5 +94,10 @@ SELECT s.neuron, CAST(s.slot AS BIGINT) AS slot, round(t0 + s.slot * w + w / 2,
 FROM (SELECT *, unnest(range(n_scans)) AS slot FROM n) s LEFT JOIN g ON s.neuron = g.neuron AND s.slot = g.slot
 """
 
-QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p4_found": p4_found, "p4_grid": p4_grid}
-SQL = {"p4_found": P4_FOUND_SQL, "p4_grid": P4_GRID_SQL}
+P1_OUT_SQL = """
+SELECT DISTINCT 'timeline' AS tbl, row_id FROM timeline r JOIN channels c ON lower(trim(r.channel)) = lower(trim(c.channel)) WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND expt IS NOT NULL AND NOT (v BETWEEN v_min AND v_max)
+UNION ALL SELECT DISTINCT 'trace', row_id FROM trace JOIN channels c ON lower(trim(c.channel)) = 'cell_trace' WHERE t IS NOT NULL AND NOT isnan(t) AND v IS NOT NULL AND NOT isnan(v) AND neuron IS NOT NULL AND NOT (v BETWEEN v_min AND v_max)
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_flags": p1_flags, "p1_out_of_range": p1_out_of_range, "p4_found": p4_found, "p4_grid": p4_grid}
+SQL = {"p1_out_of_range": P1_OUT_SQL, "p4_found": P4_FOUND_SQL, "p4_grid": P4_GRID_SQL}
