@@ -7,7 +7,8 @@ postings of its pivots are gathered, candidates are ranked by the footrule dista
 the best ones are reranked by their exact cosine. The best of all parts are the result.
 
 How it is spread: the number of pivots grows with the square root of the number of vectors, so parts and the work
-of a query grow with that root, and no part of the index meets all queries. One pass counts what each part will
+of a query grow with that root, and no part of the index meets all queries. The nearest pivots themselves are found
+through runs of near pivots, at a cost that grows with the fourth root. One pass counts what each part will
 hold; parts above ``block_rows`` vectors are salted, neighbouring small ones share a task, and a task that too
 many queries visit is split by query. The second pass shuffles every vector once and each query to the few tasks
 that hold its parts. Only the k best of each query and task are shuffled further. Copies of a vector are thinned
@@ -28,6 +29,8 @@ from stimlake.tables import maybe_broadcast
 
 #: Most pivots; their table (6 MB at 96 elements) goes to every task.
 MAX_PIVOTS = 16_384
+#: Runs of near pivots in which the nearest pivots of a vector are looked for; twice as many for a query.
+RUNS = 8
 #: Queries (one number each) up to which their table is broadcast; more are joined by shuffle.
 MAX_ASKED = 2_000_000
 #: Scores of queries and candidates that a task holds at a time.
@@ -51,11 +54,41 @@ def to_unit(out: np.ndarray) -> np.ndarray:
     return (out / np.where(norm > 0, norm, 1)[:, None]).astype(np.float32)
 
 
-def nearest_pivots(x: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
-    """The ``length`` nearest pivots of each row, nearest first."""
-    s = x @ pivots.T
-    top = np.argpartition(-s, length - 1, axis=1)[:, :length] if length < len(pivots) else np.tile(np.arange(len(pivots)), (len(x), 1))
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+class Pivots:
+    """Pivots in runs of near ones, of about the root of their number each.
+
+    The nearest pivots of a vector are looked for in the runs whose means are nearest to it, so its cost grows with
+    the root of the number of pivots.
+    """
+
+    def __init__(self, pivots: np.ndarray):
+        self.all = line_up(pivots)
+        self.run = max(1, math.ceil(math.sqrt(len(self.all))))
+        self.middles = np.stack([self.all[i : i + self.run].mean(0) for i in range(0, len(self.all), self.run)]) if len(self.all) else self.all
+
+    def __len__(self) -> int:
+        return len(self.all)
+
+    def nearest(self, x: np.ndarray, length: int, runs: int | None) -> np.ndarray:
+        """The ``length`` nearest pivots of each row, nearest first, out of the ``runs`` nearest runs (None: of all)."""
+        if runs is not None:
+            runs = max(runs, math.ceil(length / self.run) + 1)
+        if runs is None or runs >= len(self.middles):
+            at, s = None, x @ self.all.T
+        else:
+            near = np.argpartition(-(x @ self.middles.T), runs - 1, axis=1)[:, :runs]
+            s = np.full((len(x), runs, self.run), -4, np.float32)
+            order = np.argsort(near, axis=None, kind="stable")
+            ends = np.searchsorted(near.ravel()[order], np.arange(len(self.middles) + 1))
+            for k in np.flatnonzero(np.diff(ends)):
+                row, place = np.divmod(order[ends[k] : ends[k + 1]], runs)
+                own = self.all[k * self.run : (k + 1) * self.run]
+                s[row, place, : len(own)] = x[row] @ own.T
+            at = (near[:, :, None] * self.run + np.arange(self.run)).reshape(len(x), runs * self.run)
+            s = s.reshape(len(x), runs * self.run)
+        top = np.argpartition(-s, length - 1, axis=1)[:, :length] if length < s.shape[1] else np.tile(np.arange(s.shape[1]), (len(x), 1))
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1, kind="stable"), 1)
+        return top if at is None else np.take_along_axis(at, top, 1)
 
 
 def line_up(pivots: np.ndarray) -> np.ndarray:
@@ -113,7 +146,7 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
 def search_part(x: np.ndarray, perm: np.ndarray, ids: np.ndarray, q: np.ndarray, q_perm: np.ndarray, n_pivots: int, candidates: int | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Top k of a part of the index for each query: query row, vector row, cosine; equal cosines by rising id."""
     rows, begin, count = copies(x)
-    lists = perm[rows[begin]]
+    lists, first = perm[rows[begin]], x[rows[begin]]
     n, length = lists.shape
     longest = max(length, q_perm.shape[1])
     flat = lists.ravel()
@@ -134,11 +167,13 @@ def search_part(x: np.ndarray, perm: np.ndarray, ids: np.ndarray, q: np.ndarray,
         if candidates is not None and n > candidates:
             # with all that are tied with the last
             fit &= score >= np.partition(score, n - candidates, axis=1)[:, n - candidates, None]
-        i, j = np.nonzero(fit)
-        for b in range(0, len(i), 100_000):
-            m = count[j[b : b + 100_000]]
-            some, mine = rows[ranges(begin[j[b : b + 100_000]], m)], np.repeat(i[b : b + 100_000], m)
-            got.append((a + mine, some, np.einsum("ij,ij->i", x[some], q[a + mine], dtype=np.float64)))
+        # rerank: the k best candidates, and what is tied with the last of them but for rounding
+        cos = np.where(fit, q[a : a + len(asked)] @ first.T, np.float32(-9))
+        last = np.partition(cos, n - k, axis=1)[:, n - k, None] if n > k else np.float32(-9)
+        i, j = np.nonzero(fit & (cos >= last - 1e-6))
+        m = count[j]
+        some, mine = rows[ranges(begin[j], m)], a + np.repeat(i, m)
+        got.append((mine, some, np.einsum("ij,ij->i", x[some], q[mine], dtype=np.float64)))
     if not got:
         return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     i, j, cos = (np.concatenate(z) for z in zip(*got))
@@ -149,8 +184,8 @@ def search_part(x: np.ndarray, perm: np.ndarray, ids: np.ndarray, q: np.ndarray,
     cos = np.maximum.reduceat(cos, np.flatnonzero(np.r_[True, level[1:] != level[:-1]]))[level] if len(cos) else cos
     best = np.lexsort((ids[j], level))
     i, j, cos = i[best], j[best], cos[best]
-    first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
-    top = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) < k
+    begin = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.zeros(0, int)
+    top = np.arange(len(i)) - np.repeat(begin, np.diff(np.r_[begin, len(i)])) < k
     return i[top], j[top], cos[top]
 
 
@@ -222,7 +257,8 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
     usable = F.col("id").isNotNull() & (F.size("vec") == dim) & F.exists("vec", lambda e: (e != 0) & ~F.isnan(e))
     sample = v.filter(few).filter(usable).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(want).select("vec").toPandas()  # bounded: the pivots
     base = unit_rows(sample["vec"], dim)
-    base = line_up(base[np.unique(np.round(base * 4096), axis=0, return_index=True)[1]])  # copies are one pivot
+    base = Pivots(base[np.unique(np.round(base * 4096), axis=0, return_index=True)[1]])  # copies are one pivot
+    runs, q_runs = (None, None) if visits is None else (RUNS, 2 * RUNS)
     length = max(1, min(length or len(base), len(base)))
     reach = max(1, min(visits or len(base), len(base)))
     longest = max(length, reach)
@@ -246,8 +282,8 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
         for pdf in batches:
             _, x, _, who, posted = rows_of(pdf)
             if len(x):
-                held += np.bincount((x[posted] @ base.T).argmax(1), minlength=len(base))
-                asking += np.bincount(nearest_pivots(x[who], base, reach).ravel(), minlength=len(base))
+                held += np.bincount(base.nearest(x[posted], 1, runs)[:, 0], minlength=len(base))
+                asking += np.bincount(base.nearest(x[who], reach, q_runs).ravel(), minlength=len(base))
         some = np.flatnonzero(held + asking)
         yield pd.DataFrame({"part": some, "held": held[some], "asking": asking[some]})
 
@@ -262,7 +298,7 @@ def most_similar(vectors: DataFrame, queries: DataFrame, *, dim: int, k: int = 5
             raw, x, ids, who, posted = rows_of(pdf)
             if not len(x) or not len(base):
                 continue
-            perm, q_perm = nearest_pivots(x, base, length).astype(np.int16), nearest_pivots(x[who], base, longest).astype(np.int16)
+            perm, q_perm = base.nearest(x, length, runs).astype(np.int16), base.nearest(x[who], longest, q_runs).astype(np.int16)
             home, task = plan.homes(perm[posted, 0].astype(np.int64), ids[posted])
             home = posted[home]
             go, to = plan.visited(q_perm[:, :reach].astype(np.int64), ids[who])

@@ -3,7 +3,7 @@ import math
 import numpy as np
 
 from stimlake.llm.clusters import dense_places, describe, located_clusters, propagate, tables
-from stimlake.llm.knn import Layout, most_similar, thin_copies
+from stimlake.llm.knn import Layout, Pivots, most_similar, thin_copies
 
 DIM = 24
 
@@ -48,6 +48,20 @@ def test_search_in_full_is_exact(spark):
         assert [got[i, p] for p in range(1, 6)] == np.argsort(-s)[:5].tolist()
 
 
+def test_nearest_pivots_through_runs():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((40, 24))
+    p, x = (unit(np.repeat(centres, k, 0) + 0.3 * rng.standard_normal((40 * k, 24))).astype(np.float32) for k in (8, 5))
+    found = Pivots(p)
+    assert sorted(map(tuple, found.all)) == sorted(map(tuple, p))
+    exact = np.argsort(-(x @ found.all.T), axis=1, kind="stable")[:, :5]
+    assert (found.nearest(x, 5, None) == exact).all()
+    some = found.nearest(x, 5, 6)
+    assert np.mean([len(set(a) & set(b)) for a, b in zip(exact.tolist(), some.tolist())]) > 4.5
+    assert (np.diff(np.take_along_axis(x @ found.all.T, some, 1), axis=1) <= 1e-6).all()
+    assert Pivots(p[:1]).nearest(x[:3], 1, 8).tolist() == [[0]] * 3 and found.nearest(x[:2], 320, 1).shape == (2, 320) and found.nearest(x[:0], 5, 6).shape == (0, 5)
+
+
 def test_parts_of_the_index():
     x = np.repeat(np.eye(4, dtype=np.float32), 3, 0)
     assert thin_copies(x, np.array([9, 5, 5, 1, 2, 3, 4, 4, 4, 7, 6, 8]), 2).tolist() == [0, 1, 3, 4, 6, 9, 10]
