@@ -60,8 +60,10 @@ def radius_counts(points: DataFrame, centres: DataFrame, radius: float, n_values
 
     keys = ["gy", "gx", "salt"]
     parts = p.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(run, "id long, counts array<long>")
-    flat = parts.select("id", F.posexplode("counts").alias("k", "n")).groupBy("id", "k").agg(F.sum("n").alias("n"))
-    return flat.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda e: e["n"]).alias("counts"))
+    # one part for each salt of a centre's square
+    zeros = F.transform(F.col("parts")[0], lambda n: F.lit(0).cast("long"))
+    added = F.aggregate("parts", zeros, lambda x, y: F.zip_with(x, y, lambda a, b: a + b))
+    return parts.groupBy("id").agg(F.collect_list("counts").alias("parts")).select("id", added.alias("counts"))
 
 
 def median_of_counts(counts: str, axis: int, n_values: int):

@@ -62,9 +62,8 @@ def trial_windows(s: SparkSession, d: str) -> DataFrame:
 
 def trial_samples(s: SparkSession, d: str) -> DataFrame:
     """Encoder movement of each trial."""
-    inside = align.in_windows(channel(s, d, "rotary_encoder"), trial_windows(s, d)).filter(usable("v"))
-    clipped = F.least(F.greatest("v", F.lit(-10.0)), F.lit(10.0))
-    return inside.groupBy("expt", "trial").agg(F.count("*").alias("n"), F.round(F.sum(clipped), 6).alias("moved"))
+    moved = possible(s, d, channel(s, d, "rotary_encoder").filter(usable("v")), "rotary_encoder")
+    return align.in_windows(moved, trial_windows(s, d)).groupBy("expt", "trial").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("moved"))
 
 
 def asof_backward(s: SparkSession, d: str) -> DataFrame:
@@ -194,7 +193,7 @@ SQL = {
     "sync_flips_falling": f"SELECT expt, id0 AS id, t0 AS t, high FROM ({_EDGE}) WHERE was AND NOT high",
     "frame_rises": f"SELECT expt, id, t, v FROM (SELECT *, lag(v) OVER (PARTITION BY expt ORDER BY t, id) AS was FROM ({_CH.format('neuralframes')}) WHERE {_OK}) WHERE v > was",
     "trial_windows": _TRIALS,
-    "trial_samples": f"SELECT s.expt, trial, count(*) AS n, round(sum(least(greatest(v, -10.0), 10.0)), 6) AS moved FROM ({_CH.format('rotary_encoder')}) s JOIN ({_TRIALS}) w ON s.expt = w.expt AND s.t >= t_start AND s.t < t_end WHERE {_OK} GROUP BY s.expt, trial",
+    "trial_samples": f"SELECT s.expt, trial, count(*) AS n, round(sum(v), 6) AS moved FROM ({_CH.format('rotary_encoder')}) s JOIN ({_TRIALS}) w ON s.expt = w.expt AND s.t >= t_start AND s.t < t_end WHERE {_OK} AND {span_sql('s.v', chr(39) + 'rotary_encoder' + chr(39))} GROUP BY s.expt, trial",
     "asof_backward": _ASOF + "f.t >= k.t",
     "asof_forward": _ASOF + "f.t <= k.t",
     "asof_strict": _ASOF + "f.t < k.t",

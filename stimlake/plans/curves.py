@@ -207,6 +207,15 @@ def signed_angle(s: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", F.round(P.signed_angle(*x), 5).alias("angle"), F.round(X.angle_unsigned(F.array(x[0], x[1]), F.array(x[2], x[3])), 5).alias("unsigned"))
 
 
+def event_numbers(s: SparkSession, d: str) -> DataFrame:
+    """What events say: a number of their JSON text, as a label in multiples of pi, their value in 8 bits of its type's
+    greatest, and the numbers of the message made of them."""
+    e = table(s, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    top = e.groupBy("event_type").agg(X.finite_top(F.col("value")).alias("top"))
+    label = X.pi_label((F.pmod("k", F.lit(5)) - 2) * math.pi)
+    return e.join(top, "event_type").select("event_id", "k", label.alias("label"), X.to_byte(F.col("value"), F.lit(0.0), F.col("top")).alias("byte"), *P.split_words(F.concat_ws(" ", "event_type", "k", "value"), 2))
+
+
 def relu_sigmoid_predict(s: SparkSession, d: str) -> DataFrame:
     p = pairs(s, d)
     x = X.weighted([F.col("c"), F.col("s")], [1.5, -0.5])
@@ -286,6 +295,7 @@ QUERIES = {n: _smooth(k, edge=e) for n, (k, e) in _KERNELS.items()} | {
     "stim_contrast_mean": stim_contrast_mean,
     "param_sweep": param_sweep,
     "signed_angle": signed_angle,
+    "event_numbers": event_numbers,
     "relu_sigmoid_predict": relu_sigmoid_predict,
 }
 SQL = {n: _kernel_sql(k, e) for n, (k, e) in _KERNELS.items()} | {
@@ -318,5 +328,7 @@ SQL = {n: _kernel_sql(k, e) for n, (k, e) in _KERNELS.items()} | {
     "stim_contrast_mean": "SELECT l_suppkey, l_returnflag, round(avg(l_extendedprice), 4) AS mean, count(l_extendedprice) AS n FROM lineitem WHERE l_linestatus <> 'O' GROUP BY ALL",
     "param_sweep": "SELECT CAST(a * 5 + plane AS INTEGER) AS run, threshold, plane, CAST(count(*) FILTER (floor(v) < threshold) AS BIGINT) AS n FROM (VALUES (0, 500.0::DOUBLE), (1, 1000.0::DOUBLE), (2, 2000.0::DOUBLE)) g(a, threshold), trace WHERE v IS NOT NULL AND NOT isnan(v) AND plane BETWEEN 0 AND 4 GROUP BY ALL",
     "signed_angle": "SELECT vec_id, round(CASE WHEN a[1] * a[4] - a[2] * a[3] < 0 THEN -1 ELSE 1 END * u, 5) AS angle, round(u, 5) AS unsigned FROM (SELECT vec_id, a, degrees(acos(greatest(least((a[1] * a[3] + a[2] * a[4]) / (sqrt(a[1] ** 2 + a[2] ** 2) * sqrt(a[3] ** 2 + a[4] ** 2)), 1), -1))) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a FROM embeddings))",
+    "event_numbers": """SELECT event_id, k, CASE k % 5 - 2 WHEN 0 THEN '0' WHEN 1 THEN 'π' WHEN -1 THEN '-π' ELSE (k % 5 - 2) || 'π' END AS label, CAST(trunc(greatest(least(value / top, 1), 0) * 255) AS INTEGER) AS byte, CAST(k AS DOUBLE) AS v0, value AS v1
+        FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k, max(abs(value)) OVER (PARTITION BY event_type) AS top FROM events)""",
     "relu_sigmoid_predict": f"SELECT expt, i, round(4 / (1 + exp(-1.2 * (x - 0.3))), 6) AS sigmoid, round(least(greatest(x, 0.1), 10000), 6) AS relu, round(exp(-((x - 0.2) * (x - 0.2)) / (2 * 0.49)) / (0.7 * sqrt(2 * pi())), 6) AS gaussian, round(exp(-abs(x) / 1.8) / 1.8 * 0.5 * (sign(abs(x)) + 1), 6) AS decay FROM (SELECT expt, i, c * 1.5 - s * 0.5 AS x FROM ({_P}))",
 }

@@ -36,15 +36,16 @@ class _Rows(InputPartition):
 
 
 class _NpyReader(DataSourceReader):
-    def __init__(self, path: str, rows: int):
-        self.path, self.rows = path, rows
+    def __init__(self, path: str, rows: int, first: int, end: int | None):
+        self.path, self.rows, self.first, self.end = path, rows, first, end
 
     def partitions(self):
         _, shape, fortran, _ = npy_header(self.path)
         if fortran and len(shape) > 1:
             raise ValueError(f"{self.path} is in column order; write it in row order first")
         n = shape[0] if shape else 1
-        return [_Rows(a, min(self.rows, n - a)) for a in range(0, n, self.rows)] or [_Rows(0, 0)]
+        first, end, _ = slice(self.first, self.end).indices(n)
+        return [_Rows(a, min(self.rows, end - a)) for a in range(first, end, self.rows)] or [_Rows(0, 0)]
 
     def read(self, p):
         dtype, shape, _, offset = npy_header(self.path)
@@ -60,7 +61,8 @@ class NpySource(DataSource):
     """``spark.read.format("npy").load(path)``: one row for each place on the first axis: ``i, values``.
 
     Values are the other axes in C-order, as doubles. Each partition seeks to its own rows, so nobody reads the
-    whole file; it must lie where all executors see it.
+    whole file; it must lie where all executors see it. The options ``first`` and ``end`` (as in a slice) leave out rows
+    before they are read.
     """
 
     @classmethod
@@ -71,27 +73,45 @@ class NpySource(DataSource):
         return "i long, values array<double>"
 
     def reader(self, schema):
-        return _NpyReader(self.options["path"], int(self.options.get("rows", ROWS_PER_PARTITION)))
+        o = self.options
+        return _NpyReader(o["path"], int(o.get("rows", ROWS_PER_PARTITION)), int(o.get("first", 0)), int(o["end"]) if o.get("end") else None)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(NpySource)
 
 
-def load_array(spark: SparkSession, path: str, *, missing_ok: bool = False) -> DataFrame | None:
-    """An array as a table: a parquet sibling of the path if there is one, else the .npy file itself."""
+def load_array(spark: SparkSession, path: str, *, missing_ok: bool = False, rows: tuple[int, int] | None = None) -> DataFrame | None:
+    """An array as a table: a parquet sibling of the path if there is one, else the .npy file itself.
+
+    rows: only those places of the first axis, begin and end; of a table the filter on ``i`` goes to its scan, of a file
+    the others are never read.
+    """
     stem = os.path.splitext(path)[0]
     for candidate in dict.fromkeys((path if path.endswith(".parquet") else f"{stem}.parquet", path)):
         if os.path.exists(candidate):
             if candidate.endswith(".parquet"):
-                return spark.read.parquet(candidate)
+                df = spark.read.parquet(candidate)
+                return df if rows is None else df.filter((F.col("i") >= rows[0]) & (F.col("i") < rows[1]))
             register(spark)
-            return spark.read.format("npy").load(candidate)
+            part = {} if rows is None else {"first": str(rows[0]), "end": str(max(rows))}
+            return spark.read.format("npy").options(**part).load(candidate)
     if missing_ok:
         return None
     raise FileNotFoundError(path)
 
 
+def save_results(results: dict[str, DataFrame], path: str) -> None:
+    """Write the tables of an analysis (fields, peaks, fits, scores) under one folder, each by its name."""
+    for name, df in results.items():
+        df.write.mode("overwrite").option("compression", "zstd").parquet(os.path.join(path, f"{name}.parquet"))
+
+
+def load_results(spark: SparkSession, path: str, *names: str) -> dict[str, DataFrame]:
+    """The tables that save_results wrote."""
+    return {n: spark.read.parquet(os.path.join(path, f"{n}.parquet")) for n in names}
+
+
 def resolve(name: str, roots: list[str]) -> str:
     """The first of the roots' files of that name."""
     for r in roots:

@@ -7,8 +7,8 @@ import pytest
 
 from stimlake import config
 from stimlake import functions as X
-from stimlake.operators import correlate, gabor, models, responses, smoothing, spatial, tuning
-from stimlake.sources import cached, load_array, resolve, text_log
+from stimlake.operators import correlate, gabor, models, protocol, responses, smoothing, spatial, tuning
+from stimlake.sources import cached, load_array, load_results, resolve, save_results, text_log
 from stimlake.streaming import delivery_rates, once
 
 
@@ -186,6 +186,10 @@ def test_sources(spark, tmp_path):
     np.save(tmp_path / "a.npy", a)
     got = load_array(spark, str(tmp_path / "a.npy")).orderBy("i").collect()
     assert [r["values"] for r in got] == a.tolist()
+    assert [r.i for r in load_array(spark, str(tmp_path / "a.npy"), rows=(1, 3)).orderBy("i").collect()] == [1, 2]
+    assert load_array(spark, str(tmp_path / "a.npy"), rows=(2, 2)).count() == 0 and load_array(spark, str(tmp_path / "a.npy"), rows=(2, 9)).count() == 1
+    save_results({"fits": spark.range(4), "peaks": spark.range(2)}, str(tmp_path / "run"))
+    assert {n: d.count() for n, d in load_results(spark, str(tmp_path / "run"), "fits", "peaks").items()} == {"fits": 4, "peaks": 2}
     spark.range(5).write.parquet(str(tmp_path / "a.parquet"))
     assert load_array(spark, str(tmp_path / "a.npy")).count() == 5  # the table beside it comes first
     assert load_array(spark, str(tmp_path / "b.npy"), missing_ok=True) is None
@@ -244,3 +248,50 @@ def test_hann_goes_round():
     v[0, 2, 0, 1] = 1.0
     s = tuning.hann_volume(v, 3)
     assert math.isclose(s.sum(), 1.0) and math.isclose(s[0, 2, 5, 1], s[0, 2, 1, 1])
+
+
+def test_cells_maps_and_sets(spark):
+    c = spark.createDataFrame([(1, True, 1), (2, False, 1), (3, None, 1), (4, True, 0), (5, True, None), (6, True, 2), (6, True, 2), (None, True, 1)], "neuron long, iscell boolean, plane int")
+    peaks = spark.createDataFrame([(1, 0.5), (6, 0.2), (6, 0.3), (4, 0.9)], "neuron long, peak double")
+    assert {(r.neuron, r.peak) for r in spatial.select_cells(c, peaks=peaks).collect()} == {(1, 0.5), (6, 0.3)}
+    assert {r.neuron for r in spatial.select_cells(c, without_planes=()).collect()} == {1, 4, 6}
+    at = [(1, -150.0, -20.0, 2, 1), (2, -150.0, -20.0, 2, 1), (3, 260.0, 5.0, 4, 0), (4, None, 0.0, 1, 1)]
+    cells = spark.createDataFrame(at, "id long, y double, x double, pref_x int, pref_y int")
+    got = {(r.gy, r.gx): (r.med_x, r.med_y) for r in spatial.preference_map(cells, 100.0, 100.0, 6).collect()}
+    assert got == {(-2, 0): (2.0, 1.0), (-1, 0): (2.0, 1.0), (2, 0): (4.0, 0.0), (-2, -1): (2.0, 1.0), (-1, -1): (2.0, 1.0)}
+    assert spatial.preference_map(cells.limit(0), 100.0, 100.0, 6).count() == 0
+    m = tuning.moved(spark.createDataFrame([(1, i, float(i)) for i in range(4)], "k long, i long, v double"), ["k"], "v", 3)
+    assert {r.i: r.moved for r in m.collect()} == {0: 3.0, 1: 0.0, 2: 0.0, 3: 0.0}
+    parts = [r.part for r in protocol.split_rows(spark.range(4000), "id", {"a": 3.0, "b": 1.0}, seed=1).collect()]
+    assert abs(parts.count("a") / 4000 - 0.75) < 0.03 and set(parts) == {"a", "b"}
+
+
+def test_matched_distribution_of_many_values(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 1, 900).round(3), rng.exponential(1, 700).round(3)
+    df = lambda v: spark.createDataFrame([(float(a),) for a in v] + [(None,), (math.nan,)], "value double")
+    for size in (50, 20_000):
+        got = {r.value: r.matched for r in smoothing.match_distribution(df(x), df(y), cell_rows=size).collect()}
+        v, n = np.unique(x, return_counts=True)
+        w, m = np.unique(y, return_counts=True)
+        assert np.allclose([got[a] for a in v], np.interp(np.cumsum(n) / n.sum(), np.cumsum(m) / m.sum(), w))
+    assert smoothing.match_distribution(df([]), df(y)).count() == 0
+
+
+def test_two_branches(spark):
+    rng = np.random.default_rng(3)
+    a, b, e = rng.normal(size=(3, 400))
+    rows = [(k, i, float(a[i]), float(b[i]), float(y)) for k, f in ((1, lambda i: 2 * a[i] + 0.1 * e[i]), (2, lambda i: a[i] + 3 * b[i]), (3, lambda i: 1.0)) for i in range(400) for y in (f(i),)]
+    rows += [(1, 999, None, 1.0, 1.0), (4, 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "k int, i int, a double, b double, y double")
+    got = {r.k: r for r in models.two_branches(df, "k", "y", "a", "b", df.i % 2 == 0).collect()}
+    assert got[1].best == 1 and got[1].cc_first > 0.99 and abs(got[1].w_first - 2) < 0.05
+    assert got[2].best == 2 and got[2].double and abs(got[2].w_second - 3) < 1e-9 and math.isclose(got[2].cc_both, 1.0)
+    assert got[3].cc_both == got[3].cc_first == 0 and not got[3].double and got[4].w_first == 0 and got[4].n_test == 0
+
+
+def test_drifting_response(spark):
+    coefs = spark.createDataFrame([(i, 0, 0, [float(10 * i + j) for j in range(6)]) for i in (0, 1, 2, 3, 5)], "frame long, f int, s int, coef array<double>")
+    got = {r.frame: r.response for r in gabor.drifting_response(coefs, 3).collect()}
+    assert got == {0: [0 + 12 + 24, 1 + 13 + 25], 1: [10 + 22 + 34, 11 + 23 + 35]}
+    assert gabor.drift(0.0, 1.0, 3) == [0.0, 0.5, 1.0] and gabor.drift(0.5, 1.0, 1) == [0.5]

@@ -4,7 +4,7 @@ import random
 import pytest
 
 from stimlake.operators import align
-from stimlake.operators.series import asof, following, numbered, previous, running_sum
+from stimlake.operators.series import asof, following, numbered, previous, running_sum, running_total
 
 ROW = "expt long, id long, t double, v double, extra string"
 
@@ -66,3 +66,38 @@ def test_interpolation_outside_and_between(spark):
     e = rows(spark, [(1, 11, -1.0, 0.0), (1, 12, 0.0, 0.0), (1, 13, 4.0, 0.0), (1, 14, 11.0, 0.0), (2, 15, 4.0, 0.0)])
     got = {r.id: r.value for r in align.interpolate_at(s, e, outside=None, width=3.0).collect()}
     assert got == {11: None, 12: 0.0, 13: 2.0, 14: None, 15: None}
+
+
+def test_running_total_over_ranges(spark, data):
+    df = spark.createDataFrame([(v, 1) for v in sorted({r[3] for r in data})] + [(None, 1)], "v double, n long")
+    for size in (7, 10_000):
+        got = {r.v: r.upto for r in running_total(df, "v", df.n, "upto", rows=size).collect()}
+        assert got == {v: i + 1 for i, v in enumerate(sorted({r[3] for r in data}))}
+    assert running_total(df.limit(0), "v", df.n, "upto").count() == 0
+
+
+def test_photodiode_flips_and_events(spark):
+    level = [0.0] * 10 + [5.0] * 10 + [0.1] * 10 + [5.1] * 10
+    level[4], level[25] = 5.0, 5.0  # single outliers are no flips
+    signal = rows(spark, [(1, i, float(i), v) for i, v in enumerate(level)] + [(1, 90, 50.0, None), (1, 91, 51.0, math.nan), (2, 92, 0.0, 1.0)])
+    for width in (3.0, 1000.0):
+        middle = align.level_middle(align.median_filtered(signal, width=width))
+        flips = align.photodiode_flips(signal, middle, width=width)
+        assert sorted((r.expt, r.t, r.high) for r in flips.collect()) == [(1, 10.0, True), (1, 20.0, False), (1, 30.0, True)]
+        events = rows(spark, [(1, 1, 9.5, 0.0), (1, 2, 20.0, 0.0), (1, 3, 31.0, 0.0), (2, 4, 0.0, 0.0)])
+        after = {r.id: r.flip_t for r in align.align_to_flips(events, flips, "after", width=width).collect()}
+        before = {r.id: r.flip_t for r in align.align_to_flips(events, flips, "before", width=width).collect()}
+        assert after == {1: 10.0, 2: 20.0, 3: None, 4: None} and before == {1: None, 2: 20.0, 3: 30.0, 4: None}
+    with pytest.raises(ValueError, match="edge"):
+        align.align_to_flips(events, flips, "near")
+
+
+def test_kinds_of_interpolation(spark):
+    samples = rows(spark, [(1, 1, 0.0, 1.0), (1, 2, 10.0, 3.0), (1, 3, 20.0, None)])
+    events = rows(spark, [(1, 1, 4.0, 0.0), (1, 2, 5.0, 0.0), (1, 3, 10.0, 0.0), (1, 4, 12.0, 0.0)])
+    want = {"linear": [1.8, 2.0, 3.0, None], "previous": [1.0, 1.0, 3.0, None], "next": [3.0, 3.0, 3.0, None], "nearest": [1.0, 1.0, 3.0, None]}
+    for kind, values in want.items():
+        got = {r.id: r.value for r in align.interpolate_at(samples, events, kind=kind, outside=None).collect()}
+        assert [got[i] for i in (1, 2, 3, 4)] == values
+    with pytest.raises(ValueError, match="kind"):
+        align.interpolate_at(samples, events, kind="cubic")
