@@ -16,7 +16,7 @@ from stimlake.operators.correlate import array_peak
 from stimlake.operators.series import numbered, previous
 from stimlake.plans.alignment import TRACES_SQL, channel_matrix, possible, span_sql, traces
 from stimlake.plans.responses import rounded
-from stimlake.tables import maybe_broadcast, table, usable
+from stimlake.tables import cut, maybe_broadcast, table, usable
 
 WIDTH = 300.0
 
@@ -107,8 +107,9 @@ def parafac_rank1(s: SparkSession, d: str) -> DataFrame:
 def cells(s: SparkSession, d: str) -> DataFrame:
     """Neurons with a position and a field: id, y, x and the preferred place."""
     at = table(s, d, "neurons").filter("py IS NOT NULL AND px IS NOT NULL").dropDuplicates(["neuron"]).select("neuron", F.col("py").alias("y"), F.col("px").alias("x"))
-    peak = array_peak(_rf(s, d), "rfs", 2, 8, 1).select("neuron", F.col("x").alias("pref_x"), F.col("y").alias("pref_y"))
-    return at.join(peak, "neuron").withColumnRenamed("neuron", "id")
+    # the peaks are taken before copies are dropped, so that no field is shuffled; the cells are used more than once
+    peak = array_peak(table(s, d, "rf").filter("rfs IS NOT NULL"), "rfs", 2, 8, 1).select("neuron", F.col("x").alias("pref_x"), F.col("y").alias("pref_y")).dropDuplicates(["neuron"])
+    return cut(at.join(peak, "neuron").withColumnRenamed("neuron", "id"), "cells")
 
 
 def selected_cells(s: SparkSession, d: str) -> DataFrame:

@@ -119,8 +119,8 @@ def direction_response(s: SparkSession, d: str) -> DataFrame:
 
 def rf_table_peaks(s: SparkSession, d: str) -> DataFrame:
     """Peaks of the recorded fields of all neurons, in degrees."""
-    rows = table(s, d, "rf").filter("rfs IS NOT NULL").dropDuplicates(["neuron"])
-    p = C.to_degrees(C.array_peak(rows, "rfs", 2, 8, 1), 6, 2, COVERAGE, config.analysed_sizes(FIELD_RUN))
+    rows = table(s, d, "rf").filter("rfs IS NOT NULL")
+    p = C.to_degrees(C.array_peak(rows, "rfs", 2, 8, 1).dropDuplicates(["neuron"]), 6, 2, COVERAGE, config.analysed_sizes(FIELD_RUN))
     return p.select("neuron", "x", "y", "o", "s", F.round("peak", 6).alias("peak"), *[F.round(c, 6).alias(c) for c in ("azimuth", "elevation", "orientation", "size")])
 
 
