@@ -65,6 +65,10 @@ class TestSet:
         for g, k in starts:
             self.own[g] = owner[k] != -1
         self.own_before = np.r_[0, np.cumsum(self.own)]
+        self.common = np.zeros(len(self.terms), bool)  # whether the word is part of wording that stands in several items
+        for g, k in starts:
+            if owner[k] == -1:
+                self.common[g : g + window] = True
 
     def anchors(self, frequency: np.ndarray) -> np.ndarray:
         """For each window that is an item's own, the position of its rarest term."""
@@ -178,7 +182,7 @@ def intersect(shard: dict[str, np.ndarray], test: TestSet, anchors: np.ndarray,
                 h = np.clip(g + o, 0, total - 1)
                 same = (test.item[h] == test.item[g]) & (h == g + o)
                 k = test.terms[h] * line + pos + o
-                near += same & (np.searchsorted(keys, k - slop) < np.searchsorted(keys, k + slop + 1))
+                near += same & ~test.common[h] & (np.searchsorted(keys, k - slop) < np.searchsorted(keys, k + slop + 1))
             hit |= near >= near_terms
         return shard["doc"][p[hit]].astype(np.int64), test.item[g[hit]], run[hit], near[hit]
 
@@ -195,7 +199,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, *, window: int = 12, slop
     contains a passage if at least ``window`` consecutive words of the item stand in it in a row (case,
     punctuation, layout, escape sequences and comment marks aside) and at least one such window stands in no
     other item. With ``slop`` > 0 proximity matches are reported too: ``near_terms`` of the words around a
-    rare term of the item, each within ``slop`` words of its place.
+    rare term of the item, each within ``slop`` words of its place, wording that stands in several items apart.
 
     Result, one row for each document and item: ``doc_id, item_id, words`` (most words in a row) and ``near``
     (most words near each other; 0 if slop is 0).

@@ -64,6 +64,11 @@ def test_near_passages_and_nothing(spark):
     assert find_leaks(d, it).count() == 0
     assert [(r.doc_id, r.near >= 12) for r in find_leaks(d, it, slop=1).collect()] == [(1, True)]
     assert find_leaks(docs(spark, []), it).count() == 0 and find_leaks(d, it.limit(0)).count() == 0
+    # wording that two items share is near to nothing
+    head = " ".join(f"head{i}" for i in range(16))
+    two = spark.createDataFrame([(i, head + " " + " ".join(f"own{i}x{j}" for j in range(16)), "k") for i in (1, 2)], "item_id long, text string, kind string")
+    text = head.replace("head7", "other") + " own1x0 own1x1"
+    assert find_leaks(docs(spark, [(1, text, "s")]), two, slop=1).count() == 0
 
 
 # personal details
